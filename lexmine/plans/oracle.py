@@ -62,6 +62,44 @@ def sql_str(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+def dlit(s: str) -> str:
+    """DuckDB expression for a literal string (newlines as chr(10))."""
+    pieces = s.split("\n")
+    out = " || chr(10) || ".join(sql_str(x) for x in pieces)
+    return f"({out})"
+
+
+def dfill(template: str, **exprs: str) -> str:
+    """Concatenate template literals and SQL expressions (``{name}``)."""
+    out, lit, i = [], "", 0
+    while i < len(template):
+        if template.startswith("{{", i) or template.startswith("}}", i):
+            lit += template[i]
+            i += 2
+        elif template[i] == "{":
+            j = template.index("}", i)
+            if lit:
+                out.append(dlit(lit))
+                lit = ""
+            out.append(f"({exprs[template[i + 1:j]]})")
+            i = j + 1
+        else:
+            lit += template[i]
+            i += 1
+    if lit:
+        out.append(dlit(lit))
+    return " || ".join(out)
+
+
+def md5key(seed: str, alias: str = "") -> str:
+    p = f"{alias}." if alias else ""
+    return f"md5({sql_str(seed)} || '|' || {p}source_url || '|' || CAST({p}pos AS VARCHAR))"
+
+
+def escape_md(x: str) -> str:
+    return f"regexp_replace({x}, '([_*\\[\\]()~`>#+\\-=|{{}}.!])', '\\\\\\1', 'g')"
+
+
 def oracle_sql() -> dict[str, str]:
     from lexmine.plans import params as P
 
@@ -74,4 +112,96 @@ def oracle_sql() -> dict[str, str]:
         f"{BANK} SELECT word, definition, context_sentence, source_url FROM vocab_v "
         f"WHERE {like_contains('word', qs)} OR {like_contains('definition', qs)}"
     )
+    from lexmine.operators import render as R
+
+    BC = "word, definition, context_sentence, source_url"
+    qv = "q(query) AS (VALUES " + ", ".join(f"({sql_str(x)})" for x in P.SEARCH_QUERIES) + ")"
+    q["vocab_search_batch"] = (
+        f"{BANK}, {qv} SELECT q.query, v.word, v.definition, v.context_sentence, v.source_url "
+        f"FROM vocab_v v JOIN q ON ({like_contains('v.word', 'q.query')}) OR ({like_contains('v.definition', 'q.query')})"
+    )
+    today = (
+        "SELECT v.* FROM vocab_v v JOIN articles_v a ON v.source_url = a.url "
+        "WHERE CAST(a.collected_at AS DATE) = DATE '{d}'"
+    )
+    q["vocab_today"] = f"{BANK} SELECT {BC} FROM ({today.format(d=P.AS_OF_DAY)})"
+    q["vocab_orphans"] = (
+        f"{BANK} SELECT {BC} FROM vocab_v v WHERE NOT EXISTS (SELECT 1 FROM articles_v a WHERE a.url = v.source_url)"
+    )
+    q["random_word"] = f"{BANK} SELECT {BC} FROM vocab_v ORDER BY {md5key(P.SEED)} LIMIT 1"
+    picks = (
+        f"SELECT CAST(collected_at AS DATE) AS day, CAST(row_number() OVER (PARTITION BY CAST(collected_at AS DATE) "
+        f"ORDER BY {md5key(P.SEED)}, source_url, pos) AS BIGINT) AS pick, * FROM vocab_v"
+    )
+    q["daily_pick"] = f"{BANK} SELECT day, pick, {BC} FROM ({picks}) WHERE pick <= {P.MESSAGE_WORDS}"
+    card = dfill("**{w}**\n\n*Definition:* {d}\n\n> {c}\n\nSource: {u}",
+                 w="word", d="definition", c="context_sentence", u="source_url")
+    q["vocab_cards"] = f"{BANK} SELECT source_url, pos, {card} AS card FROM vocab_v"
+    sep = dlit(R.CARD_SEPARATOR)
+    q["daily_digest"] = f"""{BANK},
+cards AS (SELECT CAST(collected_at AS DATE) AS day, collected_at, source_url, pos, {card} AS card FROM vocab_v),
+per_day AS (SELECT day, count(*) AS n_words,
+                   string_agg(card, {sep} ORDER BY collected_at, source_url, pos) AS body
+            FROM cards GROUP BY day),
+days AS (SELECT DISTINCT CAST(collected_at AS DATE) AS day FROM articles_v)
+SELECT d.day, CAST(coalesce(p.n_words, 0) AS BIGINT) AS n_words,
+       CASE WHEN coalesce(p.n_words, 0) > 0
+            THEN {dfill(R.DIGEST_HEADER, n="CAST(p.n_words AS VARCHAR)")} || p.body
+            ELSE {dlit(R.DIGEST_EMPTY)} END AS text
+FROM days d LEFT JOIN per_day p ON d.day = p.day"""
+    q["search_documents"] = f"""{BANK}, {qv},
+hits AS (SELECT q.query, v.collected_at, v.source_url, v.pos, {card.replace('word', 'v.word').replace('definition', 'v.definition').replace('context_sentence', 'v.context_sentence').replace('source_url', 'v.source_url')} AS card
+         FROM vocab_v v JOIN q ON ({like_contains('v.word', 'q.query')}) OR ({like_contains('v.definition', 'q.query')})),
+per_q AS (SELECT query, count(*) AS n, string_agg(card, {sep} ORDER BY collected_at, source_url, pos) AS body
+          FROM hits GROUP BY query)
+SELECT q.query, CAST(coalesce(p.n, 0) AS BIGINT) AS n_matches,
+       CASE WHEN coalesce(p.n, 0) > 0 THEN p.body ELSE {dfill(R.SEARCH_EMPTY, q="q.query")} END AS text
+FROM (SELECT DISTINCT query FROM q) q LEFT JOIN per_q p ON q.query = p.query"""
+    question = dfill(R.QUIZ_QUESTION, w="word")
+    js = lambda x: f"CAST(to_json({x}) AS VARCHAR)"
+    qjson = dfill(
+        '{{\n  "answer": {a},\n  "context": {c},\n  "question": {q},\n  "source": {s},\n  "type": {t},\n  "word": {w}\n}}',
+        a=js("definition"), c=js("context_sentence"), q=js(question), s=js("source_url"),
+        t=js(sql_str(R.QUIZ_TYPE)), w=js("word"),
+    )
+    quiz = (
+        f"SELECT source_url, pos, {sql_str(R.QUIZ_TYPE)} AS type, word, {question} AS question, "
+        f"definition AS answer, context_sentence AS context, source_url AS source, {qjson} AS quiz_json FROM vocab_v"
+    )
+    q["quiz_bank"] = f"{BANK} {quiz}"
+    q["quiz_random"] = (
+        f"{BANK} SELECT coalesce((SELECT quiz_json FROM ({quiz}) ORDER BY {md5key(P.SEED)} LIMIT 1), "
+        f"{dlit(R.QUIZ_EMPTY)}) AS text"
+    )
+    stem = r"regexp_replace(word, '[^\p{L}\p{Nl}\p{N}\-_]', '', 'g')"
+    note = dfill(R.NOTE_TEMPLATE, today=sql_str(P.NOTE_DATE), article_url="source_url", word="word",
+                 definition="definition", context_sentence="context_sentence")
+    q["notes"] = f"""{BANK},
+n AS (SELECT {stem} || '.md' AS file, {note} AS content,
+             row_number() OVER (PARTITION BY {stem} || '.md' ORDER BY collected_at DESC, source_url DESC, pos DESC) AS rn
+      FROM vocab_v)
+SELECT file, content FROM n WHERE rn = 1"""
+    item = dfill(R.MESSAGE_ITEM, n="CAST(pick AS VARCHAR)", word=escape_md("word"),
+                 definition=escape_md("definition"), sentence=escape_md("context_sentence"))
+    msg = f"{dlit(R.MESSAGE_TITLE)} || string_agg({item}, '' ORDER BY pick)"
+    q["daily_message"] = f"""{BANK}, p AS ({picks})
+SELECT day, CAST(count(*) AS BIGINT) AS words_sent, {msg} AS text
+FROM p WHERE pick <= {P.MESSAGE_WORDS} GROUP BY day"""
+    days = f"days(day) AS (VALUES (DATE '{P.AS_OF_DAY}'), (DATE '{P.EMPTY_DAY}'))"
+    q["message_outbox"] = f"""{BANK}, {days},
+modes(mode) AS (VALUES ('today'), ('all'), ('test')),
+today_rows AS (SELECT d.day, v.* FROM days d JOIN vocab_v v ON TRUE JOIN articles_v a ON v.source_url = a.url
+               WHERE CAST(a.collected_at AS DATE) = d.day),
+all_rows AS (SELECT d.day, v.* FROM days d JOIN vocab_v v ON TRUE),
+cand AS (
+  SELECT 'today' AS mode, * FROM today_rows
+  UNION ALL SELECT 'all' AS mode, * FROM all_rows
+  UNION ALL SELECT 'test' AS mode, * FROM today_rows
+  UNION ALL SELECT 'test' AS mode, * FROM all_rows r
+            WHERE NOT EXISTS (SELECT 1 FROM today_rows t WHERE t.day = r.day)),
+p AS (SELECT *, row_number() OVER (PARTITION BY day, mode ORDER BY {md5key(P.SEED)}, source_url, pos) AS pick FROM cand),
+m AS (SELECT day, mode, count(*) AS words_sent, {msg} AS text FROM p WHERE pick <= {P.MESSAGE_WORDS} GROUP BY day, mode)
+SELECT g.day, g.mode, CAST(coalesce(m.words_sent, 0) AS BIGINT) AS words_sent,
+       coalesce(m.words_sent, 0) = 0 AS skipped, m.text
+FROM (SELECT * FROM days, modes) g LEFT JOIN m ON g.day = m.day AND g.mode = m.mode"""
     return q

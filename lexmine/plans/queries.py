@@ -7,7 +7,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmine.operators import bank, extract
+from lexmine.operators import bank, extract, render
 from lexmine.plans import params as P
 from lexmine.plans import tables
 from lexmine.sources import corpus
@@ -51,3 +51,82 @@ def q_vocab_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("vocab_search")
 def q_vocab_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bank.search(tables.vocab(spark, sf_dir), P.SEARCH_QUERY)
+
+
+def _queries_table(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(q,) for q in P.SEARCH_QUERIES], "query string")
+
+
+@register("vocab_search_batch")
+def q_vocab_search_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bank.search_batch(tables.vocab(spark, sf_dir), _queries_table(spark))
+
+
+@register("vocab_today")
+def q_vocab_today(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bank.vocab_on_day(tables.vocab(spark, sf_dir), tables.articles(spark, sf_dir), P.AS_OF_DAY)
+
+
+@register("vocab_orphans")
+def q_vocab_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bank.orphans(tables.vocab(spark, sf_dir), tables.articles(spark, sf_dir))
+
+
+@register("random_word")
+def q_random_word(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bank.random_word(tables.vocab(spark, sf_dir), P.SEED)
+
+
+def _bank_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.vocab(spark, sf_dir).withColumn("day", F.to_date("collected_at"))
+
+
+@register("daily_pick")
+def q_daily_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    picks = bank.pick_per_group(_bank_by_day(spark, sf_dir), ["day"], P.MESSAGE_WORDS, P.SEED)
+    return picks.select("day", "pick", *bank.BANK_COLUMNS)
+
+
+# --- rendered outputs -------------------------------------------------------
+
+
+@register("vocab_cards")
+def q_vocab_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.with_card(tables.vocab(spark, sf_dir)).select("source_url", "pos", "card")
+
+
+@register("daily_digest")
+def q_daily_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.day_digests(tables.vocab(spark, sf_dir), tables.articles(spark, sf_dir))
+
+
+@register("search_documents")
+def q_search_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.search_documents(tables.vocab(spark, sf_dir), _queries_table(spark))
+
+
+@register("quiz_bank")
+def q_quiz_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.quizzes(tables.vocab(spark, sf_dir))
+
+
+@register("quiz_random")
+def q_quiz_random(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.random_quiz(tables.vocab(spark, sf_dir), P.SEED)
+
+
+@register("notes")
+def q_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.notes(tables.vocab(spark, sf_dir), P.NOTE_DATE)
+
+
+@register("daily_message")
+def q_daily_message(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.messages(_bank_by_day(spark, sf_dir), ["day"], P.MESSAGE_WORDS, P.SEED)
+
+
+@register("message_outbox")
+def q_message_outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.outbox(
+        tables.vocab(spark, sf_dir), tables.articles(spark, sf_dir), [P.AS_OF_DAY, P.EMPTY_DAY], P.MESSAGE_WORDS, P.SEED
+    )
