@@ -99,6 +99,21 @@ def md5key(seed: str, alias: str = "") -> str:
 def escape_md(x: str) -> str:
     return f"regexp_replace({x}, '([_*\\[\\]()~`>#+\\-=|{{}}.!])', '\\\\\\1', 'g')"
 
+ENTITIES_SQL = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"),
+                ("&nbsp;", "\u00a0"), ("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("&amp;", "&")]
+
+
+def page_text_sql() -> str:
+    """Native rule: the only <article>, comments removed, tags -> space,
+    entities decoded (&amp; last), whitespace collapsed."""
+    x = "regexp_extract(html, '(?is)<article(?:\\s[^>]*)?>(.*?)</article\\s*>', 1)"
+    x = f"regexp_replace({x}, '(?s)<!--.*?-->', ' ', 'g')"
+    x = f"regexp_replace({x}, '<[^>]*>', ' ', 'g')"
+    for e, c in ENTITIES_SQL:
+        x = f"replace({x}, {sql_str(e)}, {sql_str(c)})"
+    x = f"trim(regexp_replace({x}, '{WS}', ' ', 'g'))"
+    return f"SELECT page_id, url, {x} AS text FROM pages"
+
 
 def oracle_sql() -> dict[str, str]:
     from lexmine.plans import params as P
@@ -204,4 +219,6 @@ m AS (SELECT day, mode, count(*) AS words_sent, {msg} AS text FROM p WHERE pick
 SELECT g.day, g.mode, CAST(coalesce(m.words_sent, 0) AS BIGINT) AS words_sent,
        coalesce(m.words_sent, 0) = 0 AS skipped, m.text
 FROM (SELECT * FROM days, modes) g LEFT JOIN m ON g.day = m.day AND g.mode = m.mode"""
+    q["page_text"] = page_text_sql()
+    q["empty_bodies"] = f"SELECT page_id, url, text = '' AS empty_body FROM ({page_text_sql()})"
     return q

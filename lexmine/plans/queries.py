@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lexmine.operators import bank, extract, render
 from lexmine.plans import params as P
 from lexmine.plans import tables
-from lexmine.sources import corpus
+from lexmine.sources import corpus, pages
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, QueryFn] = {}
@@ -130,3 +130,17 @@ def q_message_outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.outbox(
         tables.vocab(spark, sf_dir), tables.articles(spark, sf_dir), [P.AS_OF_DAY, P.EMPTY_DAY], P.MESSAGE_WORDS, P.SEED
     )
+
+
+# --- pages ------------------------------------------------------------------
+
+
+@register("page_text")
+def q_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.page_text(corpus.table(spark, sf_dir, "pages"))
+
+
+@register("empty_bodies")
+def q_empty_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = pages.page_text(corpus.table(spark, sf_dir, "pages"))
+    return pages.with_empty_flag(t).select("page_id", "url", "empty_body")

@@ -8,9 +8,20 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.errors import AnalysisException
 
-# Bump when the logic that derives a stored table changes, so stale copies
-# written by an older version are never read back.
-TABLE_VERSION = "v1"
+def _code_version() -> str:
+    """Hash of the modules that derive stored tables: a logic change gives a
+    new folder, so a stale copy written by older code is never read back."""
+    import hashlib
+    import inspect
+
+    from lexmine.functions import text
+    from lexmine.plans import tables
+    from lexmine.sources import corpus
+
+    h = hashlib.sha1()
+    for m in (text, tables, corpus):
+        h.update(inspect.getsource(m).encode())
+    return h.hexdigest()[:12]
 
 
 def local_session(cpus: int | str = "*", app: str = "lexmine", extra: dict | None = None) -> SparkSession:
@@ -62,7 +73,8 @@ def stored_table(spark: SparkSession, name: str, key: str, build, partition_by:
     rebuilds it; a finished table cuts the lineage for every later query.
     """
     safe = "".join(ch if ch.isalnum() or ch in "-_." else "_" for ch in key)
-    path = f"{shared_dir(spark)}/lexmine-tables/{TABLE_VERSION}/{name}/{safe}"
+    ns = spark.conf.get("lexmine.tables.namespace", "default")
+    path = f"{shared_dir(spark)}/lexmine-tables/{ns}/{_code_version()}/{name}/{safe}"
     try:
         return spark.read.parquet(path)
     except AnalysisException:
