@@ -99,8 +99,13 @@ def md5key(seed: str, alias: str = "") -> str:
 def escape_md(x: str) -> str:
     return f"regexp_replace({x}, '([_*\\[\\]()~`>#+\\-=|{{}}.!])', '\\\\\\1', 'g')"
 
-ENTITIES_SQL = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"),
-                ("&nbsp;", "\u00a0"), ("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("&amp;", "&")]
+from lexmine.functions.html import NATIVE_ENTITIES as ENTITIES_SQL  # noqa: E402
+
+
+def decode_sql(x: str) -> str:
+    for e, c in ENTITIES_SQL:
+        x = f"replace({x}, {sql_str(e)}, {sql_str(c)})"
+    return x
 
 
 def page_text_sql() -> str:
@@ -109,8 +114,7 @@ def page_text_sql() -> str:
     x = "regexp_extract(html, '(?is)<article(?:\\s[^>]*)?>(.*?)</article\\s*>', 1)"
     x = f"regexp_replace({x}, '(?s)<!--.*?-->', ' ', 'g')"
     x = f"regexp_replace({x}, '<[^>]*>', ' ', 'g')"
-    for e, c in ENTITIES_SQL:
-        x = f"replace({x}, {sql_str(e)}, {sql_str(c)})"
+    x = decode_sql(x)
     x = f"trim(regexp_replace({x}, '{WS}', ' ', 'g'))"
     return f"SELECT page_id, url, {x} AS text FROM pages"
 
@@ -221,4 +225,7 @@ SELECT g.day, g.mode, CAST(coalesce(m.words_sent, 0) AS BIGINT) AS words_sent,
 FROM (SELECT * FROM days, modes) g LEFT JOIN m ON g.day = m.day AND g.mode = m.mode"""
     q["page_text"] = page_text_sql()
     q["empty_bodies"] = f"SELECT page_id, url, text = '' AS empty_body FROM ({page_text_sql()})"
+    from lexmine.plans.oracle_ingest import ingest_sql
+
+    q.update(ingest_sql())
     return q

@@ -7,10 +7,11 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmine.operators import bank, extract, render
+from lexmine.operators import bank, extract, ingest, render
 from lexmine.plans import params as P
 from lexmine.plans import tables
-from lexmine.sources import corpus, pages
+from lexmine.session import stored_table
+from lexmine.sources import corpus, feeds, pages
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, QueryFn] = {}
@@ -144,3 +145,96 @@ def q_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_empty_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = pages.page_text(corpus.table(spark, sf_dir, "pages"))
     return pages.with_empty_flag(t).select("page_id", "url", "empty_body")
+
+
+# --- feeds and the collection run -------------------------------------------
+
+RUN_AT = feeds.FETCHED_AT
+BATCH_ID = "run-2024-06-01"
+BANK_BATCH = "corpus"
+
+
+def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feeds.parse_feeds(feeds.assemble_feeds(spark, sf_dir))
+
+
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feeds.feed_items(_parsed(spark, sf_dir))
+
+
+def _status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.item_status(
+        _items(spark, sf_dir), tables.articles(spark, sf_dir), corpus.table(spark, sf_dir, "pages")
+    )
+
+
+def _staging(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Saved items with text and words, written once (the extractor runs once)."""
+
+    def build():
+        texts = pages.page_text(corpus.table(spark, sf_dir, "pages"))
+        return ingest.stage(_status(spark, sf_dir), texts, RUN_AT)
+
+    return stored_table(spark, "staging", sf_dir, build)
+
+
+@register("feed_items")
+def q_feed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _items(spark, sf_dir)
+
+
+@register("feed_errors")
+def q_feed_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feeds.feed_errors(_parsed(spark, sf_dir))
+
+
+@register("feed_head_article")
+def q_feed_head_article(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feeds.head_articles(_parsed(spark, sf_dir))
+
+
+@register("known_items")
+def q_known_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.known_items(_items(spark, sf_dir), tables.articles(spark, sf_dir)).select(
+        "feed_url", "item_pos", "url"
+    )
+
+
+@register("new_items")
+def q_new_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.new_items(_items(spark, sf_dir), tables.articles(spark, sf_dir)).select(
+        "feed_url", "item_pos", "url"
+    )
+
+
+@register("item_status")
+def q_item_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _status(spark, sf_dir).select("feed_url", "item_pos", "url", "status")
+
+
+@register("articles_upsert")
+def q_articles_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.insert_or_ignore(
+        tables.articles(spark, sf_dir), ingest.staged_articles(_staging(spark, sf_dir))
+    )
+
+
+@register("vocab_attach")
+def q_vocab_attach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.staged_vocab(_staging(spark, sf_dir))
+
+
+@register("vocab_append")
+def q_vocab_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = tables.vocab(spark, sf_dir).select(*extract.VOCAB_COLUMNS).withColumn("batch_id", F.lit(BANK_BATCH))
+    return old.unionByName(ingest.staged_vocab(_staging(spark, sf_dir), BATCH_ID))
+
+
+@register("articles_without_vocab")
+def q_articles_without_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.articles_without_vocab(_staging(spark, sf_dir))
+
+
+@register("run_stats")
+def q_run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.run_stats(_status(spark, sf_dir), _parsed(spark, sf_dir), _staging(spark, sf_dir))

@@ -21,17 +21,20 @@ def hours_after_epoch(hours: Column) -> Column:
     return F.to_timestamp(F.lit(EPOCH)) + F.make_dt_interval(hours=hours.cast("int"))
 
 
-def articles_from_documents(documents: DataFrame) -> DataFrame:
+def articles_from_documents(documents: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Article rows ``(url, title, content, source, published_at, collected_at)``.
 
     ``url = doc://<source>/<doc_id>``; the source type cycles RSS, Manual,
     Youtube over ``doc_id``; publication is ``doc_id`` hours after the epoch
     and collection six hours later, so rows spread over many days.
     """
-    d = documents.select("doc_id", "text", "source")
+    keep = keep or []
+    d = documents.select("doc_id", "text", "source", *[c for c in keep if c not in ("doc_id", "text", "source")])
     published = hours_after_epoch(F.col("doc_id"))
     kind = F.col("doc_id") % 3
+    extra = [F.col(c) for c in keep] + ([F.col("source").alias("source_key")] if keep else [])
     return d.select(
+        *extra,
         F.concat(F.lit("doc://"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string")).alias("url"),
         F.substring(F.col("text"), 1, TITLE_CHARS).alias("title"),
         F.col("text").alias("content"),
