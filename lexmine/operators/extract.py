@@ -85,3 +85,13 @@ def extract_with(
 
 
 EXTRACT_SCHEMA_COLS = [c.split()[0] for c in EXTRACT_SCHEMA.split(", ")]
+
+
+def sample_extractor(text: str) -> list[dict]:
+    """Example user extractor (plain Python): the offline rule, word by word."""
+    from lexmine.functions.html import _WS as ws
+    picked = [t for t in ws.split(text or "") if len(t.encode()) > T.SAMPLE_MIN_BYTES and t.isalpha()]
+    return [
+        {"word": w, "definition": T.MOCK_DEFINITION.format(w=w), "context_sentence": T.MOCK_CONTEXT.format(w=w)}
+        for w in (t.lower() for t in picked[: T.SAMPLE_MAX_WORDS])
+    ]

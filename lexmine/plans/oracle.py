@@ -228,4 +228,7 @@ FROM (SELECT * FROM days, modes) g LEFT JOIN m ON g.day = m.day AND g.mode = m.m
     from lexmine.plans.oracle_ingest import ingest_sql
 
     q.update(ingest_sql())
+    from lexmine.plans.oracle_responses import responses_sql
+
+    q.update(responses_sql())
     return q

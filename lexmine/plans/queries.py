@@ -7,7 +7,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmine.operators import bank, extract, ingest, render
+from lexmine.operators import bank, extract, ingest, render, responses
 from lexmine.plans import params as P
 from lexmine.plans import tables
 from lexmine.session import stored_table
@@ -238,3 +238,41 @@ def q_articles_without_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("run_stats")
 def q_run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.run_stats(_status(spark, sf_dir), _parsed(spark, sf_dir), _staging(spark, sf_dir))
+
+
+# --- remote extractor tables and the pluggable extractor ----------------------
+
+
+def _documents_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.documents_articles(spark, sf_dir).dropna(subset=["url", "title", "content"])
+
+
+def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return responses.outcomes(responses.assemble_responses(corpus.table(spark, sf_dir, "documents")))
+
+
+@register("llm_requests")
+def q_llm_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return responses.requests(_documents_articles(spark, sf_dir))
+
+
+@register("llm_outcomes")
+def q_llm_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _outcomes(spark, sf_dir).select("url", "status", "error")
+
+
+@register("llm_words")
+def q_llm_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return responses.response_words(_outcomes(spark, sf_dir))
+
+
+@register("words_filtered")
+def q_words_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.filter_extracted(responses.response_words(_outcomes(spark, sf_dir)))
+
+
+@register("extract_custom")
+def q_extract_custom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract_with(_documents_articles(spark, sf_dir), extract.sample_extractor).select(
+        "source_url", "pos", "word", "definition", "context_sentence", "status"
+    )
