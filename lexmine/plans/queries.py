@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from lexmine.operators import bank, extract, ingest, render, responses
 from lexmine.plans import params as P
 from lexmine.plans import tables
-from lexmine.session import stored_table
+from lexmine.session import stored_table, table_path
+from lexmine.streaming import ingest as stream_ingest
 from lexmine.sources import corpus, feeds, pages
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -276,3 +277,39 @@ def q_extract_custom(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract_with(_documents_articles(spark, sf_dir), extract.sample_extractor).select(
         "source_url", "pos", "word", "definition", "context_sentence", "status"
     )
+
+
+# --- streaming ----------------------------------------------------------------
+
+STREAM_FILES = 4
+
+
+def _landing(spark: SparkSession, sf_dir: str, name: str, build) -> str:
+    """A landing folder (several files) holding ``build()``; written once."""
+    stored_table(spark, name, sf_dir, lambda: build().repartition(STREAM_FILES))
+    return table_path(spark, name, sf_dir)
+
+
+@register("stream_ingest")
+def q_stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    landing = _landing(spark, sf_dir, "landing_pages", lambda: corpus.table(spark, sf_dir, "pages"))
+    root = table_path(spark, "stream_ingest", sf_dir)
+    out = stream_ingest.ingest_pages(
+        spark, landing, root, tables.articles(spark, sf_dir), RUN_AT, max_files_per_trigger=1
+    )
+    return spark.read.parquet(out["articles"]).select("url", "title", "content")
+
+
+@register("stream_dedup")
+def q_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    landing = _landing(spark, sf_dir, "landing_items", lambda: _items(spark, sf_dir))
+    out = stream_ingest.dedup_urls(spark, landing, table_path(spark, "stream_dedup", sf_dir))
+    return spark.read.parquet(out).select("url")
+
+
+@register("stream_daily_counts")
+def q_stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables.vocab(spark, sf_dir)
+    vocab_path = table_path(spark, "vocab", sf_dir)
+    out = stream_ingest.daily_word_counts(spark, vocab_path, table_path(spark, "stream_daily", sf_dir))
+    return spark.read.parquet(out)

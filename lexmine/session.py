@@ -65,6 +65,13 @@ def shared_dir(spark: SparkSession) -> str:
     return d.rstrip("/")
 
 
+def table_path(spark: SparkSession, name: str, key: str) -> str:
+    """Folder of stored table ``name`` for input ``key`` under the shared folder."""
+    safe = "".join(ch if ch.isalnum() or ch in "-_." else "_" for ch in key)
+    ns = spark.conf.get("lexmine.tables.namespace", "default")
+    return f"{shared_dir(spark)}/lexmine-tables/{ns}/{_code_version()}/{name}/{safe}"
+
+
 def stored_table(spark: SparkSession, name: str, key: str, build, partition_by: list[str] | None = None) -> DataFrame:
     """Read table ``name`` for ``key`` from the shared folder, writing it first if absent.
 
@@ -72,9 +79,7 @@ def stored_table(spark: SparkSession, name: str, key: str, build, partition_by:
     committer means a failed job leaves no readable table, so a retry simply
     rebuilds it; a finished table cuts the lineage for every later query.
     """
-    safe = "".join(ch if ch.isalnum() or ch in "-_." else "_" for ch in key)
-    ns = spark.conf.get("lexmine.tables.namespace", "default")
-    path = f"{shared_dir(spark)}/lexmine-tables/{ns}/{_code_version()}/{name}/{safe}"
+    path = table_path(spark, name, key)
     try:
         return spark.read.parquet(path)
     except AnalysisException:
