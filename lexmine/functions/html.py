@@ -44,17 +44,18 @@ ARTICLE_OPEN = r"(?i)<article(?=[\s/>])"
 ARTICLE_REGION = r"(?is)<article(?:\s[^>]*)?>(.*?)</article\s*>"
 # Constructs inside the region that the tag-stripping rule cannot treat exactly.
 UNSAFE_IN_REGION = (
-    r"(?is)<(script|style|textarea|title|xmp|plaintext|noscript|template|iframe|noembed|noframes|select|svg|math)[\s/>]"
+    r"(?is)(?=[<&=])(?:<(script|style|textarea|title|xmp|plaintext|noscript|template|iframe|noembed|noframes|select|svg|math)[\s/>]"
     r"|<!\[CDATA\[|<\?|<(?![a-zA-Z/!])|</(?![a-zA-Z])|=\s*\"[^\"]*>|=\s*'[^']*>"
-    r"|&(?!(?:" + _ENTITY_NAMES + r");)"
+    r"|&(?!(?:" + _ENTITY_NAMES + r");))"
 )
 UNSAFE_BEFORE = r"(?is)<!--(?:(?!-->).)*$|<(script|style|textarea|title|noscript|template)[\s>](?:(?!</\1).)*$"
 
 
 def _decode_entities(col: Column) -> Column:
+    out = col
     for ent, ch in NATIVE_ENTITIES:
-        col = F.replace(col, F.lit(ent), F.lit(ch))
-    return col
+        out = F.replace(out, F.lit(ent), F.lit(ch))
+    return F.when(col.contains("&"), out).otherwise(col)
 
 
 def native_article_text(html: Column) -> Column:
@@ -64,7 +65,7 @@ def native_article_text(html: Column) -> Column:
     before = F.substring_index(html, "<article", 1)
     # comments first, then every tag becomes a space
     stripped = F.regexp_replace(F.regexp_replace(region, r"(?s)<!--.*?-->", " "), r"<[^>]*>", " ")
-    text = T.normalize_ws(_decode_entities(stripped))
+    text = T.collapse_ws(_decode_entities(stripped))
     ok = (
         html.isNotNull()
         & (n_open == 1)
@@ -181,4 +182,4 @@ def main_text(html: str | None) -> str:
 def page_title(html: Column) -> Column:
     """Text of ``<title>`` with the native entity set decoded ('' when absent)."""
     t = F.regexp_extract(html, r"(?is)<title(?:\s[^>]*)?>(.*?)</title\s*>", 1)
-    return T.normalize_ws(_decode_entities(t))
+    return T.collapse_ws(_decode_entities(t))

@@ -58,6 +58,11 @@ def normalize_ws(col: Column) -> Column:
     return F.array_join(split_ws(col), " ")
 
 
+def collapse_ws(col: Column) -> Column:
+    """Same result as ``normalize_ws`` with one regex pass (no array)."""
+    return F.trim(F.regexp_replace(col, WS_REGEX, " "))
+
+
 def byte_length(col: Column) -> Column:
     return F.octet_length(col)
 
@@ -96,6 +101,11 @@ def keep_extracted_word(word: Column) -> Column:
     return (F.octet_length(word) > FILTER_MIN_BYTES) & ~F.lower(word).isin(*STOP_WORDS)
 
 
+def like_pattern(query: Column) -> Column:
+    """Spark LIKE pattern for SQLite ``'%' || q || '%'`` (ASCII-folded, ``\\`` literal)."""
+    return F.concat(F.lit("%"), F.replace(ascii_lower(query), F.lit("\\"), F.lit("\\\\")), F.lit("%"))
+
+
 def like_contains(col: Column, query: Column) -> Column:
     """SQLite ``col LIKE '%' || q || '%'`` semantics.
 
@@ -103,8 +113,13 @@ def like_contains(col: Column, query: Column) -> Column:
     no escape character (so a backslash in ``q`` is literal).  A null on
     either side gives null, as in SQL.
     """
-    pattern = F.concat(F.lit("%"), F.replace(ascii_lower(query), F.lit("\\"), F.lit("\\\\")), F.lit("%"))
-    return F.like(ascii_lower(col), pattern)
+    return F.like(ascii_lower(col), like_pattern(query))
+
+
+def folded_contains(folded_col: Column, folded_query: Column, has_wildcard: Column, pattern: Column) -> Column:
+    """``like_contains`` on pre-folded columns: a plain substring test when the
+    query has no wildcard (no regex), LIKE otherwise."""
+    return F.when(has_wildcard, F.like(folded_col, pattern)).otherwise(F.contains(folded_col, folded_query))
 
 
 def escape_markdown(col: Column) -> Column:

@@ -39,26 +39,43 @@ def _bounded_chunks(queries: DataFrame, qcol: str) -> int:
     return max(1, by_rows, by_bytes)
 
 
-def search_batch(vocab: DataFrame, queries: DataFrame, qcol: str = "query") -> DataFrame:
-    """All ``(query, bank row)`` matches for a table of queries.
+def prepared_queries(queries: DataFrame, qcol: str = "query") -> DataFrame:
+    """Distinct queries with their folded form, wildcard flag and LIKE pattern."""
+    q = queries.select(F.col(qcol).alias("query")).distinct()
+    return q.select(
+        "query",
+        T.ascii_lower(F.col("query")).alias("_qf"),
+        F.col("query").rlike("[%_]").alias("_qwild"),
+        T.like_pattern(F.col("query")).alias("_qpat"),
+    )
+
+
+def match_queries(vocab: DataFrame, queries: DataFrame, qcol: str = "query") -> DataFrame:
+    """Bank rows joined with every query they match (plus the query column).
 
-    The predicate has no equality key, so the query side is broadcast and
-    evaluated against a single scan of the bank.  The query table's size is
-    measured first; above the limit it is split into hash chunks that are
-    each broadcast separately (results are the union, so nothing is lost).
+    The predicate has no equality key, so the query side is broadcast and the
+    bank is scanned once; word and definition are case-folded once per row
+    before the join.  The query table's size is measured first; above the
+    limit it is split into hash chunks that are each broadcast separately
+    (results are the union, so nothing is lost).
     """
-    q = queries.select(F.col(qcol).alias("query")).distinct()
+    q = prepared_queries(queries, qcol)
     chunks = _bounded_chunks(q, "query")
-    parts = []
+    v = vocab.withColumn("_wf", T.ascii_lower(F.col("word"))).withColumn("_df", T.ascii_lower(F.col("definition")))
+    cond = T.folded_contains(F.col("_wf"), F.col("_qf"), F.col("_qwild"), F.col("_qpat")) | T.folded_contains(
+        F.col("_df"), F.col("_qf"), F.col("_qwild"), F.col("_qpat")
+    )
+    out = None
     for i in range(chunks):
         qi = q if chunks == 1 else q.where(F.pmod(F.xxhash64("query"), F.lit(chunks)) == i)
-        parts.append(
-            vocab.join(F.broadcast(qi), search_predicate(F.col("word"), F.col("definition"), F.col("query")))
-        )
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("query", *BANK_COLUMNS)
+        part = v.join(F.broadcast(qi), cond).drop("_wf", "_df", "_qf", "_qwild", "_qpat")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def search_batch(vocab: DataFrame, queries: DataFrame, qcol: str = "query") -> DataFrame:
+    """All ``(query, bank row)`` matches for a table of queries."""
+    return match_queries(vocab.select(*BANK_COLUMNS), queries, qcol).select("query", *BANK_COLUMNS)
 
 
 def day_bounds(day: str) -> tuple[Column, Column]:

@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from lexmine.functions import text as T
 
-ORDER = F.struct(F.col("feed_url"), F.col("item_pos"))
+def _order():
+    return F.struct(F.col("feed_url"), F.col("item_pos"))
 
 
 def known_items(items: DataFrame, stored: DataFrame) -> DataFrame:
@@ -44,11 +45,11 @@ def item_status(items: DataFrame, stored: DataFrame, landed: DataFrame) -> DataF
     fresh = new_items(items, stored)
     fetchable = landed.select("url").distinct().withColumn("fetch_ok", F.lit(True))
     f = fresh.join(fetchable, "url", "left").withColumn("fetch_ok", F.coalesce("fetch_ok", F.lit(False)))
-    first_ok = f.where("fetch_ok").groupBy("url").agg(F.min(ORDER).alias("first_ok"))
+    first_ok = f.where("fetch_ok").groupBy("url").agg(F.min(_order()).alias("first_ok"))
     s = f.join(first_ok, "url", "left")
     status = (
-        F.when(F.col("first_ok").isNull() | (ORDER < F.col("first_ok")), "fetch_error")
-        .when(ORDER == F.col("first_ok"), "saved")
+        F.when(F.col("first_ok").isNull() | (_order() < F.col("first_ok")), "fetch_error")
+        .when(_order() == F.col("first_ok"), "saved")
         .otherwise("skipped_duplicate")
     )
     fresh_status = s.withColumn("status", status).drop("fetch_ok", "first_ok")

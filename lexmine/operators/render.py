@@ -126,16 +126,7 @@ def search_documents(vocab: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def _search_hits(vocab: DataFrame, queries: DataFrame) -> DataFrame:
-    q = queries.select("query").distinct()
-    chunks = bank._bounded_chunks(q, "query")
-    out = None
-    for i in range(chunks):
-        qi = q if chunks == 1 else q.where(F.pmod(F.xxhash64("query"), F.lit(chunks)) == i)
-        part = with_card(vocab).join(
-            F.broadcast(qi), bank.search_predicate(F.col("word"), F.col("definition"), F.col("query"))
-        )
-        out = part if out is None else out.unionByName(part)
-    return out
+    return with_card(bank.match_queries(vocab, queries))
 
 
 def quiz_json(word: Column, answer: Column, context: Column, source: Column) -> Column:

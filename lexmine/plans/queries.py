@@ -249,7 +249,11 @@ def _documents_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return responses.outcomes(responses.assemble_responses(corpus.table(spark, sf_dir, "documents")))
+    """Response outcomes, staged once (the strictness check runs in Python)."""
+    return stored_table(
+        spark, "llm_outcomes", sf_dir,
+        lambda: responses.outcomes(responses.assemble_responses(corpus.table(spark, sf_dir, "documents"))),
+    )
 
 
 @register("llm_requests")

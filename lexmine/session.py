@@ -68,7 +68,7 @@ def shared_dir(spark: SparkSession) -> str:
 def table_path(spark: SparkSession, name: str, key: str) -> str:
     """Folder of stored table ``name`` for input ``key`` under the shared folder."""
     safe = "".join(ch if ch.isalnum() or ch in "-_." else "_" for ch in key)
-    ns = spark.conf.get("lexmine.tables.namespace", "default")
+    ns = spark.conf.get("spark.lexmine.tables.namespace", "default")
     return f"{shared_dir(spark)}/lexmine-tables/{ns}/{_code_version()}/{name}/{safe}"
 
 

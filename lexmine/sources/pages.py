@@ -2,37 +2,40 @@
 
 from __future__ import annotations
 
-from typing import Iterator
-
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmine.functions import html as H
 
 
-def _slow_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        yield pd.DataFrame(
-            {"page_id": pdf["page_id"], "url": pdf["url"], "text": [H.main_text(h) for h in pdf["html"]]}
-        )
+def _main_texts(htmls: pd.Series) -> pd.Series:
+    return htmls.map(lambda h: None if h is None else H.main_text(h))
+
+
+def slow_main_text(html: Column) -> Column:
+    """Arrow-batched Python walker; null in, null out."""
+    return F.pandas_udf(_main_texts, "string")(html)
 
 
 def page_text(pages: DataFrame) -> DataFrame:
-    """``(page_id, url, text)`` for every page.
+    """``(page_id, url, text)`` for every page, in one pass over ``pages``.
 
-    Pages with one plain ``<article>`` are handled by built-in expressions;
-    the rest go through the Python walker in Arrow batches.  Both branches
-    read only ``page_id, url, html``.
+    The native expression is computed once per page; only pages it cannot
+    handle exactly send their HTML to the Python walker (the others send a
+    null), so the Arrow hop carries almost nothing on typical pages.
     """
-    base = pages.select("page_id", "url", "html").withColumn("text", H.native_article_text(F.col("html")))
-    fast = base.where(F.col("text").isNotNull()).select("page_id", "url", "text")
-    slow = (
-        base.where(F.col("text").isNull())
-        .select("page_id", "url", "html")
-        .mapInPandas(_slow_texts, "page_id bigint, url string, text string")
+    base = pages.select("page_id", "url", "html").withColumn("_native", H.native_article_text(F.col("html")))
+    # _native is referenced twice below: Catalyst keeps it in its own
+    # projection instead of inlining (and recomputing) it.
+    staged = base.select(
+        "page_id", "url", "_native", F.when(F.col("_native").isNull(), F.col("html")).alias("_slow_html")
+    )
+    return staged.select(
+        "page_id",
+        "url",
+        F.coalesce(F.col("_native"), slow_main_text(F.col("_slow_html")), F.lit("")).alias("text"),
     )
-    return fast.unionByName(slow)
 
 
 def with_empty_flag(texts: DataFrame) -> DataFrame:
