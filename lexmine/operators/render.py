@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexmine.functions import text as T
 from lexmine.operators import bank
+from lexmine.session import shared_dir
 
 # ---------------------------------------------------------------------------
 # Fixed values (texts that must equal the reference's output)
@@ -94,35 +95,83 @@ def row_order() -> list[Column]:
     return [F.col("collected_at"), F.col("source_url"), F.col("pos")]
 
 
-def day_digests(vocab: DataFrame, articles: DataFrame) -> DataFrame:
-    """One digest text per collection day (days with articles but no word get
-    the fixed empty text)."""
-    v = with_card(vocab).withColumn("day", F.to_date("collected_at"))
-    per_day = v.groupBy("day").agg(
-        F.count(F.lit(1)).alias("n_words"),
-        ordered_join(F.col("card"), row_order(), CARD_SEPARATOR).alias("body"),
+def _article_blocks(cards: DataFrame, group_cols: list[str]) -> DataFrame:
+    """One block per (group, article): the article's cards joined in ``pos`` order.
+
+    A block holds the few words of one article, so every aggregate here is
+    bounded no matter how large a group (day, query) is.
+    """
+    return cards.groupBy(*group_cols, "collected_at", "source_url").agg(
+        F.count(F.lit(1)).alias("n"),
+        ordered_join(F.col("card"), [F.col("pos")], CARD_SEPARATOR).alias("block"),
+    )
+
+
+def _block_parts(blocks: DataFrame, group_cols: list[str]) -> DataFrame:
+    return blocks.select(
+        *group_cols,
+        F.col("collected_at").alias("part_at"),
+        F.col("source_url").alias("part_url"),
+        F.col("block").alias("text"),
+    )
+
+
+def _lead_part(df: DataFrame, group_cols: list[str], text: Column) -> DataFrame:
+    return df.select(
+        *group_cols,
+        F.lit(None).cast("timestamp").alias("part_at"),
+        F.lit(None).cast("string").alias("part_url"),
+        text.alias("text"),
     )
+
+
+def day_digests(vocab: DataFrame, articles: DataFrame) -> DataFrame:
+    """Digest of each collection day as parts ``(day, part_at, part_url, text)``.
+
+    The lead part (null ``part_at``/``part_url``) is the header, or the fixed
+    empty text for a day with articles but no word; then one part per
+    article, its cards joined by the separator.  The day's document is the
+    lead text followed by the article parts in ``(part_at, part_url)`` order
+    joined by the separator (``assemble``).  No aggregate holds more than one
+    article's cards, however large the day.
+    """
+    cards = with_card(vocab).withColumn("day", F.to_date("collected_at"))
+    counts = cards.groupBy("day").agg(F.count(F.lit(1)).alias("n_words"))
     days = articles.select(F.to_date("collected_at").alias("day")).distinct()
-    d = days.join(per_day, "day", "left")
+    d = days.join(counts, "day", "left")
     n = F.coalesce(F.col("n_words"), F.lit(0)).cast("bigint")
-    text = F.when(
-        n > 0, F.concat(fill(DIGEST_HEADER, n=n.cast("string")), F.col("body"))
-    ).otherwise(F.lit(DIGEST_EMPTY))
-    return d.select("day", n.alias("n_words"), text.alias("text"))
+    lead = _lead_part(d, ["day"], F.when(n > 0, fill(DIGEST_HEADER, n=n.cast("string"))).otherwise(F.lit(DIGEST_EMPTY)))
+    return lead.unionByName(_block_parts(_article_blocks(cards, ["day"]), ["day"]))
 
 
 def search_documents(vocab: DataFrame, queries: DataFrame) -> DataFrame:
-    """Per query: matching cards joined by the rule, or the no-match text."""
-    hits = _search_hits(vocab, queries)
-    per_q = hits.groupBy("query").agg(
-        F.count(F.lit(1)).alias("n_matches"),
-        ordered_join(F.col("card"), row_order(), CARD_SEPARATOR).alias("body"),
+    """Search result document per query as parts ``(query, part_at, part_url, text)``.
+
+    One part per matching article (cards joined by the separator); a query
+    with no match has a single lead part with the no-match text.
+    """
+    # Matching scans the whole bank; both branches below need its result, so
+    # it is checkpointed (reliably, to the shared checkpoint folder) and the
+    # bank is matched exactly once.
+    shared_dir(vocab.sparkSession)
+    blocks = _article_blocks(_search_hits(vocab, queries), ["query"]).checkpoint(eager=True)
+    matched = blocks.select("query")
+    q = queries.select("query").distinct()
+    misses = _lead_part(q.join(matched, "query", "left_anti"), ["query"], fill(SEARCH_EMPTY, q=F.col("query")))
+    return _block_parts(blocks, ["query"]).unionByName(misses)
+
+
+def assemble(parts: DataFrame, group_cols: list[str]) -> DataFrame:
+    """Whole document per group from its parts (for groups known to be small):
+    lead text, then article parts in order joined by the separator."""
+    body = F.filter(
+        F.array_sort(F.collect_list(F.struct(F.col("part_at"), F.col("part_url"), F.col("text")))),
+        lambda x: x["part_at"].isNotNull(),
+    )
+    lead = F.max(F.when(F.col("part_at").isNull(), F.col("text")))
+    return parts.groupBy(*group_cols).agg(
+        F.concat(F.coalesce(lead, F.lit("")), F.array_join(F.transform(body, lambda x: x["text"]), CARD_SEPARATOR)).alias("text")
     )
-    q = queries.select(F.col("query")).distinct()
-    d = q.join(per_q, "query", "left")
-    n = F.coalesce(F.col("n_matches"), F.lit(0)).cast("bigint")
-    text = F.when(n > 0, F.col("body")).otherwise(fill(SEARCH_EMPTY, q=F.col("query")))
-    return d.select("query", n.alias("n_matches"), text.alias("text"))
 
 
 def _search_hits(vocab: DataFrame, queries: DataFrame) -> DataFrame:

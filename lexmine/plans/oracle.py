@@ -159,23 +159,27 @@ def oracle_sql() -> dict[str, str]:
     sep = dlit(R.CARD_SEPARATOR)
     q["daily_digest"] = f"""{BANK},
 cards AS (SELECT CAST(collected_at AS DATE) AS day, collected_at, source_url, pos, {card} AS card FROM vocab_v),
-per_day AS (SELECT day, count(*) AS n_words,
-                   string_agg(card, {sep} ORDER BY collected_at, source_url, pos) AS body
-            FROM cards GROUP BY day),
+blocks AS (SELECT day, collected_at, source_url, string_agg(card, {sep} ORDER BY pos) AS block
+           FROM cards GROUP BY day, collected_at, source_url),
+counts AS (SELECT day, count(*) AS n FROM cards GROUP BY day),
 days AS (SELECT DISTINCT CAST(collected_at AS DATE) AS day FROM articles_v)
-SELECT d.day, CAST(coalesce(p.n_words, 0) AS BIGINT) AS n_words,
-       CASE WHEN coalesce(p.n_words, 0) > 0
-            THEN {dfill(R.DIGEST_HEADER, n="CAST(p.n_words AS VARCHAR)")} || p.body
+SELECT d.day, NULL::TIMESTAMP AS part_at, NULL::VARCHAR AS part_url,
+       CASE WHEN coalesce(c.n, 0) > 0 THEN {dfill(R.DIGEST_HEADER, n="CAST(c.n AS VARCHAR)")}
             ELSE {dlit(R.DIGEST_EMPTY)} END AS text
-FROM days d LEFT JOIN per_day p ON d.day = p.day"""
+FROM days d LEFT JOIN counts c ON d.day = c.day
+UNION ALL
+SELECT day, collected_at, source_url, block FROM blocks"""
+    vcard = card.replace('word', 'v.word').replace('definition', 'v.definition').replace(
+        'context_sentence', 'v.context_sentence').replace('source_url', 'v.source_url')
     q["search_documents"] = f"""{BANK}, {qv},
-hits AS (SELECT q.query, v.collected_at, v.source_url, v.pos, {card.replace('word', 'v.word').replace('definition', 'v.definition').replace('context_sentence', 'v.context_sentence').replace('source_url', 'v.source_url')} AS card
+hits AS (SELECT q.query, v.collected_at, v.source_url, v.pos, {vcard} AS card
          FROM vocab_v v JOIN q ON ({like_contains('v.word', 'q.query')}) OR ({like_contains('v.definition', 'q.query')})),
-per_q AS (SELECT query, count(*) AS n, string_agg(card, {sep} ORDER BY collected_at, source_url, pos) AS body
-          FROM hits GROUP BY query)
-SELECT q.query, CAST(coalesce(p.n, 0) AS BIGINT) AS n_matches,
-       CASE WHEN coalesce(p.n, 0) > 0 THEN p.body ELSE {dfill(R.SEARCH_EMPTY, q="q.query")} END AS text
-FROM (SELECT DISTINCT query FROM q) q LEFT JOIN per_q p ON q.query = p.query"""
+blocks AS (SELECT query, collected_at, source_url, string_agg(card, {sep} ORDER BY pos) AS block
+           FROM hits GROUP BY query, collected_at, source_url)
+SELECT query, collected_at AS part_at, source_url AS part_url, block AS text FROM blocks
+UNION ALL
+SELECT query, NULL::TIMESTAMP, NULL::VARCHAR, {dfill(R.SEARCH_EMPTY, q="query")}
+FROM (SELECT DISTINCT query FROM q) WHERE query NOT IN (SELECT query FROM hits)"""
     question = dfill(R.QUIZ_QUESTION, w="word")
     js = lambda x: f"CAST(to_json({x}) AS VARCHAR)"
     qjson = dfill(

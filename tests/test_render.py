@@ -20,18 +20,20 @@ def test_card_and_digest(spark):
     assert render.with_card(v).first().card == CARD
     arts = spark.createDataFrame([("https://blog.example/2024/01/ownership", dt.datetime(2024, 1, 3, 9)),
                                   ("https://x.example", dt.datetime(2024, 1, 4, 1))], "url string, collected_at timestamp")
-    d = {r.day: r for r in render.day_digests(v, arts).collect()}
-    assert d[dt.date(2024, 1, 3)].text == "# Today's Vocabulary (1 words)\n\n" + CARD
-    assert d[dt.date(2024, 1, 4)].text == "No vocabulary collected today." and d[dt.date(2024, 1, 4)].n_words == 0
+    d = {r.day: r.text for r in render.assemble(render.day_digests(v, arts), ["day"]).collect()}
+    assert d[dt.date(2024, 1, 3)] == "# Today's Vocabulary (1 words)\n\n" + CARD
+    assert d[dt.date(2024, 1, 4)] == "No vocabulary collected today."
 
 
 def test_search_documents(spark):
     v = spark.createDataFrame([ROW, ("model", "x", "y", "u", 0, dt.datetime(2024, 1, 5))], SCHEMA)
     q = spark.createDataFrame([("paradigm",), ("xyz",), ("m",)], "query string")
-    d = {r.query: r for r in render.search_documents(v, q).collect()}
-    assert d["paradigm"].text == CARD
-    assert d["xyz"].text == "No vocabulary found matching 'xyz'" and d["xyz"].n_matches == 0
-    assert d["m"].n_matches == 2 and d["m"].text.startswith(CARD + "\n\n---\n\n**model**")
+    parts = render.search_documents(v, q)
+    assert parts.where("query = 'm'").count() == 2  # one part per matching article
+    d = {r.query: r.text for r in render.assemble(parts, ["query"]).collect()}
+    assert d["paradigm"] == CARD
+    assert d["xyz"] == "No vocabulary found matching 'xyz'"
+    assert d["m"].startswith(CARD + "\n\n---\n\n**model**")
 
 
 def test_quiz(spark):
