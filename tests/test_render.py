@@ -84,3 +84,21 @@ def test_outbox_modes(spark):
     assert o[("2030-01-01", "today")].skipped and o[("2030-01-01", "today")].text is None
     assert o[("2030-01-01", "test")].words_sent == 1  # falls back to the whole bank
     assert o[("2030-01-01", "all")].words_sent == 1
+
+
+def test_note_files(spark, tmp_root):
+    import glob
+    import os
+
+    from lexmine.sinks import notes as N
+
+    rows = [("ephemeral", "Lasting for a very short time", "Fame is ephemeral.", "https://example.com", 0,
+             dt.datetime(2024, 1, 1)),
+            ("ubiquitous", "Present everywhere", "Smartphones are ubiquitous.", "https://example.com", 1,
+             dt.datetime(2024, 1, 1))]
+    out = os.path.join(tmp_root, "notes")
+    N.write_notes(render.notes(spark.createDataFrame(rows, SCHEMA), "2024-02-01"), out)
+    files = sorted(glob.glob(os.path.join(out, "file=*", "part-*")))
+    assert len(files) == 2
+    text = open(files[0], encoding="utf-8").read()
+    assert text.startswith("---\ntag: #toefl #voca\n") and "# ephemeral\n" in text and text.endswith("english?)\n")
