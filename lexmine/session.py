@@ -2,26 +2,38 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
+import threading
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.errors import AnalysisException
 
-def _code_version() -> str:
-    """Hash of the modules that derive stored tables: a logic change gives a
-    new folder, so a stale copy written by older code is never read back."""
-    import hashlib
-    import inspect
+_VERSION: str | None = None
+_LOCKS: dict[str, threading.Lock] = {}
+_LOCKS_GUARD = threading.Lock()
 
-    from lexmine.functions import text
-    from lexmine.plans import tables
-    from lexmine.sources import corpus
 
-    h = hashlib.sha1()
-    for m in (text, tables, corpus):
-        h.update(inspect.getsource(m).encode())
-    return h.hexdigest()[:12]
+def _code_version() -> str:
+    """Hash of every module of the package: a logic change gives a new table
+    folder, so a stale copy written by older code is never read back."""
+    global _VERSION
+    if _VERSION is None:
+        root = os.path.dirname(os.path.abspath(__file__))
+        h = hashlib.sha1()
+        for dirpath, _, files in sorted(os.walk(root)):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    with open(os.path.join(dirpath, f), "rb") as fh:
+                        h.update(f.encode() + b"\0" + fh.read())
+        _VERSION = h.hexdigest()[:12]
+    return _VERSION
+
+
+def _lock(path: str) -> threading.Lock:
+    with _LOCKS_GUARD:
+        return _LOCKS.setdefault(path, threading.Lock())
 
 
 def local_session(cpus: int | str = "*", app: str = "lexmine", extra: dict | None = None) -> SparkSession:
@@ -80,12 +92,13 @@ def stored_table(spark: SparkSession, name: str, key: str, build, partition_by:
     rebuilds it; a finished table cuts the lineage for every later query.
     """
     path = table_path(spark, name, key)
-    try:
+    with _lock(path):  # one builder per table within this process
+        try:
+            return spark.read.parquet(path)
+        except AnalysisException:
+            pass
+        w = build().write.mode("overwrite")
+        if partition_by:
+            w = w.partitionBy(*partition_by)
+        w.parquet(path)
         return spark.read.parquet(path)
-    except AnalysisException:
-        pass
-    w = build().write.mode("overwrite")
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
-    return spark.read.parquet(path)
