@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexmine.functions import text as T
 from lexmine.operators import bank
-from lexmine.session import shared_dir
+from lexmine.session import literal_column, shared_dir
 
 # ---------------------------------------------------------------------------
 # Fixed values (texts that must equal the reference's output)
@@ -293,9 +293,10 @@ def outbox(vocab: DataFrame, articles: DataFrame, days: list[str], k: int, seed:
     for p in parts[1:]:
         cand = cand.unionByName(p)
     sent = messages(cand, ["day", "mode"], k, seed)
-    grid = spark.createDataFrame(
-        [(day, m) for day in days for m in ("today", "all", "test")], "day string, mode string"
-    ).select(F.col("day").cast("date").alias("day"), "mode")
+    pairs = [f"{day}|{m}" for day in days for m in ("today", "all", "test")]
+    grid = literal_column(spark, pairs, "p").select(
+        F.split("p", r"\|")[0].cast("date").alias("day"), F.split("p", r"\|")[1].alias("mode")
+    )
     out = grid.join(sent, ["day", "mode"], "left")
     n = F.coalesce(F.col("words_sent"), F.lit(0)).cast("bigint")
     return out.select("day", "mode", n.alias("words_sent"), (n == 0).alias("skipped"), "text")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lexmine.operators import bank, extract, ingest, render, responses
 from lexmine.plans import params as P
 from lexmine.plans import tables
-from lexmine.session import stored_table, table_path
+from lexmine.session import literal_column, stored_table, table_path
 from lexmine.streaming import ingest as stream_ingest
 from lexmine.sources import corpus, feeds, pages
 
@@ -56,7 +56,7 @@ def q_vocab_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _queries_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(q,) for q in P.SEARCH_QUERIES], "query string")
+    return literal_column(spark, P.SEARCH_QUERIES, "query")
 
 
 @register("vocab_search_batch")
@@ -156,7 +156,9 @@ BANK_BATCH = "corpus"
 
 
 def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feeds.parse_feeds(feeds.assemble_feeds(spark, sf_dir))
+    """Parsed feeds; the payload table is a landed input, written once."""
+    landed = stored_table(spark, "landing_feeds", sf_dir, lambda: feeds.assemble_feeds(spark, sf_dir))
+    return feeds.parse_feeds(landed)
 
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:

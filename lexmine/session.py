@@ -77,6 +77,14 @@ def shared_dir(spark: SparkSession) -> str:
     return d.rstrip("/")
 
 
+def literal_column(spark: SparkSession, values, name: str, dtype: str = "string") -> DataFrame:
+    """Small literal table built in the JVM (no Python worker on the read path)."""
+    from pyspark.sql import functions as F
+
+    arr = F.array(*[F.lit(v).cast(dtype) for v in values]) if values else F.array().cast(f"array<{dtype}>")
+    return spark.range(1).select(F.explode(arr).alias(name))
+
+
 def table_path(spark: SparkSession, name: str, key: str) -> str:
     """Folder of stored table ``name`` for input ``key`` under the shared folder."""
     safe = "".join(ch if ch.isalnum() or ch in "-_." else "_" for ch in key)
