@@ -165,9 +165,15 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feeds.feed_items(_parsed(spark, sf_dir))
 
 
+def _run_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The run's item list (parsed feeds), staged once: every later step of
+    the run reads it instead of parsing the payloads again."""
+    return stored_table(spark, "run_items", sf_dir, lambda: _items(spark, sf_dir))
+
+
 def _status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.item_status(
-        _items(spark, sf_dir), tables.articles(spark, sf_dir), corpus.table(spark, sf_dir, "pages")
+        _run_items(spark, sf_dir), tables.articles(spark, sf_dir), corpus.table(spark, sf_dir, "pages")
     )
 
 
@@ -198,14 +204,14 @@ def q_feed_head_article(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("known_items")
 def q_known_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest.known_items(_items(spark, sf_dir), tables.articles(spark, sf_dir)).select(
+    return ingest.known_items(_run_items(spark, sf_dir), tables.articles(spark, sf_dir)).select(
         "feed_url", "item_pos", "url"
     )
 
 
 @register("new_items")
 def q_new_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest.new_items(_items(spark, sf_dir), tables.articles(spark, sf_dir)).select(
+    return ingest.new_items(_run_items(spark, sf_dir), tables.articles(spark, sf_dir)).select(
         "feed_url", "item_pos", "url"
     )
 
@@ -308,7 +314,7 @@ def q_stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("stream_dedup")
 def q_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    landing = _landing(spark, sf_dir, "landing_items", lambda: _items(spark, sf_dir))
+    landing = _landing(spark, sf_dir, "landing_items", lambda: _run_items(spark, sf_dir))
     out = stream_ingest.dedup_urls(spark, landing, table_path(spark, "stream_dedup", sf_dir))
     return spark.read.parquet(out).select("url")
 

@@ -18,7 +18,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def hours_after_epoch(hours: Column) -> Column:
-    return F.to_timestamp(F.lit(EPOCH)) + F.make_dt_interval(hours=hours.cast("int"))
+    """Wall-clock ``EPOCH + hours`` (computed without time zone, so no DST shift)."""
+    return (F.to_timestamp_ntz(F.lit(EPOCH)) + F.make_dt_interval(hours=hours.cast("int"))).cast("timestamp")
 
 
 def articles_from_documents(documents: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -40,7 +41,7 @@ def articles_from_documents(documents: DataFrame, keep: list[str] | None = None)
         F.col("text").alias("content"),
         F.when(kind == 0, SOURCE_TYPES[0]).when(kind == 1, SOURCE_TYPES[1]).otherwise(SOURCE_TYPES[2]).alias("source"),
         published.alias("published_at"),
-        (published + F.make_dt_interval(hours=F.lit(COLLECT_DELAY_HOURS))).alias("collected_at"),
+        hours_after_epoch(F.col("doc_id") + COLLECT_DELAY_HOURS).alias("collected_at"),
     )
 
 
