@@ -89,7 +89,10 @@ def table_path(spark: SparkSession, name: str, key: str) -> str:
     """Folder of stored table ``name`` for input ``key`` under the shared folder."""
     safe = "".join(ch if ch.isalnum() or ch in "-_." else "_" for ch in key)
     ns = spark.conf.get("spark.lexmine.tables.namespace", "default")
-    return f"{shared_dir(spark)}/lexmine-tables/{ns}/{_code_version()}/{name}/{safe}"
+    # timestamps derived from wall-clock rules depend on the session zone, so
+    # sessions in different zones never share a stored copy
+    tz = "".join(ch if ch.isalnum() else "_" for ch in spark.conf.get("spark.sql.session.timeZone", "UTC"))
+    return f"{shared_dir(spark)}/lexmine-tables/{ns}/{_code_version()}-{tz}/{name}/{safe}"
 
 
 def stored_table(spark: SparkSession, name: str, key: str, build, partition_by: list[str] | None = None) -> DataFrame:
