@@ -307,7 +307,7 @@ def q_stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     landing = _landing(spark, sf_dir, "landing_pages", lambda: corpus.table(spark, sf_dir, "pages"))
     root = table_path(spark, "stream_ingest", sf_dir)
     out = stream_ingest.ingest_pages(
-        spark, landing, root, tables.articles(spark, sf_dir), RUN_AT, max_files_per_trigger=1
+        spark, landing, root, tables.articles(spark, sf_dir), RUN_AT, max_files_per_trigger=2
     )
     return spark.read.parquet(out["articles"]).select("url", "title", "content")
 

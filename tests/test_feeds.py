@@ -23,7 +23,8 @@ ATOM = """<?xml version="1.0" encoding="UTF-8"?>
 </feed>"""
 JSON = ('{"version":"https://jsonfeed.org/version/1.1","title":"J","items":['
         '{"id":"1","title":"J1","date_published":"2024-03-01T00:00:00Z","content_text":"body"},'
-        '{"id":"2","url":"https://json.example/2"}]}')
+        '{"id":"2","url":"https://json.example/2"},'
+        '{"id":"3","external_url":"https://elsewhere.example/3","date_modified":"2024-03-02T00:00:00Z"}]}')
 EMPTY = ('<?xml version="1.0"?><rss version="2.0"><channel><title>Empty</title>'
          '<link>https://e.example</link><description>none</description></channel></rss>')
 FETCHED = dt.datetime(2024, 6, 1)
@@ -42,6 +43,7 @@ def test_items(spark):
         ("atom", 0, "https://atom.example/1", "Entry one", dt.datetime(2024, 2, 1, 8, 0)),
         ("atom", 1, "https://atom.example/2", "Untitled", dt.datetime(2024, 2, 3)),
         ("json", 1, "https://json.example/2", "Untitled", FETCHED),
+        ("json", 2, "https://elsewhere.example/3", "Untitled", dt.datetime(2024, 3, 2)),
         ("rss", 0, "https://demo.example/a1", "First & best", dt.datetime(2024, 1, 2, 8, 30)),
         ("rss", 1, "https://demo.example/a2", "Second", dt.datetime(2024, 1, 1, 12, 0)),
     ]
@@ -52,7 +54,7 @@ def test_errors_and_empty(spark):
     assert [r.feed_url for r in feeds.feed_errors(p).collect()] == ["bad"]
     kinds = {r.feed_url: (r.kind, r.ok, len(r["items"])) for r in p.collect()}
     assert kinds["empty"] == ("rss", True, 0)
-    assert kinds["json"] == ("json", True, 2)
+    assert kinds["json"] == ("json", True, 3)
 
 
 def test_head_articles(spark):
