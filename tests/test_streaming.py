@@ -21,3 +21,24 @@ def test_stream_equals_batch(spark, tmp_root):
     S.ingest_pages(spark, landing, root, stored, "2024-06-01 00:00:00", max_files_per_trigger=1)
     assert spark.read.parquet(out["articles"]).count() == len(batch)
     assert spark.read.parquet(out["vocab"]).count() == n_vocab
+
+
+def test_stream_dedup_and_daily_counts(spark, tmp_root):
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+
+    items = [("f1", i, f"u{i % 7}", "t", dt.datetime(2024, 1, 1 + i % 3)) for i in range(30)]
+    landing = os.path.join(tmp_root, "items")
+    (spark.createDataFrame(items, S.ITEM_SCHEMA).repartition(3).write.mode("overwrite").parquet(landing))
+    out = S.dedup_urls(spark, landing, os.path.join(tmp_root, "dedup"))
+    assert sorted(r.url for r in spark.read.parquet(out).collect()) == [f"u{i}" for i in range(7)]
+
+    vocab = [(f"s{i}", 0, "w", "d", "c", dt.datetime(2024, 1, 1 + i % 4, i % 24)) for i in range(40)]
+    vl = os.path.join(tmp_root, "vocab")
+    spark.createDataFrame(vocab, S.VOCAB_SCHEMA).repartition(2).write.mode("overwrite").parquet(vl)
+    counts = S.daily_word_counts(spark, vl, os.path.join(tmp_root, "daily"))
+    got = {r.day: r.words for r in spark.read.parquet(counts).collect()}
+    want = {r.day: r.n for r in spark.read.parquet(vl).groupBy(F.to_date("collected_at").alias("day"))
+            .agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert got == want
