@@ -63,10 +63,6 @@ def collapse_ws(col: Column) -> Column:
     return F.trim(F.regexp_replace(col, WS_REGEX, " "))
 
 
-def byte_length(col: Column) -> Column:
-    return F.octet_length(col)
-
-
 def is_alphabetic(col: Column) -> Column:
     """True when every character is Unicode-alphabetic (and there is one)."""
     return col.rlike(ALPHA_TOKEN_REGEX)

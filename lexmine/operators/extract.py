@@ -43,6 +43,7 @@ EXTRACT_SCHEMA = (
     "source_url string, pos bigint, word string, definition string, "
     "context_sentence string, status string, error string"
 )
+EXTRACT_SCHEMA_COLS = [c.split()[0] for c in EXTRACT_SCHEMA.split(", ")]
 
 
 def extract_with(
@@ -55,7 +56,7 @@ def extract_with(
     """Pluggable extractor: ``fn(text) -> [{word, definition, context_sentence}]``.
 
     Runs with ``mapInPandas`` so any client is opened once per task
-    (``setup()``), and never raises: a failing article yields one row with
+    (``setup()``; ``fn`` then gets it as a second argument), and never raises: a failing article yields one row with
     ``status='llm_error'`` and no word, so the article is still kept.  The
     result is filtered like the remote extractor's output and carries the
     article URL.  Persist it before use; extractors may be costly and
@@ -68,11 +69,11 @@ def extract_with(
             out = []
             for url, text in zip(pdf[url_col], pdf[text_col]):
                 try:
-                    words = fn(text if text is not None else "") if ctx is None else fn(text or "", ctx)
-                    for i, w in enumerate(words):
-                        out.append((url, i, w["word"], w["definition"], w["context_sentence"], "ok", None))
-                    if not words:
-                        out.append((url, None, None, None, None, "ok", None))
+                    words = fn(text or "") if ctx is None else fn(text or "", ctx)
+                    # all or nothing per article: a malformed entry rejects the response
+                    rows = [(url, i, w["word"], w["definition"], w["context_sentence"], "ok", None)
+                            for i, w in enumerate(words)]
+                    out.extend(rows or [(url, None, None, None, None, "ok", None)])
                 except Exception as e:  # noqa: BLE001 - failure becomes a status row
                     out.append((url, None, None, None, None, "llm_error", f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(out, columns=EXTRACT_SCHEMA_COLS)
@@ -84,9 +85,6 @@ def extract_with(
     return res.where(keep)
 
 
-EXTRACT_SCHEMA_COLS = [c.split()[0] for c in EXTRACT_SCHEMA.split(", ")]
-
-
 def sample_extractor(text: str) -> list[dict]:
     """Example user extractor (plain Python): the offline rule, word by word."""
     from lexmine.functions.html import _WS as ws

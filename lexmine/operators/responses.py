@@ -136,13 +136,11 @@ def response_words(outcome: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 # Response table assembled from documents (test input): one response per
 # document; the answer lists its first six alphabetic tokens (so short and
-# stop words occur); doc_id mod 12 picks the outcome case.
+# stop words occur); doc_id mod 12 picks the outcome case: remote HTTP error,
+# body not JSON, remote error message, no candidates, empty parts, text not
+# JSON, bare object, missing key, number as word, extra key, ok, ok.
 # ---------------------------------------------------------------------------
 
-RESPONSE_CASES = (
-    "http_error", "not_json", "remote_error", "no_candidates", "empty_parts", "text_not_json",
-    "bare_object", "missing_key", "number_word", "extra_key", "ok", "ok",
-)
 
 
 def _envelope(text: Column) -> Column:

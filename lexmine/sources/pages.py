@@ -41,10 +41,3 @@ def page_text(pages: DataFrame) -> DataFrame:
 def with_empty_flag(texts: DataFrame) -> DataFrame:
     """Empty text is not an error: the row stays, flagged."""
     return texts.withColumn("empty_body", F.col("text") == F.lit(""))
-
-
-def page_articles(pages: DataFrame, texts: DataFrame | None = None) -> DataFrame:
-    """``(url, title, content)`` per page: ``<title>`` text and the main text."""
-    t = texts if texts is not None else page_text(pages)
-    titles = pages.select("page_id", H.page_title(F.col("html")).alias("title"))
-    return t.join(titles, "page_id").select("page_id", "url", "title", F.col("text").alias("content"))

@@ -102,3 +102,5 @@ def test_note_files(spark, tmp_root):
     assert len(files) == 2
     text = open(files[0], encoding="utf-8").read()
     assert text.startswith("---\ntag: #toefl #voca\n") and "# ephemeral\n" in text and text.endswith("english?)\n")
+    paths = [r.path for r in N.export_paths(spark.createDataFrame(rows + rows[:1], SCHEMA), out).collect()]
+    assert sorted(paths) == [out + "/ephemeral.md", out + "/ephemeral.md", out + "/ubiquitous.md"]
