@@ -18,23 +18,25 @@ def slow_main_text(html: Column) -> Column:
     return F.pandas_udf(_main_texts, "string")(html)
 
 
-def page_text(pages: DataFrame) -> DataFrame:
-    """``(page_id, url, text)`` for every page, in one pass over ``pages``.
+def page_text(pages: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """``(page_id, url, text, *keep)`` for every page, in one pass over ``pages``.
 
     The native expression is computed once per page; only pages it cannot
     handle exactly send their HTML to the Python walker (the others send a
     null), so the Arrow hop carries almost nothing on typical pages.
     """
-    base = pages.select("page_id", "url", "html").withColumn("_native", H.native_article_text(F.col("html")))
+    keep = list(keep or [])
+    base = pages.select("page_id", "url", "html", *keep).withColumn("_native", H.native_article_text(F.col("html")))
     # _native is referenced twice below: Catalyst keeps it in its own
     # projection instead of inlining (and recomputing) it.
     staged = base.select(
-        "page_id", "url", "_native", F.when(F.col("_native").isNull(), F.col("html")).alias("_slow_html")
+        "page_id", "url", *keep, "_native", F.when(F.col("_native").isNull(), F.col("html")).alias("_slow_html")
     )
     return staged.select(
         "page_id",
         "url",
         F.coalesce(F.col("_native"), slow_main_text(F.col("_slow_html")), F.lit("")).alias("text"),
+        *keep,
     )
 
 

@@ -69,9 +69,8 @@ def ingest_pages(
         # first page per URL within the batch, then skip every stored URL
         first = batch.groupBy("url").agg(F.min_by(F.struct("page_id", "html"), "page_id").alias("p"))
         fresh = first.select("url", "p.page_id", "p.html").join(known, "url", "left_anti")
-        texts = pages.page_text(fresh.select("page_id", "url", "html"))
-        titles = fresh.select("page_id", H.page_title(F.col("html")).alias("title"))
-        staged = texts.join(titles, "page_id").select(
+        fresh = fresh.withColumn("title", H.page_title(F.col("html")))
+        staged = pages.page_text(fresh, keep=["title"]).select(
             "url",
             "title",
             F.col("text").alias("content"),
