@@ -63,6 +63,10 @@ def extract_with(
     non-deterministic.
     """
 
+    from lexmine.session import ship_package
+
+    ship_package(articles.sparkSession)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ctx = setup() if setup else None
         for pdf in batches:

@@ -86,6 +86,9 @@ def strict_word_list(col: Column) -> Column:
 def outcomes(responses: DataFrame) -> DataFrame:
     """``(url, status, error, words_json)`` with the first failing rule winning:
     non-2xx, envelope not JSON, remote error message, no text, bad word list."""
+    from lexmine.session import ship_package
+
+    ship_package(responses.sparkSession)
     env = F.try_parse_json(F.col("body"))
     msg = F.try_variant_get(env, "$.error.message", "string")
     txt = F.try_variant_get(env, "$.candidates[0].content.parts[0].text", "string")

@@ -113,3 +113,36 @@ def stored_table(spark: SparkSession, name: str, key: str, build, partition_by:
             w = w.partitionBy(*partition_by)
         w.parquet(path)
         return spark.read.parquet(path)
+
+
+_SHIPPED: set[str] = set()
+_SHIP_GUARD = threading.Lock()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``lexmine`` importable in Python workers (``--py-files`` equivalent).
+
+    Python UDFs defined here are pickled by reference, so executors must be
+    able to import the package.  It is zipped once per code version and
+    registered with ``addPyFile``; Spark ships it to every executor.
+    """
+    import zipfile
+
+    sc = spark.sparkContext
+    key = f"{sc.applicationId}:{_code_version()}"
+    with _SHIP_GUARD:
+        if key in _SHIPPED:
+            return
+        pkg = os.path.dirname(os.path.abspath(__file__))
+        out = os.path.join(tempfile.gettempdir(), f"lexmine-pyfiles-{_code_version()}-{os.getpid()}.zip")
+        if not os.path.exists(out):
+            tmp = out + ".part"
+            with zipfile.ZipFile(tmp, "w", zipfile.ZIP_DEFLATED) as z:
+                for dirpath, _, files in os.walk(pkg):
+                    for f in files:
+                        if f.endswith(".py"):
+                            full = os.path.join(dirpath, f)
+                            z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+            os.replace(tmp, out)
+        sc.addPyFile(out)
+        _SHIPPED.add(key)

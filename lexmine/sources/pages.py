@@ -18,6 +18,12 @@ def slow_main_text(html: Column) -> Column:
     return F.pandas_udf(_main_texts, "string")(html)
 
 
+def _ship(df: DataFrame) -> None:
+    from lexmine.session import ship_package
+
+    ship_package(df.sparkSession)
+
+
 def page_text(pages: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """``(page_id, url, text, *keep)`` for every page, in one pass over ``pages``.
 
@@ -26,6 +32,7 @@ def page_text(pages: DataFrame, keep: list[str] | None = None) -> DataFrame:
     null), so the Arrow hop carries almost nothing on typical pages.
     """
     keep = list(keep or [])
+    _ship(pages)
     base = pages.select("page_id", "url", "html", *keep).withColumn("_native", H.native_article_text(F.col("html")))
     # _native is referenced twice below: Catalyst keeps it in its own
     # projection instead of inlining (and recomputing) it.
