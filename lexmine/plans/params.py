@@ -12,7 +12,7 @@ MESSAGE_WORDS = 3
 # Date printed in Markdown notes.
 NOTE_DATE = "2024-02-01"
 # Single search query (upper case: SQLite LIKE folds ASCII).
-SEARCH_QUERY = "TION"
+SEARCH_QUERY = "MENT"
 # Batch of search queries: plain, upper case, wildcards, backslash, accents,
 # empty (matches everything) and no match.
 SEARCH_QUERIES = (
