@@ -16,18 +16,22 @@ from lexmine.sources import corpus
 
 
 def build_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Article table, hash-partitioned by ``url`` into evenly sized files.
+    """Article table, files sorted by ``collected_at`` (day filters skip row groups).
 
-    Landed corpora often arrive as a few huge row groups; spreading articles
-    by URL hash once, at build time, makes every later text pass (the
-    extractor first of all) run on all cores.  Files are sorted by
-    ``collected_at`` so day filters skip row groups.
+    A large landed corpus is many files and already splits across all cores,
+    so it is written as read (no shuffle).  An input of fewer files than
+    cores (possibly a single row group) is spread by URL hash first, so the
+    text passes that follow do not run in one task; the shuffle is small
+    exactly when it happens.
     """
-    a = corpus.documents_articles(spark, sf_dir)
+    docs = corpus.table(spark, sf_dir, "documents")
+    a = corpus.articles_from_documents(docs)
     # NOT NULL columns: rows missing one are ignored on insert.
     a = a.dropna(subset=["url", "title", "content", "source", "published_at", "collected_at"])
-    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return a.repartition(n, "url").sortWithinPartitions("collected_at")
+    cores = spark.sparkContext.defaultParallelism
+    if len(docs.inputFiles()) < cores:
+        a = a.repartition(cores, "url")
+    return a.sortWithinPartitions("collected_at")
 
 
 def build_vocab(articles: DataFrame) -> DataFrame:
