@@ -18,19 +18,12 @@ from lexmine.sources import corpus
 def build_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Article table, files sorted by ``collected_at`` (day filters skip row groups).
 
-    A large landed corpus is many files and already splits across all cores,
-    so it is written as read (no shuffle).  An input of fewer files than
-    cores (possibly a single row group) is spread by URL hash first, so the
-    text passes that follow do not run in one task; the shuffle is small
-    exactly when it happens.
+    Written as read: ``corpus.table`` already spreads a small landed input
+    over all cores, and a large one splits by itself.
     """
-    docs = corpus.table(spark, sf_dir, "documents")
-    a = corpus.articles_from_documents(docs)
+    a = corpus.articles_from_documents(corpus.table(spark, sf_dir, "documents"))
     # NOT NULL columns: rows missing one are ignored on insert.
     a = a.dropna(subset=["url", "title", "content", "source", "published_at", "collected_at"])
-    cores = spark.sparkContext.defaultParallelism
-    if len(docs.inputFiles()) < cores:
-        a = a.repartition(cores, "url")
     return a.sortWithinPartitions("collected_at")
 
 

@@ -13,8 +13,24 @@ TITLE_CHARS = 60
 SOURCE_TYPES = ("RSS", "Manual", "Youtube")
 
 
+# Text-heavy landed tables and the key their rows are spread by.
+TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A landed table.
+
+    A large landed table is many files and splits across all cores as read.
+    A text-heavy one stored in fewer files than cores (possibly one row
+    group, i.e. one task) is spread by its key first, so the per-row text
+    work runs in parallel; the shuffle only happens when the input is small.
+    """
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    key = TEXT_TABLES.get(name)
+    cores = spark.sparkContext.defaultParallelism
+    if key and len(df.inputFiles()) < cores:
+        df = df.repartition(cores, key)
+    return df
 
 
 def hours_after_epoch(hours: Column) -> Column:
