@@ -169,8 +169,8 @@ SELECT d.day, NULL::TIMESTAMP AS part_at, NULL::VARCHAR AS part_url,
 FROM days d LEFT JOIN counts c ON d.day = c.day
 UNION ALL
 SELECT day, collected_at, source_url, block FROM blocks"""
-    vcard = card.replace('word', 'v.word').replace('definition', 'v.definition').replace(
-        'context_sentence', 'v.context_sentence').replace('source_url', 'v.source_url')
+    vcard = dfill("**{w}**\n\n*Definition:* {d}\n\n> {c}\n\nSource: {u}",
+                  w="v.word", d="v.definition", c="v.context_sentence", u="v.source_url")
     q["search_documents"] = f"""{BANK}, {qv},
 hits AS (SELECT q.query, v.collected_at, v.source_url, v.pos, {vcard} AS card
          FROM vocab_v v JOIN q ON ({like_contains('v.word', 'q.query')}) OR ({like_contains('v.definition', 'q.query')})),
