@@ -4,7 +4,7 @@ messages."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmine.functions import text as T
@@ -272,27 +272,37 @@ def outbox(vocab: DataFrame, articles: DataFrame, days: list[str], k: int, seed:
     ``today``: the day's words; ``all``: the whole bank; ``test``: the day's
     words, or the whole bank when the day has none.  An empty candidate set
     is skipped (nothing sent, ``text`` null).  Every mode sends at most ``k``.
+
+    The whole-bank pick does not depend on the day: it is one global top-k
+    (k rows), reused for every day.  Per day only that day's rows are read.
     """
     spark = vocab.sparkSession
     cols = [*bank.BANK_COLUMNS, "pos"]
+    ranked = Window.orderBy("rkey", "source_url", "pos")  # over k rows only
+    top_all = (
+        vocab.select(*cols)
+        .withColumn("rkey", bank.order_key(seed))
+        .orderBy("rkey", "source_url", "pos")
+        .limit(k)
+        .withColumn("pick", F.row_number().over(ranked).cast("bigint"))
+    )
     parts = []
     for day in days:
-        today = _day_rows(vocab, articles, day)
-        everything = vocab.select(*cols)
-        # whole bank only when the day has no word: anti-join on a constant
-        # key against at most one row of the day
-        marker = today.select(F.lit(1).alias("_k")).limit(1)
-        fallback = everything.withColumn("_k", F.lit(1)).join(F.broadcast(marker), "_k", "left_anti").drop("_k")
         d = F.lit(day).cast("date")
+        today = bank.pick_per_group(_day_rows(vocab, articles, day).withColumn("day", d), ["day"], k, seed).drop("day")
+        # whole-bank picks only when the day has no word: anti-join on a
+        # constant key against at most one row of the day
+        marker = today.select(F.lit(1).alias("_k")).limit(1)
+        fallback = top_all.withColumn("_k", F.lit(1)).join(F.broadcast(marker), "_k", "left_anti").drop("_k")
         parts += [
             today.withColumn("mode", F.lit("today")).withColumn("day", d),
-            everything.withColumn("mode", F.lit("all")).withColumn("day", d),
+            top_all.withColumn("mode", F.lit("all")).withColumn("day", d),
             today.unionByName(fallback).withColumn("mode", F.lit("test")).withColumn("day", d),
         ]
-    cand = parts[0]
+    picks = parts[0]
     for p in parts[1:]:
-        cand = cand.unionByName(p)
-    sent = messages(cand, ["day", "mode"], k, seed)
+        picks = picks.unionByName(p)
+    sent = message_text(picks, ["day", "mode"])
     pairs = [f"{day}|{m}" for day in days for m in ("today", "all", "test")]
     grid = literal_column(spark, pairs, "p").select(
         F.split("p", r"\|")[0].cast("date").alias("day"), F.split("p", r"\|")[1].alias("mode")
