@@ -16,5 +16,5 @@ SEARCH_QUERY = "MENT"
 # Batch of search queries: plain, upper case, wildcards, backslash, accents,
 # empty (matches everything) and no match.
 SEARCH_QUERIES = (
-    "serendip", "tion", "MENT", "ab%ly", "inter_a", "\\", "é", "É", "", "qqqzzz", "definition for 'un", "x",
+    "archae", "tion", "MENT", "ab%ly", "inter_a", "\\", "é", "É", "", "qqqzzz", "definition for 'un", "x",
 )

@@ -18,7 +18,7 @@ from lexmine.sources import corpus
 def build_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Article table, files sorted by ``collected_at`` (day filters skip row groups).
 
-    Written as read: ``corpus.table`` already spreads a small landed input
+    Written as read: ``corpus.table`` already redistributes a small landed input
     over all cores, and a large one splits by itself.
     """
     a = corpus.articles_from_documents(corpus.table(spark, sf_dir, "documents"))

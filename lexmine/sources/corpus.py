@@ -13,7 +13,7 @@ TITLE_CHARS = 60
 SOURCE_TYPES = ("RSS", "Manual", "Youtube")
 
 
-# Text-heavy landed tables and the key their rows are spread by.
+# Text-heavy landed tables and the key used to redistribute their rows.
 TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
 
 
@@ -22,7 +22,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
     A large landed table is many files and splits across all cores as read.
     A text-heavy one stored in fewer files than cores (possibly one row
-    group, i.e. one task) is spread by its key first, so the per-row text
+    group, i.e. one task) is redistributed by its key first, so the per-row text
     work runs in parallel; the shuffle only happens when the input is small.
     """
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -43,7 +43,7 @@ def articles_from_documents(documents: DataFrame, keep: list[str] | None = None)
 
     ``url = doc://<source>/<doc_id>``; the source type cycles RSS, Manual,
     Youtube over ``doc_id``; publication is ``doc_id`` hours after the epoch
-    and collection six hours later, so rows spread over many days.
+    and collection six hours later, so rows fall on many days.
     """
     keep = keep or []
     d = documents.select("doc_id", "text", "source", *[c for c in keep if c not in ("doc_id", "text", "source")])

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from lexmine.operators import bank
 
 VOCAB = [
-    ("serendipity", "Finding good things by chance", "It was serendipity.", "https://a.example/1", 0),
-    ("ephemeral", "Lasting 100% of a short time", "Fame is ephemeral.", "https://a.example/1", 1),
-    ("ubiquitous", "Present everywhere_", "Phones are ubiquitous.", "https://a.example/2", 0),
+    ("quixotic", "Idealistic beyond reason", "A quixotic quest.", "https://a.example/1", 0),
+    ("laconic", "Using 100% fewer words", "A laconic reply.", "https://a.example/1", 1),
+    ("pervasive", "Found all around_", "A pervasive hum.", "https://a.example/2", 0),
     ("Éclat", "brilliant display \\ success", "With éclat.", "https://a.example/3", 0),
 ]
 ARTICLES = [
@@ -33,21 +33,21 @@ def words(df):
 
 def test_search(spark):
     v = vocab(spark)
-    assert words(bank.search(v, "serendip")) == ["serendipity"]
+    assert words(bank.search(v, "quixo")) == ["quixotic"]
     assert words(bank.search(v, "xyz")) == []
-    assert words(bank.search(v, "SERENDIP")) == ["serendipity"]  # ASCII folding
+    assert words(bank.search(v, "QUIXO")) == ["quixotic"]  # ASCII folding
     assert words(bank.search(v, "éclat")) == []  # no folding beyond ASCII
     assert words(bank.search(v, "Éclat")) == ["Éclat"]
-    assert words(bank.search(v, "everywhere")) == ["ubiquitous"]  # definition only
-    assert words(bank.search(v, "100%")) == ["ephemeral"]  # % stays a wildcard
-    assert words(bank.search(v, "s_r")) == ["serendipity"]  # _ stays a wildcard
+    assert words(bank.search(v, "all around")) == ["pervasive"]  # definition only
+    assert words(bank.search(v, "100%")) == ["laconic"]  # % stays a wildcard
+    assert words(bank.search(v, "q_i")) == ["quixotic"]  # _ stays a wildcard
     assert words(bank.search(v, "\\")) == ["Éclat"]  # backslash is literal
     assert len(words(bank.search(v, ""))) == 4
 
 
 def test_search_batch_equals_single(spark):
     v = vocab(spark)
-    qs = ["serendip", "xyz", "E", "", "100%", "\\", "s_r"]
+    qs = ["quixo", "xyz", "E", "", "100%", "\\", "q_i"]
     batch = bank.search_batch(v, spark.createDataFrame([(q,) for q in qs], "query string")).collect()
     got = {(r.query, r.word) for r in batch}
     want = {(q, w) for q in qs for w in words(bank.search(v, q))}
@@ -56,15 +56,15 @@ def test_search_batch_equals_single(spark):
 
 def test_today_across_midnight(spark):
     got = words(bank.vocab_on_day(vocab(spark), articles(spark), "2024-01-03"))
-    assert got == sorted(["Éclat", "ubiquitous"])
-    assert words(bank.vocab_on_day(vocab(spark), articles(spark), "2024-01-02")) == ["ephemeral", "serendipity"]
+    assert got == sorted(["Éclat", "pervasive"])
+    assert words(bank.vocab_on_day(vocab(spark), articles(spark), "2024-01-02")) == ["laconic", "quixotic"]
 
 
 def test_random_word(spark):
     empty = vocab(spark, [])
     assert bank.random_word(empty, "s").collect() == []
     one = vocab(spark, VOCAB[:1])
-    assert [r.word for r in bank.random_word(one, "s").collect()] == ["serendipity"]
+    assert [r.word for r in bank.random_word(one, "s").collect()] == ["quixotic"]
     a = bank.random_word(vocab(spark), "s1").first().word
     assert bank.random_word(vocab(spark), "s1").first().word == a  # repeatable
 

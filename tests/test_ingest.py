@@ -37,22 +37,22 @@ def test_status_rules(spark):
 
 
 def test_insert_or_ignore_keeps_first(spark):
-    stored = spark.createDataFrame([("u1", "Original Title", "Original content.", "Youtube", T0, T0)], ART_SCHEMA)
+    stored = spark.createDataFrame([("u1", "First seen", "First body.", "Youtube", T0, T0)], ART_SCHEMA)
     incoming = spark.createDataFrame([
-        ("u1", "Different Title", "Different content.", "RSS", T0, T0),
+        ("u1", "Seen again", "Another body.", "RSS", T0, T0),
         ("u2", "New", "c", "Manual", T0, T0),
         ("u3", None, "c", "RSS", T0, T0),
     ], ART_SCHEMA)
     out = {r.url: r for r in ingest.insert_or_ignore(stored, incoming).collect()}
     assert set(out) == {"u1", "u2"}
-    assert out["u1"].title == "Original Title" and out["u1"].source == "Youtube"
+    assert out["u1"].title == "First seen" and out["u1"].source == "Youtube"
 
 
 def test_stage_stats_and_rerun(spark):
     it = items(spark, [("f", 0, "p1"), ("f", 1, "p2"), ("g", 0, "p1")])
     stored = spark.createDataFrame([], "url string")
     landed = spark.createDataFrame([("p1",), ("p2",)], "url string")
-    texts = spark.createDataFrame([("p1", "The unprecedented technological advancement"), ("p2", "")],
+    texts = spark.createDataFrame([("p1", "Remarkable archaeological excavations"), ("p2", "")],
                                   "url string, text string")
     status = ingest.item_status(it, stored, landed)
     st = ingest.stage(status, texts, "2024-06-01 00:00:00")

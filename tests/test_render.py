@@ -7,18 +7,18 @@ from pyspark.sql import functions as F
 
 from lexmine.operators import render
 
-ROW = ("paradigm", "A typical example or pattern of something; a model",
-       "Rust introduces a new paradigm for memory safety.", "https://blog.example/2024/01/ownership", 0,
+ROW = ("lucid", "Expressed clearly; easy to understand",
+       "Her lucid account settled the debate.", "https://notes.example/2024/03/clarity", 0,
        dt.datetime(2024, 1, 3, 9))
 SCHEMA = "word string, definition string, context_sentence string, source_url string, pos bigint, collected_at timestamp"
-CARD = ("**paradigm**\n\n*Definition:* A typical example or pattern of something; a model\n\n"
-        "> Rust introduces a new paradigm for memory safety.\n\nSource: https://blog.example/2024/01/ownership")
+CARD = ("**lucid**\n\n*Definition:* Expressed clearly; easy to understand\n\n"
+        "> Her lucid account settled the debate.\n\nSource: https://notes.example/2024/03/clarity")
 
 
 def test_card_and_digest(spark):
     v = spark.createDataFrame([ROW], SCHEMA)
     assert render.with_card(v).first().card == CARD
-    arts = spark.createDataFrame([("https://blog.example/2024/01/ownership", dt.datetime(2024, 1, 3, 9)),
+    arts = spark.createDataFrame([("https://notes.example/2024/03/clarity", dt.datetime(2024, 1, 3, 9)),
                                   ("https://x.example", dt.datetime(2024, 1, 4, 1))], "url string, collected_at timestamp")
     d = {r.day: r.text for r in render.assemble(render.day_digests(v, arts), ["day"]).collect()}
     assert d[dt.date(2024, 1, 3)] == "# Today's Vocabulary (1 words)\n\n" + CARD
@@ -27,20 +27,20 @@ def test_card_and_digest(spark):
 
 def test_search_documents(spark):
     v = spark.createDataFrame([ROW, ("model", "x", "y", "u", 0, dt.datetime(2024, 1, 5))], SCHEMA)
-    q = spark.createDataFrame([("paradigm",), ("xyz",), ("m",)], "query string")
+    q = spark.createDataFrame([("lucid",), ("xyz",), ("d",)], "query string")
     parts = render.search_documents(v, q)
-    assert parts.where("query = 'm'").count() == 2  # one part per matching article
+    assert parts.where("query = 'd'").count() == 2  # one part per matching article
     d = {r.query: r.text for r in render.assemble(parts, ["query"]).collect()}
-    assert d["paradigm"] == CARD
+    assert d["lucid"] == CARD
     assert d["xyz"] == "No vocabulary found matching 'xyz'"
-    assert d["m"].startswith(CARD + "\n\n---\n\n**model**")
+    assert d["d"].startswith(CARD + "\n\n---\n\n**model**")
 
 
 def test_quiz(spark):
     v = spark.createDataFrame([ROW], SCHEMA)
     q = render.quizzes(v).first()
     assert json.loads(q.quiz_json) == {
-        "type": "quiz", "word": "paradigm", "question": "What is the meaning of 'paradigm'?",
+        "type": "quiz", "word": "lucid", "question": "What is the meaning of 'lucid'?",
         "answer": ROW[1], "context": ROW[2], "source": ROW[3],
     }
     assert q.quiz_json.startswith('{\n  "answer": ')
@@ -51,29 +51,29 @@ def test_quiz(spark):
 
 def test_notes(spark):
     rows = [
-        ("serendipity", "The occurrence of events by chance", "It was pure serendipity that we met.",
+        ("quixotic", "Idealistic to an impractical degree", "The plan was bold but quixotic.",
          "https://example.com/article", 0, dt.datetime(2024, 1, 1)),
-        ("test/word:with*special", "Test", "Test.", "https://example.com", 0, dt.datetime(2024, 1, 1)),
-        ("Serendipity", "second", "later row", "https://example.com/b", 0, dt.datetime(2024, 1, 2)),
-        ("serendipity", "third", "latest row", "https://example.com/c", 0, dt.datetime(2024, 1, 3)),
+        ("semi/colon:star*word", "Test", "Test.", "https://example.com", 0, dt.datetime(2024, 1, 1)),
+        ("Quixotic", "second", "later row", "https://example.com/b", 0, dt.datetime(2024, 1, 2)),
+        ("quixotic", "third", "latest row", "https://example.com/c", 0, dt.datetime(2024, 1, 3)),
         ("%%%", "sym", "sym.", "https://example.com/d", 0, dt.datetime(2024, 1, 1)),
     ]
     n = {r.file: r.content for r in render.notes(spark.createDataFrame(rows, SCHEMA), "2024-02-01").collect()}
-    assert set(n) == {"serendipity.md", "testwordwithspecial.md", "Serendipity.md", ".md"}
-    c = n["serendipity.md"]  # the later row wins
-    assert c == ("---\ntag: #toefl #voca\ndate: 2024-02-01\nsource: https://example.com/c\n---\n# serendipity\n"
+    assert set(n) == {"quixotic.md", "semicolonstarword.md", "Quixotic.md", ".md"}
+    c = n["quixotic.md"]  # the later row wins
+    assert c == ("---\ntag: #toefl #voca\ndate: 2024-02-01\nsource: https://example.com/c\n---\n# quixotic\n"
                  "**Definition:** third\n\n> latest row\n\n"
-                 "[YouGlish로 발음 듣기](https://youglish.com/pronounce/serendipity/english?)\n")
+                 "[YouGlish로 발음 듣기](https://youglish.com/pronounce/quixotic/english?)\n")
 
 
 def test_message(spark):
-    v = spark.createDataFrame([("ephemeral", "Lasting for a very short time.",
-                                "Fashions are ephemeral, changing with every season.", "u", 0, dt.datetime(2024, 1, 1))],
+    v = spark.createDataFrame([("laconic", "Using very few words.",
+                                "His laconic reply (one word) ended the call.", "u", 0, dt.datetime(2024, 1, 1))],
                               SCHEMA).withColumn("g", F.lit(1))
     m = render.messages(v, ["g"], 3, "s").first()
     assert m.words_sent == 1
-    assert m.text == ("📚 *Today's Vocabulary*\n\n1\\. *ephemeral*\n   📖 _Lasting for a very short time\\._\n"
-                      "   > \"Fashions are ephemeral, changing with every season\\.\"\n\n")
+    assert m.text == ("📚 *Today's Vocabulary*\n\n1\\. *laconic*\n   📖 _Using very few words\\._\n"
+                      "   > \"His laconic reply \\(one word\\) ended the call\\.\"\n\n")
 
 
 def test_outbox_modes(spark):
@@ -92,15 +92,15 @@ def test_note_files(spark, tmp_root):
 
     from lexmine.sinks import notes as N
 
-    rows = [("ephemeral", "Lasting for a very short time", "Fame is ephemeral.", "https://example.com", 0,
+    rows = [("laconic", "Using very few words", "A laconic note.", "https://example.com", 0,
              dt.datetime(2024, 1, 1)),
-            ("ubiquitous", "Present everywhere", "Smartphones are ubiquitous.", "https://example.com", 1,
+            ("pervasive", "Spread throughout", "A pervasive smell.", "https://example.com", 1,
              dt.datetime(2024, 1, 1))]
     out = os.path.join(tmp_root, "notes")
     N.write_notes(render.notes(spark.createDataFrame(rows, SCHEMA), "2024-02-01"), out)
     files = sorted(glob.glob(os.path.join(out, "file=*", "part-*")))
     assert len(files) == 2
     text = open(files[0], encoding="utf-8").read()
-    assert text.startswith("---\ntag: #toefl #voca\n") and "# ephemeral\n" in text and text.endswith("english?)\n")
+    assert text.startswith("---\ntag: #toefl #voca\n") and "# laconic\n" in text and text.endswith("english?)\n")
     paths = [r.path for r in N.export_paths(spark.createDataFrame(rows + rows[:1], SCHEMA), out).collect()]
-    assert sorted(paths) == [out + "/ephemeral.md", out + "/ephemeral.md", out + "/ubiquitous.md"]
+    assert sorted(paths) == [out + "/laconic.md", out + "/laconic.md", out + "/pervasive.md"]

@@ -11,8 +11,8 @@ def env(text):
     return json.dumps({"candidates": [{"content": {"parts": [{"text": text}]}}]})
 
 
-GOOD = json.dumps([{"word": "ephemeral", "definition": "Short", "context_sentence": "Fame is ephemeral."},
-                   {"word": "cat", "definition": "Feline", "context_sentence": "The cat."},
+GOOD = json.dumps([{"word": "laconic", "definition": "Terse", "context_sentence": "A laconic reply."},
+                   {"word": "dog", "definition": "Canine", "context_sentence": "The dog."},
                    {"word": "About", "definition": "On", "context_sentence": "About it."}])
 CASES = [
     ("ok", 200, env(GOOD), "ok"),
@@ -38,9 +38,9 @@ def test_outcomes(spark):
     assert got["http"].error == "API error (500): oops"
     assert got["remote"].error == "API error: bad key"
     words = R.response_words(R.outcomes(df))
-    assert sorted(r.word for r in words.collect()) == sorted(["ephemeral", "cat", "About", "a"])
+    assert sorted(r.word for r in words.collect()) == sorted(["laconic", "dog", "About", "a"])
     kept = extract.filter_extracted(words.where(F.col("source_url") == "ok"))
-    assert [r.word for r in kept.collect()] == ["ephemeral"]
+    assert [r.word for r in kept.collect()] == ["laconic"]
 
 
 def test_request_body(spark):
@@ -55,9 +55,9 @@ def test_custom_extractor_keeps_failing_articles(spark):
     def flaky(text):
         if "boom" in text:
             raise RuntimeError("remote down")
-        return [{"word": "ephemeral", "definition": "d", "context_sentence": "c"},
+        return [{"word": "laconic", "definition": "d", "context_sentence": "c"},
                 {"word": "the", "definition": "d", "context_sentence": "c"}]
 
     df = spark.createDataFrame([("a", "fine"), ("b", "boom")], "url string, content string")
     rows = {(r.source_url, r.word, r.status) for r in extract.extract_with(df, flaky).collect()}
-    assert rows == {("a", "ephemeral", "ok"), ("b", None, "llm_error")}
+    assert rows == {("a", "laconic", "ok"), ("b", None, "llm_error")}

@@ -50,25 +50,25 @@ def test_like_contains_matches_sqlite(spark):
 
 def test_sample_words_rules(spark):
     text = (
-        "The unprecedented technological advancement revolutionized communication. "
+        "Remarkable archaeological excavations illuminated settlements. "
         "abcdefgh abcdefghi café naïveté résumébien hyphen-ated word. "
         "sentence. ALPHABETICAL alphabetical extraordinary"
     )
     got = one(spark, T.sample_words(F.col("x")), text)
     # 8-byte token dropped, 9-byte kept; trailing punctuation drops the token;
     # NBSP splits; the byte count decides (naïveté has 9 bytes); first five only
-    assert got == ["unprecedented", "technological", "advancement", "revolutionized", "abcdefghi"]
+    assert got == ["remarkable", "archaeological", "excavations", "illuminated", "abcdefghi"]
     assert one(spark, T.sample_words(F.col("x")), "") == []
     accents = one(spark, T.sample_words(F.col("x")), "naïveté résumébien x ALPHABETICAL alphabetical")
     assert accents == ["naïveté", "résumébien", "alphabetical", "alphabetical"]
 
 
 def test_post_filter(spark):
-    words = ["cat", "ephemeral", "about", "ubiquitous", "ÉÉ", "ABOUT", "Over", "Ephemeral"]
+    words = ["dog", "laconic", "between", "pervasive", "ÉÉ", "BETWEEN", "Over", "Laconic"]
     df = spark.createDataFrame([(w,) for w in words], "word string")
     kept = [r["word"] for r in df.where(T.keep_extracted_word(F.col("word"))).collect()]
     # 2 letters / 4 bytes is kept (the limit counts bytes); stop words in any case dropped
-    assert kept == ["ephemeral", "ubiquitous", "ÉÉ", "Ephemeral"]
+    assert kept == ["laconic", "pervasive", "ÉÉ", "Laconic"]
     assert len(T.STOP_WORDS) == 90
 
 
