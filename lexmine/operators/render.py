@@ -132,7 +132,7 @@ def day_digests(vocab: DataFrame, articles: DataFrame) -> DataFrame:
     empty text for a day with articles but no word; then one part per
     article, its cards joined by the separator.  The day's document is the
     lead text followed by the article parts in ``(part_at, part_url)`` order
-    joined by the separator (``assemble``).  No aggregate holds more than one
+    joined by the separator (the tests assemble small days this way).  No aggregate holds more than one
     article's cards, however large the day.
     """
     cards = with_card(vocab).withColumn("day", F.to_date("collected_at"))
@@ -161,19 +161,6 @@ def search_documents(vocab: DataFrame, queries: DataFrame) -> DataFrame:
     return _block_parts(blocks, ["query"]).unionByName(misses)
 
 
-def assemble(parts: DataFrame, group_cols: list[str]) -> DataFrame:
-    """Whole document per group from its parts (for groups known to be small):
-    lead text, then article parts in order joined by the separator."""
-    body = F.filter(
-        F.array_sort(F.collect_list(F.struct(F.col("part_at"), F.col("part_url"), F.col("text")))),
-        lambda x: x["part_at"].isNotNull(),
-    )
-    lead = F.max(F.when(F.col("part_at").isNull(), F.col("text")))
-    return parts.groupBy(*group_cols).agg(
-        F.concat(F.coalesce(lead, F.lit("")), F.array_join(F.transform(body, lambda x: x["text"]), CARD_SEPARATOR)).alias("text")
-    )
-
-
 def _search_hits(vocab: DataFrame, queries: DataFrame) -> DataFrame:
     return with_card(bank.match_queries(vocab, queries))
 

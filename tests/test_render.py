@@ -11,6 +11,19 @@ ROW = ("lucid", "Expressed clearly; easy to understand",
        "Her lucid account settled the debate.", "https://notes.example/2024/03/clarity", 0,
        dt.datetime(2024, 1, 3, 9))
 SCHEMA = "word string, definition string, context_sentence string, source_url string, pos bigint, collected_at timestamp"
+def assemble(parts, group_cols):
+    """Whole document per group: lead text, then article parts in order joined
+    by the separator (a test helper; groups here are tiny)."""
+    body = F.filter(
+        F.array_sort(F.collect_list(F.struct(F.col("part_at"), F.col("part_url"), F.col("text")))),
+        lambda x: x["part_at"].isNotNull(),
+    )
+    lead = F.max(F.when(F.col("part_at").isNull(), F.col("text")))
+    return parts.groupBy(*group_cols).agg(
+        F.concat(F.coalesce(lead, F.lit("")), F.array_join(F.transform(body, lambda x: x["text"]), render.CARD_SEPARATOR)).alias("text")
+    )
+
+
 CARD = ("**lucid**\n\n*Definition:* Expressed clearly; easy to understand\n\n"
         "> Her lucid account settled the debate.\n\nSource: https://notes.example/2024/03/clarity")
 
@@ -20,7 +33,7 @@ def test_card_and_digest(spark):
     assert render.with_card(v).first().card == CARD
     arts = spark.createDataFrame([("https://notes.example/2024/03/clarity", dt.datetime(2024, 1, 3, 9)),
                                   ("https://x.example", dt.datetime(2024, 1, 4, 1))], "url string, collected_at timestamp")
-    d = {r.day: r.text for r in render.assemble(render.day_digests(v, arts), ["day"]).collect()}
+    d = {r.day: r.text for r in assemble(render.day_digests(v, arts), ["day"]).collect()}
     assert d[dt.date(2024, 1, 3)] == "# Today's Vocabulary (1 words)\n\n" + CARD
     assert d[dt.date(2024, 1, 4)] == "No vocabulary collected today."
 
@@ -30,7 +43,7 @@ def test_search_documents(spark):
     q = spark.createDataFrame([("lucid",), ("xyz",), ("d",)], "query string")
     parts = render.search_documents(v, q)
     assert parts.where("query = 'd'").count() == 2  # one part per matching article
-    d = {r.query: r.text for r in render.assemble(parts, ["query"]).collect()}
+    d = {r.query: r.text for r in assemble(parts, ["query"]).collect()}
     assert d["lucid"] == CARD
     assert d["xyz"] == "No vocabulary found matching 'xyz'"
     assert d["d"].startswith(CARD + "\n\n---\n\n**model**")
