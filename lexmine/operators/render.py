@@ -260,11 +260,14 @@ def outbox(vocab: DataFrame, articles: DataFrame, days: list[str], k: int, seed:
     words, or the whole bank when the day has none.  An empty candidate set
     is skipped (nothing sent, ``text`` null).  Every mode sends at most ``k``.
 
-    The whole-bank pick does not depend on the day: it is one global top-k
-    (k rows), reused for every day.  Per day only that day's rows are read.
+    One pass reads the rows of all requested days (ranges pushed to both
+    scans) and picks k per day; the whole-bank pick does not depend on the
+    day, so it is one global top-k (k rows) fanned out to the days.
     """
     spark = vocab.sparkSession
     cols = [*bank.BANK_COLUMNS, "pos"]
+    day_list = F.array(*[F.lit(d).cast("date") for d in days])
+    today = bank.pick_per_group(_days_rows(vocab, articles, days), ["day"], k, seed).select("day", *cols, "pick")
     ranked = Window.orderBy("rkey", "source_url", "pos")  # over k rows only
     top_all = (
         vocab.select(*cols)
@@ -272,26 +275,24 @@ def outbox(vocab: DataFrame, articles: DataFrame, days: list[str], k: int, seed:
         .orderBy("rkey", "source_url", "pos")
         .limit(k)
         .withColumn("pick", F.row_number().over(ranked).cast("bigint"))
+        .select(F.explode(day_list).alias("day"), *cols, "pick")
+    )
+    # Both pick tables hold at most k rows per day and are used more than
+    # once below: checkpoint them (reliably, to the shared folder) so the bank
+    # is read once for each instead of once per use.
+    shared_dir(spark)
+    today = today.checkpoint(eager=True)
+    top_all = top_all.checkpoint(eager=True)
+    # whole-bank picks for the days without a word of their own
+    days_with_words = today.select("day").distinct()  # at most len(days) rows
+    fallback = top_all.join(F.broadcast(days_with_words), "day", "left_anti")
+    picks = (
+        today.withColumn("mode", F.lit("today"))
+        .unionByName(top_all.withColumn("mode", F.lit("all")))
+        .unionByName(today.unionByName(fallback).withColumn("mode", F.lit("test")))
     )
-    parts = []
-    for day in days:
-        d = F.lit(day).cast("date")
-        today = bank.pick_per_group(_day_rows(vocab, articles, day).withColumn("day", d), ["day"], k, seed).drop("day")
-        # whole-bank picks only when the day has no word: anti-join on a
-        # constant key against at most one row of the day
-        marker = today.select(F.lit(1).alias("_k")).limit(1)
-        fallback = top_all.withColumn("_k", F.lit(1)).join(F.broadcast(marker), "_k", "left_anti").drop("_k")
-        parts += [
-            today.withColumn("mode", F.lit("today")).withColumn("day", d),
-            top_all.withColumn("mode", F.lit("all")).withColumn("day", d),
-            today.unionByName(fallback).withColumn("mode", F.lit("test")).withColumn("day", d),
-        ]
-    picks = parts[0]
-    for p in parts[1:]:
-        picks = picks.unionByName(p)
     sent = message_text(picks, ["day", "mode"])
-    pairs = [f"{day}|{m}" for day in days for m in ("today", "all", "test")]
-    grid = literal_column(spark, pairs, "p").select(
+    grid = literal_column(spark, [f"{d}|{m}" for d in days for m in ("today", "all", "test")], "p").select(
         F.split("p", r"\|")[0].cast("date").alias("day"), F.split("p", r"\|")[1].alias("mode")
     )
     out = grid.join(sent, ["day", "mode"], "left")
@@ -299,11 +300,19 @@ def outbox(vocab: DataFrame, articles: DataFrame, days: list[str], k: int, seed:
     return out.select("day", "mode", n.alias("words_sent"), (n == 0).alias("skipped"), "text")
 
 
-def _day_rows(vocab: DataFrame, articles: DataFrame, day: str) -> DataFrame:
-    """Bank rows (with ``pos``) whose article was collected on ``day``."""
-    start, end = bank.day_bounds(day)
-    a = bank.collected_on(articles, day).select(F.col("url").alias("source_url"))
-    v = vocab
-    if "collected_at" in vocab.columns:
-        v = vocab.where((F.col("collected_at") >= start) & (F.col("collected_at") < end))
-    return v.select(*bank.BANK_COLUMNS, "pos").join(a, "source_url", "inner").select(*bank.BANK_COLUMNS, "pos")
+def _days_rows(vocab: DataFrame, articles: DataFrame, days: list[str]) -> DataFrame:
+    """Bank rows (with ``pos`` and ``day``) whose article was collected on one of ``days``."""
+
+    def in_days(col: str) -> Column:
+        cond = None
+        for d in days:
+            start, end = bank.day_bounds(d)
+            c = (F.col(col) >= start) & (F.col(col) < end)
+            cond = c if cond is None else cond | c
+        return cond
+
+    a = articles.where(in_days("collected_at")).select(
+        F.col("url").alias("source_url"), F.to_date("collected_at").alias("day")
+    )
+    v = vocab.where(in_days("collected_at")) if "collected_at" in vocab.columns else vocab
+    return v.select(*bank.BANK_COLUMNS, "pos").join(a, "source_url", "inner")
