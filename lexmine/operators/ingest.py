@@ -27,12 +27,40 @@ def _order():
     return F.struct(F.col("feed_url"), F.col("item_pos"))
 
 
+# A run's distinct item URLs up to this many are broadcast against the store.
+MAX_BROADCAST_ITEM_URLS = 2_000_000
+MAX_BROADCAST_ITEM_BYTES = 256 << 20
+
+
+def known_set(items: DataFrame, stored: DataFrame) -> tuple[DataFrame, bool]:
+    """Stored URLs that the run names (at most the run's distinct URLs), and
+    whether that set is within the broadcast bound.
+
+    A run is small next to the store.  When its distinct URLs are within the
+    measured bound they are broadcast and the store's URL column streams
+    through one map-side semi-join, so the store is never shuffled; above
+    the bound this is an ordinary (sort-merge) semi-join.
+    """
+    urls = items.select("url").where(F.col("url").isNotNull()).distinct()
+    row = urls.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("url")).alias("b")).first()
+    small = (row["n"] or 0) <= MAX_BROADCAST_ITEM_URLS and (row["b"] or 0) <= MAX_BROADCAST_ITEM_BYTES
+    s = stored.select("url")
+    return s.join(F.broadcast(urls) if small else urls, "url", "left_semi"), small
+
+
+def _split_known(items: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
+    k, small = known_set(items, stored)
+    # the known set is no larger than the run's measured URL set
+    k = F.broadcast(k) if small else k
+    return items.join(k, "url", "left_semi"), items.join(k, "url", "left_anti")
+
+
 def known_items(items: DataFrame, stored: DataFrame) -> DataFrame:
-    return items.join(stored.select("url"), "url", "left_semi")
+    return _split_known(items, stored)[0]
 
 
 def new_items(items: DataFrame, stored: DataFrame) -> DataFrame:
-    return items.join(stored.select("url"), "url", "left_anti")
+    return _split_known(items, stored)[1]
 
 
 def item_status(items: DataFrame, stored: DataFrame, landed: DataFrame) -> DataFrame:
@@ -41,8 +69,8 @@ def item_status(items: DataFrame, stored: DataFrame, landed: DataFrame) -> DataF
     ``landed`` holds fetched pages ``(url, ...)``; an item whose URL has no
     landed page is a fetch failure.
     """
-    known = known_items(items, stored).withColumn("status", F.lit("skipped_duplicate"))
-    fresh = new_items(items, stored)
+    known, fresh = _split_known(items, stored)
+    known = known.withColumn("status", F.lit("skipped_duplicate"))
     fetchable = landed.select("url").distinct().withColumn("fetch_ok", F.lit(True))
     f = fresh.join(fetchable, "url", "left").withColumn("fetch_ok", F.coalesce("fetch_ok", F.lit(False)))
     first_ok = f.where("fetch_ok").groupBy("url").agg(F.min(_order()).alias("first_ok"))
