@@ -48,7 +48,7 @@ def known_set(items: DataFrame, stored: DataFrame) -> tuple[DataFrame, bool]:
     return s.join(F.broadcast(urls) if small else urls, "url", "left_semi"), small
 
 
-def _split_known(items: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
+def split_known(items: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
     k, small = known_set(items, stored)
     # the known set is no larger than the run's measured URL set
     k = F.broadcast(k) if small else k
@@ -56,11 +56,11 @@ def _split_known(items: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFr
 
 
 def known_items(items: DataFrame, stored: DataFrame) -> DataFrame:
-    return _split_known(items, stored)[0]
+    return split_known(items, stored)[0]
 
 
 def new_items(items: DataFrame, stored: DataFrame) -> DataFrame:
-    return _split_known(items, stored)[1]
+    return split_known(items, stored)[1]
 
 
 def item_status(items: DataFrame, stored: DataFrame, landed: DataFrame) -> DataFrame:
@@ -69,7 +69,7 @@ def item_status(items: DataFrame, stored: DataFrame, landed: DataFrame) -> DataF
     ``landed`` holds fetched pages ``(url, ...)``; an item whose URL has no
     landed page is a fetch failure.
     """
-    known, fresh = _split_known(items, stored)
+    known, fresh = split_known(items, stored)
     known = known.withColumn("status", F.lit("skipped_duplicate"))
     fetchable = landed.select("url").distinct().withColumn("fetch_ok", F.lit(True))
     f = fresh.join(fetchable, "url", "left").withColumn("fetch_ok", F.coalesce("fetch_ok", F.lit(False)))

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
 
 from lexmine.functions import html as H
+from lexmine.operators import ingest
 from lexmine.functions import text as T
 from lexmine.sources import corpus, pages
 
@@ -68,7 +69,8 @@ def ingest_pages(
         known = stored_articles.select("url").unionByName(streamed)
         # first page per URL within the batch, then skip every stored URL
         first = batch.groupBy("url").agg(F.min_by(F.struct("page_id", "html"), "page_id").alias("p"))
-        fresh = first.select("url", "p.page_id", "p.html").join(known, "url", "left_anti")
+        # the micro-batch is the small side: its URLs are broadcast against the store
+        _, fresh = ingest.split_known(first.select("url", "p.page_id", "p.html"), known)
         fresh = fresh.withColumn("title", H.page_title(F.col("html")))
         staged = pages.page_text(fresh, keep=["title"]).select(
             "url",
