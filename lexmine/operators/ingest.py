@@ -128,7 +128,8 @@ def insert_or_ignore(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     are ignored, and a URL already stored keeps its first row."""
     req = ["url", "title", "content", "source", "published_at", "collected_at"]
     inc = incoming.select(*req).dropna(subset=req)
-    return stored.select(*req).unionByName(inc.join(stored.select("url"), "url", "left_anti"))
+    _, new = split_known(inc, stored)  # incoming is the small side
+    return stored.select(*req).unionByName(new)
 
 
 def articles_without_vocab(staging: DataFrame) -> DataFrame:
