@@ -132,8 +132,10 @@ def day_digests(vocab: DataFrame, articles: DataFrame) -> DataFrame:
     empty text for a day with articles but no word; then one part per
     article, its cards joined by the separator.  The day's document is the
     lead text followed by the article parts in ``(part_at, part_url)`` order
-    joined by the separator (the tests assemble small days this way).  No aggregate holds more than one
-    article's cards, however large the day.
+    joined by the separator (the tests assemble small days this way).  No
+    aggregate holds more than one article's cards, however large the day.
+    A word's day is its article's collection day (``collected_at`` is copied
+    from the article when the bank is built).
     """
     cards = with_card(vocab).withColumn("day", F.to_date("collected_at"))
     counts = cards.groupBy("day").agg(F.count(F.lit(1)).alias("n_words"))
