@@ -57,3 +57,39 @@ def test_native_declines_unsafe_pages(spark):
     ]
     df = spark.createDataFrame([(h,) for h in unsafe], "html string")
     assert all(r["t"] is None for r in df.select(H.native_article_text(F.col("html")).alias("t")).collect())
+
+
+def _random_page(rng):
+    pieces = []
+    for _ in range(rng.randint(0, 12)):
+        kind = rng.random()
+        if kind < 0.35:
+            pieces.append(rng.choice(["word", "Ünï", "a b", "  ", "\n", "x\ty", "é", "1.5", "—"]))
+        elif kind < 0.55:
+            tag = rng.choice(["b", "i", "p", "span", "a href=\"/x\"", "br", "em"])
+            pieces.append(f"<{tag}>")
+            if rng.random() < 0.6:
+                pieces.append(f"</{tag.split()[0]}>")
+        elif kind < 0.65:
+            pieces.append("<!-- note -->")
+        elif kind < 0.8:
+            pieces.append(rng.choice(["&amp;", "&lt;", "&gt;", "&quot;", "&nbsp;", "&copy;", "&middot;", "&amp;lt;"]))
+        elif kind < 0.9:
+            pieces.append(rng.choice(["a < b", "x & y", "&#233;", "&hellip;", "&unknown;"]))
+        else:
+            pieces.append(rng.choice(["<img alt=\"a>b\">", "<script>var a='<p>';</script>", "<p class=\"c\">t</p>"]))
+    head = rng.choice(["", "<head><title>T</title><script>var t=\"</p>\";</script></head>"])
+    return f"<html>{head}<body><nav>menu</nav><article>{''.join(pieces)}</article><footer>f</footer></body></html>"
+
+
+def test_native_path_agrees_with_walker_on_random_pages(spark):
+    import random
+
+    rng = random.Random(3)
+    pages_ = [_random_page(rng) for _ in range(400)]
+    df = spark.createDataFrame([(h,) for h in pages_], "html string")
+    rows = df.select("html", H.native_article_text(F.col("html")).alias("t")).collect()
+    native = [r for r in rows if r["t"] is not None]
+    assert len(native) > 100  # the fast path takes most pages
+    bad = [(r["html"], r["t"], H.main_text(r["html"])) for r in native if H.main_text(r["html"]) != r["t"]]
+    assert not bad, bad[:3]
