@@ -52,6 +52,7 @@ def extract_with(
     url_col: str = "url",
     text_col: str = "content",
     setup: Callable[[], object] | None = None,
+    rate_per_sec: float | None = None,
 ) -> DataFrame:
     """Pluggable extractor: ``fn(text) -> [{word, definition, context_sentence}]``.
 
@@ -59,9 +60,11 @@ def extract_with(
     (``setup()``; ``fn`` then gets it as a second argument), and never raises: a failing article yields one row with
     ``status='llm_error'`` and no word, so the article is still kept.  The
     result is filtered like the remote extractor's output and carries the
-    article URL.  Persist it before use; extractors may be costly and
+    article URL.  ``rate_per_sec`` caps calls per task (a remote quota).
+    Persist the result before use; extractors may be costly and
     non-deterministic.
     """
+    import time
 
     from lexmine.session import ship_package
 
@@ -69,9 +72,16 @@ def extract_with(
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ctx = setup() if setup else None
+        gap = 1.0 / rate_per_sec if rate_per_sec else 0.0
+        last = 0.0
         for pdf in batches:
             out = []
             for url, text in zip(pdf[url_col], pdf[text_col]):
+                if gap:
+                    wait = last + gap - time.monotonic()
+                    if wait > 0:
+                        time.sleep(wait)
+                    last = time.monotonic()
                 try:
                     words = fn(text or "") if ctx is None else fn(text or "", ctx)
                     # all or nothing per article: a malformed entry rejects the response

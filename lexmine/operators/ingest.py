@@ -105,19 +105,56 @@ def stage(status: DataFrame, texts: DataFrame, run_at) -> DataFrame:
     )
 
 
+def stage_with(status: DataFrame, texts: DataFrame, run_at, extractor, rate_per_sec: float | None = None) -> DataFrame:
+    """Like ``stage`` with a user extractor: ``words`` holds each word with its
+    definition and context; a failing article keeps its row with no word and
+    ``extract_status='llm_error'``."""
+    from lexmine.operators import extract
+
+    base = stage(status, texts, run_at).drop("words", "extract_status")
+    ex = extract.extract_with(base.select("url", "content"), extractor, rate_per_sec=rate_per_sec)
+    per = ex.groupBy(F.col("source_url").alias("url")).agg(  # bounded: one article's words
+        F.filter(
+            F.array_sort(F.collect_list(F.struct("pos", "word", "definition", "context_sentence"))),
+            lambda x: x["word"].isNotNull(),
+        ).alias("words"),
+        F.max(F.when(F.col("status") != "ok", F.lit(1)).otherwise(F.lit(0))).alias("_failed"),
+    )
+    empty = F.array().cast("array<struct<pos:bigint,word:string,definition:string,context_sentence:string>>")
+    return base.join(per, "url", "left").select(
+        *base.columns,
+        F.coalesce(F.col("words"), empty).alias("words"),
+        F.when(F.col("_failed") == 1, F.lit("llm_error")).otherwise(F.lit("ok")).alias("extract_status"),
+    )
+
+
 def staged_articles(staging: DataFrame) -> DataFrame:
     return staging.select("url", "title", "content", "source", "published_at", "collected_at")
 
 
 def staged_vocab(staging: DataFrame, batch_id: str | None = None) -> DataFrame:
-    v = staging.select(F.col("url").alias("source_url"), F.posexplode("words").alias("pos", "word"))
-    out = v.select(
-        "source_url",
-        F.col("pos").cast("bigint").alias("pos"),
-        "word",
-        T.mock_definition(F.col("word")).alias("definition"),
-        T.mock_context(F.col("word")).alias("context_sentence"),
-    )
+    """Vocabulary rows of a staging table (offline words, or a user
+    extractor's words with their own definition and context)."""
+    from pyspark.sql.types import StructType
+
+    if isinstance(staging.schema["words"].dataType.elementType, StructType):
+        v = staging.select(F.col("url").alias("source_url"), F.explode("words").alias("w"))
+        out = v.select(
+            "source_url",
+            F.col("w.pos").cast("bigint").alias("pos"),
+            F.col("w.word").alias("word"),
+            F.col("w.definition").alias("definition"),
+            F.col("w.context_sentence").alias("context_sentence"),
+        )
+    else:
+        v = staging.select(F.col("url").alias("source_url"), F.posexplode("words").alias("pos", "word"))
+        out = v.select(
+            "source_url",
+            F.col("pos").cast("bigint").alias("pos"),
+            "word",
+            T.mock_definition(F.col("word")).alias("definition"),
+            T.mock_context(F.col("word")).alias("context_sentence"),
+        )
     if batch_id is not None:
         out = out.withColumn("batch_id", F.lit(batch_id))
     return out

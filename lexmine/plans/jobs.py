@@ -54,11 +54,16 @@ def collect(
     store: str,
     batch_id: str,
     run_at: str,
+    extractor=None,
+    rate_per_sec: float | None = None,
 ) -> DataFrame:
     """One collection run; returns its statistics row.
 
     ``feed_payloads``: ``(feed_url, payload, fetched_at)`` in run order of
     ``feed_url``; ``landed_pages``: ``(page_id, url, html)`` fetched for the run.
+    ``extractor``: optional ``fn(text) -> [{word, definition, context_sentence}]``
+    (default: the offline extractor); its failures keep the article and
+    count as ``llm_errors``.
     """
     arts, _ = store_tables(spark, store)
     known = arts.where(F.col("batch_id") != batch_id).select("url")
@@ -66,8 +71,13 @@ def collect(
     items = feeds.feed_items(parsed)
     status = ingest.item_status(items, known, landed_pages)
     texts = pages.page_text(landed_pages)
-    staging_path = f"{store}/_staging"
-    _write_own_partition(ingest.stage(status, texts, run_at).withColumn("batch_id", F.lit(batch_id)), staging_path)
+    staging_path = f"{store}/_staging" if extractor is None else f"{store}/_staging_custom"
+    staged = (
+        ingest.stage(status, texts, run_at)
+        if extractor is None
+        else ingest.stage_with(status, texts, run_at, extractor, rate_per_sec)
+    )
+    _write_own_partition(staged.withColumn("batch_id", F.lit(batch_id)), staging_path)
     staging = spark.read.parquet(staging_path).where(F.col("batch_id") == batch_id)
     # insert-or-ignore: rows missing a required column are ignored, stored URLs kept
     new_articles = ingest.staged_articles(staging).dropna().join(known, "url", "left_anti")

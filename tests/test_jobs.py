@@ -36,3 +36,24 @@ def test_collect_is_idempotent(spark, tmp_root):
     assert len(glob.glob(os.path.join(out, "file=*"))) == vocab.select("word").distinct().count()
     box = {r.mode: r for r in jobs.notify(spark, store, ["2024-06-01"]).collect()}
     assert box["today"].words_sent == 3 and not box["today"].skipped
+
+
+def test_collect_with_user_extractor(spark, tmp_root):
+    sf = "/root/testdata/sf0.001"
+    payloads = feeds.assemble_feeds(spark, sf)
+    landed = spark.read.parquet(f"{sf}/pages.parquet")
+    store = os.path.join(tmp_root, "store_custom")
+
+    def extractor(text):
+        if len(text) % 2 == 0:
+            raise RuntimeError("remote refused")
+        words = [t for t in text.split() if t.isalpha() and len(t) > 6][:3]
+        return [{"word": w, "definition": f"sense of {w}", "context_sentence": text[:40]} for w in words]
+
+    s = jobs.collect(spark, payloads, landed, store, "c1", "2024-06-01 00:00:00", extractor=extractor,
+                     rate_per_sec=1000).first().asDict()
+    arts, vocab = jobs.store_tables(spark, store)
+    assert arts.count() == s["articles_saved"] == landed.count()  # failures keep the article
+    assert 0 < s["llm_errors"] < s["articles_saved"]
+    assert vocab.count() == s["vocabularies_saved"]
+    assert vocab.where(~F.col("definition").startswith("sense of ")).count() == 0
