@@ -81,3 +81,16 @@ def test_pick_sizes(spark):
 def test_orphans(spark):
     v = vocab(spark, VOCAB + [("orphan", "d", "c", "https://gone.example", 0)])
     assert words(bank.orphans(v, articles(spark))) == ["orphan"]
+
+
+def test_search_batch_chunked_path(spark, monkeypatch):
+    """Above the broadcast bound the query table is split into hash chunks;
+    the result must not change."""
+    v = vocab(spark)
+    qs = ["quixo", "xyz", "E", "", "100%", "\\\\", "q_i", "a", "o", "lac"]
+    table = spark.createDataFrame([(q,) for q in qs], "query string")
+    whole = {(r.query, r.word) for r in bank.search_batch(v, table).collect()}
+    monkeypatch.setattr(bank, "MAX_BROADCAST_QUERIES", 3)
+    assert bank._bounded_chunks(table.select("query"), "query") == 4
+    chunked = {(r.query, r.word) for r in bank.search_batch(v, table).collect()}
+    assert chunked == whole and len(whole) > 10

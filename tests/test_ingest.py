@@ -66,3 +66,16 @@ def test_stage_stats_and_rerun(spark):
     after = ingest.staged_articles(st).select("url")
     again = ingest.item_status(it, after, landed)
     assert {r.status for r in again.collect()} == {"skipped_duplicate"}
+
+
+def test_known_check_fallback_path(spark, monkeypatch):
+    """Above the broadcast bound the known-URL check is an ordinary
+    semi/anti-join; statuses must not change."""
+    it = items(spark, [("f", i, f"u{i % 5}") for i in range(12)])
+    stored = spark.createDataFrame([("u1",), ("u3",)], "url string")
+    landed = spark.createDataFrame([("u0",), ("u2",)], "url string")
+    small = {(r.feed_url, r.item_pos): r.status for r in ingest.item_status(it, stored, landed).collect()}
+    monkeypatch.setattr(ingest, "MAX_BROADCAST_ITEM_URLS", 1)
+    assert ingest.known_set(it, stored)[1] is False
+    large = {(r.feed_url, r.item_pos): r.status for r in ingest.item_status(it, stored, landed).collect()}
+    assert large == small and set(small.values()) == {"skipped_duplicate", "saved", "fetch_error"}
