@@ -27,11 +27,22 @@ JSON = ('{"version":"https://jsonfeed.org/version/1.1","title":"J","items":['
         '{"id":"3","external_url":"https://elsewhere.example/3","date_modified":"2024-03-02T00:00:00Z"}]}')
 EMPTY = ('<?xml version="1.0"?><rss version="2.0"><channel><title>Empty</title>'
          '<link>https://e.example</link><description>none</description></channel></rss>')
+RDF = """<?xml version="1.0"?>
+<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns="http://purl.org/rss/1.0/"
+ xmlns:dc="http://purl.org/dc/elements/1.1/">
+<channel rdf:about="https://rdf.example/"><title>R</title><link>https://rdf.example/</link></channel>
+<item rdf:about="https://rdf.example/1"><title>Rdf one</title><link>https://rdf.example/1</link>
+<dc:date>2024-04-01T10:00:00Z</dc:date></item>
+</rdf:RDF>"""
+ATOM03 = ('<feed version="0.3" xmlns="http://purl.org/atom/ns#"><title>Old</title><entry><title>Old one</title>'
+          '<link rel="alternate" type="text/html" href="https://old.example/1"/><issued>2024-05-01T00:00:00Z</issued>'
+          '</entry></feed>')
 FETCHED = dt.datetime(2024, 6, 1)
 
 
 def parsed(spark):
-    rows = [("rss", RSS), ("atom", ATOM), ("json", JSON), ("empty", EMPTY), ("bad", "this is not valid xml")]
+    rows = [("rss", RSS), ("atom", ATOM), ("json", JSON), ("empty", EMPTY), ("bad", "this is not valid xml"),
+            ("rdf", RDF), ("atom03", ATOM03)]
     df = spark.createDataFrame([(u, p, FETCHED) for u, p in rows], "feed_url string, payload string, fetched_at timestamp")
     return feeds.parse_feeds(df)
 
@@ -42,8 +53,10 @@ def test_items(spark):
     assert got == [
         ("atom", 0, "https://atom.example/1", "Entry one", dt.datetime(2024, 2, 1, 8, 0)),
         ("atom", 1, "https://atom.example/2", "Untitled", dt.datetime(2024, 2, 3)),
+        ("atom03", 0, "https://old.example/1", "Old one", dt.datetime(2024, 5, 1)),
         ("json", 1, "https://json.example/2", "Untitled", FETCHED),
         ("json", 2, "https://elsewhere.example/3", "Untitled", dt.datetime(2024, 3, 2)),
+        ("rdf", 0, "https://rdf.example/1", "Rdf one", dt.datetime(2024, 4, 1, 10)),
         ("rss", 0, "https://demo.example/a1", "First & best", dt.datetime(2024, 1, 2, 8, 30)),
         ("rss", 1, "https://demo.example/a2", "Second", dt.datetime(2024, 1, 1, 12, 0)),
     ]
