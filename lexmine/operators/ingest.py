@@ -50,7 +50,12 @@ def known_set(items: DataFrame, stored: DataFrame) -> tuple[DataFrame, bool]:
 
 def split_known(items: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
     k, small = known_set(items, stored)
-    # the known set is no larger than the run's measured URL set
+    # The known set is no larger than the run's measured URL set and feeds two
+    # joins: checkpoint it (to the shared folder) so the store is read once.
+    from lexmine.session import shared_dir
+
+    shared_dir(items.sparkSession)
+    k = k.checkpoint(eager=True)
     k = F.broadcast(k) if small else k
     return items.join(k, "url", "left_semi"), items.join(k, "url", "left_anti")
 
