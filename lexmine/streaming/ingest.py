@@ -67,10 +67,12 @@ def ingest_pages(
         mine = F.col("batch_id") != F.lit(batch_id)
         streamed = _read_or_empty(bs, arts_path, art_schema).where(mine).select("url")
         known = stored_articles.select("url").unionByName(streamed)
-        # first page per URL within the batch, then skip every stored URL
+        # The micro-batch is the small side: its URLs (read without the HTML)
+        # are broadcast against the store to find the known ones.
+        k, small = ingest.known_set(batch.select("url"), known)
+        # first page per URL within the batch, then skip every known URL
         first = batch.groupBy("url").agg(F.min_by(F.struct("page_id", "html"), "page_id").alias("p"))
-        # the micro-batch is the small side: its URLs are broadcast against the store
-        _, fresh = ingest.split_known(first.select("url", "p.page_id", "p.html"), known)
+        fresh = first.select("url", "p.page_id", "p.html").join(F.broadcast(k) if small else k, "url", "left_anti")
         fresh = fresh.withColumn("title", H.page_title(F.col("html")))
         staged = pages.page_text(fresh, keep=["title"]).select(
             "url",
