@@ -6,7 +6,9 @@ article and its words.  A URL saved earlier in the same run is known by the
 time a later item names it; a failed fetch is tried again at the next item.
 Re-expressed without a per-item loop:
 
-* known items: ``left_semi`` against the stored articles (before any page work),
+* known items: the run's distinct URLs (counted) are broadcast against the
+  stored URL column, giving the known set (≤ the run's URLs); items are
+  split by semi/anti-join with it before any page work,
 * first success per URL: ``min(feed_url, item_pos)`` over fetchable items
   (an aggregate, so a URL named by millions of items stays cheap),
 * status: before the first success -> ``fetch_error``, at it -> ``saved``,
@@ -23,6 +25,7 @@ from pyspark.sql import functions as F
 
 from lexmine.functions import text as T
 
+
 def _order():
     return F.struct(F.col("feed_url"), F.col("item_pos"))
 
