@@ -67,6 +67,9 @@ def shared_dir(spark: SparkSession) -> str:
     when neither is set (local tests) do we create one of our own.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
+    if d and not spark.sparkContext.getCheckpointDir():
+        # named in the session conf only: let DataFrame.checkpoint use it too
+        spark.sparkContext.setCheckpointDir(d)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
