@@ -134,8 +134,15 @@ def dedup_urls(spark: SparkSession, landing: str, root: str) -> str:
     return out
 
 
-def daily_word_counts(spark: SparkSession, vocab_landing: str, root: str, delay: str = "30 days") -> str:
-    """Words per collection day; each micro-batch upserts the days it changed."""
+def daily_word_counts(
+    spark: SparkSession, vocab_landing: str, root: str, delay: str = "30 days", max_files_per_trigger: int | None = None
+) -> str:
+    """Words per collection day; each micro-batch upserts the days it changed.
+
+    Rows that arrive behind the watermark (latest ``collected_at`` seen minus
+    ``delay``; Spark applies it to late rows with one micro-batch of lag)
+    are dropped.
+    """
     out = f"{root}/daily_counts"
     schema = "day date, words bigint"
 
@@ -149,9 +156,11 @@ def daily_word_counts(spark: SparkSession, vocab_landing: str, root: str, delay:
         merged.write.mode("overwrite").parquet(tmp)
         bs.read.parquet(tmp).write.mode("overwrite").parquet(out)
 
+    reader = spark.readStream.schema(VOCAB_SCHEMA)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     q = (
-        spark.readStream.schema(VOCAB_SCHEMA)
-        .parquet(vocab_landing)
+        reader.parquet(vocab_landing)
         .withWatermark("collected_at", delay)
         .groupBy(F.window("collected_at", "1 day"))
         .count()

@@ -42,3 +42,24 @@ def test_stream_dedup_and_daily_counts(spark, tmp_root):
     want = {r.day: r.n for r in spark.read.parquet(vl).groupBy(F.to_date("collected_at").alias("day"))
             .agg(F.count(F.lit(1)).alias("n")).collect()}
     assert got == want
+
+
+def test_daily_counts_drop_rows_behind_the_watermark(spark, tmp_root):
+    import datetime as dt
+    import time
+
+    landing = os.path.join(tmp_root, "late_vocab")
+    early = [(f"e{i}", 0, "w", "d", "c", dt.datetime(2024, 3, 10, i)) for i in range(4)]
+    filler = [("f", 0, "w", "d", "c", dt.datetime(2024, 3, 9))]
+    late = [("late", 0, "w", "d", "c", dt.datetime(2024, 1, 1)), ("ok", 0, "w", "d", "c", dt.datetime(2024, 3, 1))]
+    # one file per micro-batch, in modification-time order; Spark filters late
+    # rows with the watermark of the batch before the previous one, so the
+    # late file comes third
+    for rows in (early, filler, late):
+        spark.createDataFrame(rows, S.VOCAB_SCHEMA).coalesce(1).write.mode("append").parquet(landing)
+        time.sleep(1.1)
+    out = S.daily_word_counts(spark, landing, os.path.join(tmp_root, "late_daily"), delay="30 days",
+                              max_files_per_trigger=1)
+    got = {str(r.day): r.words for r in spark.read.parquet(out).collect()}
+    # 2024-01-01 is more than 30 days behind 2024-03-10: dropped; 2024-03-01 is within it
+    assert got == {"2024-03-10": 4, "2024-03-09": 1, "2024-03-01": 1}
