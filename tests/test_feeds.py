@@ -83,3 +83,15 @@ def test_rfc2822(spark):
     df = spark.createDataFrame([("Mon, 01 Jan 2024 12:00:00 +0000",), ("1 Jan 2024 12:00:00 -0500",), ("junk",)], "d string")
     got = [r.t for r in df.select(dates.rfc2822(F.col("d")).alias("t")).collect()]
     assert got == [dt.datetime(2024, 1, 1, 12), dt.datetime(2024, 1, 1, 17), None]
+
+
+def test_date_variants(spark):
+    df = spark.createDataFrame(
+        [("Tue, 2 Jan 2024 08:30:00 GMT",), ("02 Jan 2024 08:30:00 +0100",), ("Tue, 02 Jan 2024 08:30 +0000",)],
+        "d string",
+    )
+    got = [r.t for r in df.select(dates.rfc2822(F.col("d")).alias("t")).collect()]
+    assert got == [dt.datetime(2024, 1, 2, 8, 30), dt.datetime(2024, 1, 2, 7, 30), dt.datetime(2024, 1, 2, 8, 30)]
+    iso = spark.createDataFrame([("2024-02-01T10:00:00+02:00",), ("2024-02-01T10:00:00.5Z",), ("soon",)], "d string")
+    got = [r.t for r in iso.select(dates.rfc3339(F.col("d")).alias("t")).collect()]
+    assert got == [dt.datetime(2024, 2, 1, 8), dt.datetime(2024, 2, 1, 10, 0, 0, 500000), None]
