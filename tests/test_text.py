@@ -73,9 +73,10 @@ def test_post_filter(spark):
 
 
 def test_file_stem(spark):
-    df = spark.createDataFrame([("test/word:with*special",), ("%%%",), ("déjà-vu_2",)], "w string")
+    df = spark.createDataFrame([("semi/colon:star*word",), ("%%%",), ("déjà-vu_2",), ("x²·٣Ⅻ!",)], "w string")
     got = [r["s"] for r in df.select(T.file_stem(F.col("w")).alias("s")).collect()]
-    assert got == ["testwordwithspecial", "", "déjà-vu_2"]
+    # every numeric category counts as alphanumeric (No, Nd, Nl)
+    assert got == ["semicolonstarword", "", "déjà-vu_2", "x²٣Ⅻ"]
 
 
 def test_json_string(spark):
