@@ -69,15 +69,15 @@ WITH RECURSIVE d AS (
                                     '[^\x20\x09-\x0D]+') AS w FROM documents),
 sh AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
-    ELSE list_transform(range(1, len(w) - 2), i -> array_to_string(w[i:i + 3], ' ')) END) AS g FROM d),
+    ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS g FROM d),
 n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
 x AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
 e AS (
   SELECT a, b FROM x JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 85 * (na.n + nb.n - c)),
-both AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+pairs AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 walk(doc_id, at) AS (
   SELECT doc_id, doc_id FROM documents
-  UNION SELECT walk.doc_id, both.b FROM walk JOIN both ON both.a = walk.at)
+  UNION SELECT walk.doc_id, pairs.b FROM walk JOIN pairs ON pairs.a = walk.at)
 SELECT walk.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(walk.at) AS component_id
 FROM walk LEFT JOIN n ON n.doc_id = walk.doc_id GROUP BY walk.doc_id
 """
@@ -86,7 +86,7 @@ _OP9 = r"""
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, sha1(coalesce(html, '')) AS h FROM pages),
 g AS (SELECT h, max(page_id) AS top FROM p GROUP BY h)
 SELECT page_id, octet_length(b) AS payload_bytes,
-       array_to_string(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
          1 + (((('0x' || substr(p.h, CAST(1 + 5 * (i // 4) AS INT), 5))::INT >> CAST(15 - 5 * (i % 4) AS INT)) & 31)), 1)), '') AS payload_digest,
        CASE WHEN page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN page_id < top THEN top END AS refers_to

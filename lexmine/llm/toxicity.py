@@ -69,9 +69,9 @@ def choose(pos: list[np.ndarray], unl: list[np.ndarray], limit: int) -> np.ndarr
     a, b = p / len(pos), u / max(1, len(unl))
     pool = (p + u) / (len(pos) + len(unl))
     z = np.abs(a - b) / np.sqrt(pool * (1 - pool) * (1 / len(pos) + 1 / max(1, len(unl))) + 1e-9)
-    z[p + u < 5] = 0
+    z[p + u < 3] = 0
     top = np.lexsort((np.arange(BUCKETS), -z))[:limit]
-    return np.sort(top[z[top] > 4.0])
+    return np.sort(top[z[top] > 3.0])
 
 
 def fit(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, p: Params) -> Linear:
