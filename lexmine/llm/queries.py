@@ -75,10 +75,10 @@ x AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON
 e AS (
   SELECT a, b FROM x JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 85 * (na.n + nb.n - c)),
 pairs AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-walk(doc_id, at) AS (
+walk(doc_id, peer) AS (
   SELECT doc_id, doc_id FROM documents
-  UNION SELECT walk.doc_id, pairs.b FROM walk JOIN pairs ON pairs.a = walk.at)
-SELECT walk.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(walk.at) AS component_id
+  UNION SELECT walk.doc_id, pairs.b FROM walk JOIN pairs ON pairs.a = walk.peer)
+SELECT walk.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(walk.peer) AS component_id
 FROM walk LEFT JOIN n ON n.doc_id = walk.doc_id GROUP BY walk.doc_id
 """
 
