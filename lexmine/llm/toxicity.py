@@ -38,17 +38,19 @@ class Params:
     max_unlabelled: int = 6000
     prior: float | None = None
     max_features: int = 512
-    epochs: int = 30
+    epochs: int = 120
     batch: int = 256
-    rate: float = 0.15
+    rate: float = 0.3
     l2: float = 1e-4
     seed: int = 5
     threshold: float = 0.5
 
 
 def buckets(text: str | None) -> np.ndarray:
-    """Distinct hashed lower-case letter runs of a whole text."""
-    return np.unique(np.fromiter((zlib.crc32(w.encode()) % BUCKETS for w in set(TOKEN.findall((text or "").lower()))), np.int32))
+    """Distinct hashed lower-case letter runs of a whole text, and the first three to five letters of each."""
+    words = set(TOKEN.findall((text or "").lower()))
+    parts = words.union(*({w[:n] + "*" for w in words if len(w) >= n} for n in (3, 4, 5)))
+    return np.unique(np.fromiter((zlib.crc32(w.encode()) % BUCKETS for w in parts), np.int32))
 
 
 @dataclass
