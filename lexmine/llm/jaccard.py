@@ -2,8 +2,8 @@
 
 Sets of hashed word shingles are joined at ``100 * |a & b| >= percent * |a | b|``.
 
-* Sizes are cut into bands that grow by at most ``100 / percent``; a set is indexed in its own band and,
-  as the smaller partner, in the next one.  In a band whose largest size is U two linked sets differ in at
+* Sizes are cut into bands that grow by ``(100 / percent) ** 2``; a set is indexed in its own band and, where
+  it can be the smaller partner of a larger set, in the next one.  In a band whose largest size is U two linked sets differ in at
   most ``H = 2 U (100 - percent) / (100 + percent)`` shingles.
 * The universe of shingles is hashed into segments; segment i allows ``t_i`` differences.  As long as the
   sum of ``t_i + 1`` exceeds H, linked sets agree within ``t_i`` on some segment.  ``t_i`` is 0 (the segment
@@ -13,7 +13,8 @@ Sets of hashed word shingles are joined at ``100 * |a & b| >= percent * |a | b|`
   with at most ``spare`` of them leaves them out.  Two linked sets agree on more than ``spare`` segments, so
   if both leave out keys they still share one; if both hold more, both keep theirs.  Nothing is lost.
 * Candidates are first taken as stars (each set against the smallest and the largest of its bucket); after
-  verification, only pairs of one bucket that lie in different components are verified as well.
+  verification, only pairs of one bucket that lie in different components are verified as well.  Histograms
+  of 256 cells, whose steps bound the difference from below, drop pairs that cannot link without their texts.
 
 Verification is exact on whole sets (64-bit shingle hashes).  Equal sets are one class and are compared once.
 
@@ -32,6 +33,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from lexmine.llm.common import documents, prepare, staged
@@ -83,7 +85,7 @@ def allocate(h: int, high: int, width: float) -> tuple[int, int, int]:
 def band(number: int, p: Params) -> Band:
     """Band ``number`` (0: size 1)."""
     low = 1 if number == 0 else band(number - 1, p).high + 1
-    high = max(low + 1, low * 100 // p.percent) - 1
+    high = max(low + 1, low * 100 * 100 // p.percent**2) - 1
     h = 2 * high * (100 - p.percent) // (100 + p.percent)
     if not h:
         return Band(number, low, high, 0, 0, 0)  # only equal sets link
@@ -139,54 +141,69 @@ def signatures(tokens: np.ndarray, b: Band) -> np.ndarray:
     return np.unique(np.concatenate(out)).view(np.int64)
 
 
+def histogram(tokens: np.ndarray) -> bytes:
+    """Shingles in each of 256 hash cells, at most 255; the summed steps between two never exceed ``|a ^ b|``."""
+    cells = np.bincount((mix(tokens + np.uint64(0x5851F42D4C957F2D)) >> np.uint64(56)).astype(np.int64), minlength=256)
+    return np.minimum(cells, 255).astype(np.uint8).tobytes()
+
+
 def indexed(docs: DataFrame, p: Params) -> DataFrame:
-    """(doc_id, n, sh, keys): set size, class of equal sets, and the keys of both bands."""
+    """(doc_id, n, sh, cells, keys): set size, class of equal sets, histogram, and the keys of both bands."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            n, sh, keys = [], [], []
+            n, sh, cells, keys = [], [], [], []
             for text in batch["text"]:
                 t = shingles(text, p.words)
                 n.append(len(t))
                 sh.append(xxhash.xxh3_64_intdigest(t.tobytes()) - (1 << 63) if len(t) else 0)
+                cells.append(histogram(t))
                 own = band_of(len(t), p) if len(t) else 0
-                keys.append([(x.number, x.spare, signatures(t, x)) for x in (band(own, p), band(own + 1, p)) if x.ones + x.zeros] if len(t) else [])
+                keys.append([(x.number, x.spare, signatures(t, x)) for x in (band(own, p), band(own + 1, p))
+                             if x.ones + x.zeros and 100 * len(t) >= p.percent * x.low] if len(t) else [])
             yield pd.DataFrame({
-                "doc_id": batch["doc_id"], "n": n, "sh": np.asarray(sh, np.int64),
+                "doc_id": batch["doc_id"], "n": n, "sh": np.asarray(sh, np.int64), "cells": cells,
                 "keys": [[{"band": a, "spare": e, "sigs": s.tolist()} for a, e, s in k] for k in keys]})
 
     return docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), "text").mapInPandas(
-        run, "doc_id long, n long, sh long, keys array<struct<band:int,spare:int,sigs:array<long>>>")
+        run, "doc_id long, n long, sh long, cells binary, keys array<struct<band:int,spare:int,sigs:array<long>>>")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
+    """Pairs (a, b) of classes whose whole sets link; ``texts`` is (sh, z) from :func:`packed_texts`."""
 
+    @F.pandas_udf("boolean")
+    def link(a: pd.Series, b: pd.Series) -> pd.Series:
+        @lru_cache(maxsize=256)
+        def tokens(z: bytes) -> np.ndarray:
+            return shingles(zstandard.decompress(z).decode("utf-8", "surrogatepass"), p.words)
 
-def verified(pairs: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
-    """Pairs (a, b) of classes whose whole sets link; ``sets`` is (sh, n, tokens)."""
+        def one(x: bytes, y: bytes) -> bool:
+            s, t = tokens(x), tokens(y)
+            c = len(np.intersect1d(s, t, assume_unique=True))
+            return 100 * c >= p.percent * (len(s) + len(t) - c)
 
-    @F.pandas_udf("long")
-    def common(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(a, b)], dtype="int64")
+        return pd.Series([one(bytes(x), bytes(y)) for x, y in zip(a, b)], dtype=bool)
 
-    left = sets.select(F.col("sh").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("t_a"))
-    right = sets.select(F.col("sh").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("t_b"))
-    both = pairs.join(left, "a").join(right, "b")
-    inter = common("t_a", "t_b")
-    return both.withColumn("c", inter).where(100 * F.col("c") >= p.percent * (F.col("n_a") + F.col("n_b") - F.col("c"))).select("a", "b")
+    left, right = (texts.select(F.col("sh").alias(x), F.col("z").alias(f"z_{x}")) for x in "ab")
+    return pairs.join(left, "a").join(right, "b").where(link("z_a", "z_b")).select("a", "b")
 
 
-def token_sets(docs: DataFrame, wanted: DataFrame, p: Params) -> DataFrame:
-    """(sh, n, tokens) of the wanted classes, made again from the text of one document each.
+def packed_texts(docs: DataFrame, wanted: DataFrame, p: Params) -> DataFrame:
+    """(sh, z): compressed text of one document of each wanted class; texts shuffle smaller than sets.
 
-    ``wanted`` is (doc_id, sh); rows of a doc_id with another class are dropped after hashing.
+    ``wanted`` is (doc_id, sh); rows that repeat the doc_id with another set are dropped after hashing.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pack = zstandard.ZstdCompressor(level=6)
         for b in batches:
-            t = [shingles(x, p.words) for x in b["text"]]
-            f = pd.DataFrame({"sh": b["sh"], "n": [len(x) for x in t], "tokens": [x.view(np.int64).tolist() for x in t]})
-            yield f[[xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63) == s if len(x) else False for x, s in zip(t, b["sh"])]]
+            out = [(s, pack.compress(x.encode("utf-8", "surrogatepass"))) for x, s in zip(b["text"], b["sh"])
+                   if x is not None and xxhash.xxh3_64_intdigest(shingles(x, p.words).tobytes()) - (1 << 63) == s]
+            yield pd.DataFrame({"sh": np.asarray([x for x, _ in out], np.int64), "z": [z for _, z in out]})
 
     src = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), "text").join(wanted, "doc_id")
-    return src.select("sh", "text").mapInPandas(run, "sh long, n long, tokens array<long>").dropDuplicates(["sh"])
+    return src.select("sh", "text").mapInPandas(run, "sh long, z binary")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -218,13 +235,13 @@ def classes(docs: DataFrame, p: Params = Params()) -> DataFrame:
     kept = live.join(costly, ["sh", "band"], "left").where((F.col("c") <= p.hot) | (F.col("k") > F.col("spare"))).select("sh", "sig", "lo", "hi")
     kept = staged(kept, "jaccard-kept")
 
-    sizes = base.where("n > 0").groupBy("sh").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"))
+    sizes = base.where("n > 0").groupBy("sh").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.first("cells").alias("cells"))
     sizes = staged(sizes, "jaccard-classes")
     star = kept.select(F.col("sh").alias("b"), F.explode(F.array("lo", "hi")).alias("a")).where("a != b")
     star = staged(near_sizes(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sizes, p), "jaccard-star")
     members = kept.join(sizes.select("sh", "doc_id"), "sh").select("doc_id", "sh").distinct()
-    sets = staged(token_sets(docs, members, p), "jaccard-sets")
-    links = staged(verified(star, sets, p), "jaccard-links")
+    texts = staged(packed_texts(docs, members, p), "jaccard-texts")
+    links = staged(verified(star, texts, p), "jaccard-links")
     roots = staged(components(links), "jaccard-roots")
 
     at = kept.join(roots, "sh", "left").select("sig", "sh", F.coalesce("root", "sh").alias("root"))
@@ -233,7 +250,8 @@ def classes(docs: DataFrame, p: Params = Params()) -> DataFrame:
     x, y = (rest.select("sig", F.col("sh").alias(s), F.col("root").alias(f"r_{s}"), F.col("n").alias(f"n_{s}")) for s in "ab")
     # unlike components only, by rows whose sizes can link
     more = x.join(y, "sig").where("a < b and r_a != r_b").where(_sizes_fit(p)).select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
-    late = staged(verified(more, sets, p), "jaccard-late")
+    more = staged(near_sizes(more, sizes, p), "jaccard-more")
+    late = staged(verified(more, texts, p), "jaccard-late")
     chain = roots.select(F.col("sh").alias("a"), F.col("root").alias("b"))
     roots = staged(components(chain.union(late)), "jaccard-roots2")
 
@@ -252,10 +270,22 @@ def _sizes_fit(p: Params):
 
 
 def near_sizes(pairs: DataFrame, sizes: DataFrame, p: Params) -> DataFrame:
-    """Pairs whose set sizes can reach the similarity."""
-    a = sizes.select(F.col("sh").alias("a"), F.col("n").alias("n_a"))
-    b = sizes.select(F.col("sh").alias("b"), F.col("n").alias("n_b"))
-    return pairs.join(a, "a").join(b, "b").where(_sizes_fit(p)).select("a", "b")
+    """Pairs that the exact bounds allow: set sizes, and the histogram steps against ``H``.
+
+    Drops only pairs that cannot link, before their texts are shuffled.
+    """
+
+    @F.pandas_udf("boolean")
+    def close(a: pd.Series, b: pd.Series, n: pd.Series) -> pd.Series:
+        if not len(a):
+            return pd.Series([], dtype=bool)
+        x, y = (np.frombuffer(b"".join(map(bytes, s)), np.uint8).reshape(-1, 256).astype(np.int16) for s in (a, b))
+        steps = np.abs(x - y).sum(1, dtype=np.int64)
+        return pd.Series(steps * (100 + p.percent) <= n.to_numpy() * (100 - p.percent))
+
+    a, b = (sizes.select(F.col("sh").alias(x), F.col("n").alias(f"n_{x}"), F.col("cells").alias(f"c_{x}")) for x in "ab")
+    both = pairs.join(a, "a").join(b, "b").where(_sizes_fit(p))
+    return both.where(close("c_a", "c_b", F.col("n_a") + F.col("n_b"))).select("a", "b")
 
 
 def one_per_component(docs: DataFrame, p: Params = Params()) -> DataFrame:
