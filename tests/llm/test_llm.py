@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
 
 from lexmine.llm import digest, jaccard, licenses, lines, mixing, packing, quality, spans, toxicity, warc
@@ -152,8 +153,6 @@ def test_best_fit_round_trip(spark):
             rooms.remove(min(fit))
         rooms.append((min(fit) if fit else 100) - k)
     assert len(rooms) == len(used)
-    import public_tokenizers
-
     out = packing.pack(packing.pieces(frame(spark, ODD), public_tokenizers.path("byte_bpe_50k.json"))).collect()
     assert sum(r.length for r in out if r.doc_id == 5) == next(r.doc_tokens for r in out if r.doc_id == 5)
     assert max(r.length + r.offset for r in out) <= 2048
@@ -181,3 +180,11 @@ def test_repeated_spans_are_cut(spark):
     for i in range(1, 5):
         assert passage not in got[i].text and got[i].n_removed == 6
         assert "".join(rows[i][1][a.start : a.end] for a in got[i].removed) == passage
+
+
+def test_ranked_vocabulary_gives_the_ids_of_the_tokenizer_file():
+    path = public_tokenizers.path
+    e = packing.Encoder(path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"))
+    texts = ["", "plain words, it's 12 o'clock\n\n", "<|endoftext|> as text", " " * 9000 + "x", "x" * 50_000, "Grüße 日本語 كتاب 😀", "͸ unassigned", "a   b"]
+    for text in texts + [t for _, t, _ in ODD if t]:
+        assert list(e.ids(text)) == e.slow.encode(text, add_special_tokens=False).ids
