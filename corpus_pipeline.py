@@ -46,7 +46,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the packed sequences."""
-    return packing.pack(packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json")))
+    path = public_tokenizers.path
+    return packing.pack(packing.pieces(docs, path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken")))
 
 
 STAGES = [
