@@ -72,7 +72,7 @@ def allocate(h: int, high: int, width: float) -> tuple[int, int, int]:
     best = None
     for ones in range(0, h // 2 + 2 if h < 8 else 1):
         need = h + 1 - 2 * ones
-        spare = 0 if need <= 0 else 1 + need // 50
+        spare = 0 if need <= 0 else 1 + need // 10
         zeros = max(0, need) + spare * (2 if ones else 1)  # a left-out key may cost a segment that allows one
         segments = ones + zeros
         w = high / segments
