@@ -1,13 +1,20 @@
-"""Substring dedup: sliding sentence spans.
+"""Substring dedup: sliding sentence spans, and windows of words for passages that hold no whole run.
 
 A text is cut into sentences after ``.``, ``!`` or ``?`` (with closing quotes) before white space, and
 after line ends; sentences without a word belong to none.  Every run of ``run`` consecutive sentences is
 hashed (lower case, white space runs to one blank); runs are joined over all documents, and sentences
 covered by a repeated run that is not its first occurrence, by (doc_id, position), are removed.
 
+Passages cut in mid-sentence, of one or two long sentences or without punctuation are found by words: of all
+``gram``-word hashes the rightmost smallest of every ``window - gram + 1`` is an anchor, so that equal windows
+of ``window`` words hold equal anchors; around anchors that repeat, every window is hashed.  Words covered by
+a window that is not its first occurrence are removed, save those that its first occurrence covers itself.
+This gives what a search of all windows gives, so a match ends at the word where the texts part.
+
 Defined results: a null text stays null and has no spans; texts of fewer than ``run`` sentences and under
 ``min_words`` words have none; texts of fewer sentences but at least ``min_words`` words have one run, the
-whole text; rows with a null doc_id come last in the order, rows that repeat a doc_id are ordered by text
+whole text; texts under ``window`` words have no windows; a removed word goes with the white space after it;
+n_removed counts the sentences of which no word stays; rows with a null doc_id come last in the order, rows that repeat a doc_id are ordered by text
 hash, fully equal rows count as one occurrence and get equal results; extra columns stay.
 """
 
@@ -20,20 +27,24 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from lexmine.llm.common import documents, prepare, staged
 
 SENTENCE = re.compile(r"[^\n]*?[.!?]+[\"')\]»”]*(?=\s|$)\s*|[^\n]+\s*|\s+")
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+BLANKS = " \t\n\v\f\r"
 
 
 @dataclass
 class Params:
-    """``run``: sentences a span; ``min_words``: words that a run must hold."""
+    """``run``: sentences a span; ``min_words``: words that a run must hold; ``window``, ``gram``: words."""
 
     run: int = 3
     min_words: int = 10
+    window: int = 50
+    gram: int = 25
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
@@ -62,39 +73,138 @@ def _hash(parts: list[list[str]]) -> int:
     return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True)
 
 
+BASE = 0x9E3779B97F4A7C15  # odd, so that its powers have inverses modulo 2**64
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """A 64-bit hash of every word of a whole text, lower case."""
+    words = WORDS.findall(text or "")
+    seen = {w: xxhash.xxh3_64_intdigest(w.lower().encode("utf-8", "surrogatepass")) for w in set(words)}
+    return np.fromiter((seen[w] for w in words), np.uint64, len(words))
+
+
+def window_hashes(x: np.ndarray, k: int) -> np.ndarray:
+    """Hash of every run of ``k`` of ``x``: a polynomial, from sums that wrap."""
+    n = len(x) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    powers = np.cumprod(np.full(len(x), BASE, np.uint64))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * powers)])
+    back = np.cumprod(np.full(n, pow(BASE, -1, 1 << 64), np.uint64))
+    h = (sums[k:] - sums[:n]) * back
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+    return (h ^ (h >> np.uint64(29))).view(np.int64)
+
+
+def anchors(x: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, first word) of the rightmost smallest gram of every window; what is chosen depends on the window alone."""
+    if len(x) < p.window:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    h, wide = window_hashes(x, p.gram), p.window - p.gram + 1
+    low = np.lib.stride_tricks.sliding_window_view(h, wide)[:, ::-1].argmin(1)
+    at = np.unique(np.arange(len(low)) + wide - 1 - low)
+    return h[at], at
+
+
+def _frames(batches: Iterator[pd.DataFrame], rows) -> Iterator[pd.DataFrame]:
+    """Frames (h, doc_id, key, i, n) of some 200,000 rows; ``rows(batch row)`` gives (h, i, n)."""
+    names = ["h", "doc_id", "key", "i", "n"]
+
+    def frame(parts: list[np.ndarray]) -> pd.DataFrame:
+        return pd.DataFrame(np.concatenate(parts), columns=names).astype({"i": np.int32, "n": np.int32})
+
+    for b in batches:
+        held, size = [], 0
+        for r in b.itertuples(index=False):
+            h, i, n = rows(r)
+            if len(h):
+                whole = lambda v: np.full(len(h), v, np.int64)
+                held.append(np.column_stack([h, whole(r.doc_id), whole(r.key), i, n]))
+                size += len(h)
+            if size >= 200_000:
+                yield frame(held)
+                held, size = [], 0
+        if held:
+            yield frame(held)
+
+
+ROWS = "h long, doc_id long, key long, i int, n int"
+
+
+def _hits(rows: DataFrame) -> DataFrame:
+    """Rows whose hash occurs in two places or more, with the first place."""
+    at = F.struct("doc_id", "key", "i")
+    # partial min / max on the map side: a hot passage becomes one row a task before the shuffle
+    firsts = rows.groupBy("h").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first != last").select("h", "first")
+    return rows.join(firsts, "h")
+
+
 def repeated_spans(docs: DataFrame, params: Params = Params()) -> DataFrame:
-    """(key, doc_id, cuts): per text with a repeated run, the (first sentence, sentences) to remove.
+    """(key, doc_id, cuts): per text with a repeated run or window, the (first, count) of what to remove.
 
-    ``key`` is the text hash, which tells rows with the same doc_id apart.
+    ``cuts`` are of sentences or, where ``by_word``, of words.  ``key`` is the text hash, which tells rows with
+    the same doc_id apart.
     """
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            held, size = [], 0
-            for key, doc_id, text in zip(b["key"], b["doc_id"], b["text"]):
-                got = np.asarray(spans(text, params), np.int64).reshape(-1, 3)
-                if len(got):
-                    held.append(np.column_stack([got, np.full(len(got), doc_id, np.int64), np.full(len(got), key, np.int64)]))
-                    size += len(got)
-                if size >= 200_000:
-                    yield frame(held)
-                    held, size = [], 0
-            if held:
-                yield frame(held)
+        def rows(r):
+            got = np.asarray(spans(r.text, params), np.int64).reshape(-1, 3)
+            h, i = anchors(word_hashes(r.text), params)
+            return np.concatenate([got[:, 0], h]), np.concatenate([got[:, 1], i]), np.concatenate([got[:, 2], np.zeros(len(h), np.int64)])
 
-    def frame(parts: list[np.ndarray]) -> pd.DataFrame:
-        x = np.concatenate(parts)
-        return pd.DataFrame({"h": x[:, 0], "doc_id": x[:, 3], "key": x[:, 4], "i": x[:, 1].astype(np.int32), "n": x[:, 2].astype(np.int32)})
+        return _frames(batches, rows)  # n = 0: an anchor
+
+    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def rows(r):
+            h = window_hashes(word_hashes(r.text), params.window)
+            reach = np.add.outer(np.asarray(r.at, np.int64), np.arange(params.gram - params.window, 1))
+            i = np.unique(reach[(reach >= 0) & (reach < len(h))])
+            return h[i], i, np.full(len(i), params.window)
+
+        return _frames(batches, rows)
 
     src = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
     src = src.withColumn("doc_id", F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)))
-    rows = src.mapInPandas(run, "h long, doc_id long, key long, i int, n int")
-    at = F.struct("doc_id", "key", "i")
-    # partial min / max on the map side: a hot passage becomes one row a task before the shuffle
-    firsts = rows.groupBy("h").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first != last").select("h", "first")
-    later = rows.join(firsts, "h").where(at != F.col("first"))
-    return later.groupBy("doc_id", "key").agg(F.collect_set(F.struct("i", "n")).alias("cuts"))
+    rows = staged(src.mapInPandas(run, ROWS), "span-rows")
+    places = _hits(rows.where("n = 0")).groupBy("doc_id", "key").agg(F.collect_set("i").alias("at"))
+    wide = staged(src.join(places, ["doc_id", "key"]).mapInPandas(windows, ROWS), "span-windows")
+
+    place = F.struct("doc_id", "key", "i")
+    runs = _hits(rows.where("n > 0")).where(place != F.col("first"))
+    # a window that overlaps its own first occurrence keeps the words that both cover
+    same = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))
+    begin = F.when(same, F.greatest("i", F.col("first.i") + F.col("n"))).otherwise(F.col("i"))
+    words = _hits(wide).where(place != F.col("first"))
+    cut = lambda by, i, n: F.struct(F.lit(by).alias("by_word"), i.cast("int").alias("i"), n.cast("int").alias("n")).alias("c")
+    every = runs.select("doc_id", "key", cut(False, F.col("i"), F.col("n"))).union(
+        words.select("doc_id", "key", cut(True, begin, F.col("i") + F.col("n") - begin)))
+    return every.groupBy("doc_id", "key").agg(F.collect_set("c").alias("cuts"))
+
+
+def removed_ranges(text: str, cuts) -> tuple[list[list[int]], int, int]:
+    """(ranges of the text that go, sentences, sentences of which no word stays)."""
+    at = sentences(text)
+    gone = sorted({j for c in cuts if not c["by_word"] for j in range(c["i"], c["i"] + c["n"])})
+    found = [at[j] for j in gone]
+    by_word = [(c["i"], c["i"] + c["n"]) for c in cuts if c["by_word"]]
+    if by_word:
+        starts = [m.start() for m in WORDS.finditer(text)] + [len(text)]
+        found += [(starts[i], starts[j]) for i, j in by_word]
+    ranges: list[list[int]] = []
+    for a, b in sorted(found):
+        if ranges and a <= ranges[-1][1]:
+            ranges[-1][1] = max(ranges[-1][1], b)
+        else:
+            ranges.append([a, b])
+    n, k = 0, 0
+    for a, b in at:
+        held = text[a:b].strip(BLANKS)
+        a = text.index(held, a)
+        while k < len(ranges) and ranges[k][1] <= a:
+            k += 1
+        n += k < len(ranges) and ranges[k][0] <= a and a + len(held) <= ranges[k][1]
+    return ranges, len(at), n
 
 
 def remove_repeats(docs: DataFrame, params: Params = Params()) -> DataFrame:
@@ -113,21 +223,13 @@ def remove_repeats(docs: DataFrame, params: Params = Params()) -> DataFrame:
     def cut(texts: pd.Series, marks: pd.Series) -> pd.DataFrame:
         rows = []
         for text, m in zip(texts, marks):
-            at = sentences(text or "")
-            gone = {j for c in (m if m is not None else []) for j in range(c["i"], c["i"] + c["n"])}
-            ranges: list[list[int]] = []
-            for j in sorted(gone):
-                a, b = at[j]
-                if ranges and ranges[-1][1] == a:
-                    ranges[-1][1] = b
-                else:
-                    ranges.append([a, b])
+            ranges, n, gone = removed_ranges(text or "", m if m is not None else [])
             keep, last = [], 0
             for a, b in ranges:
                 keep.append((text or "")[last:a])
                 last = b
             new = None if text is None else "".join(keep) + text[last:]
-            rows.append((new, len(at), len(gone), [{"start": a, "end": b} for a, b in ranges]))
+            rows.append((new, n, gone, [{"start": a, "end": b} for a, b in ranges]))
         return pd.DataFrame(rows, columns=["text", "n_sentences", "n_removed", "removed"])
 
     done = joined.withColumn("__out", cut("text", "__cuts"))
