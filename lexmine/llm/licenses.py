@@ -4,21 +4,25 @@ Templates and texts are read as lower-case words of letters and digits.  Hashes
 winnowed with a window of ``window``; the fingerprints of all templates form an inverted index (templates
 are a fixed list, so its size is known and it is broadcast).  Texts that hit a template give candidate
 diagonals; around each a banded alignment of the words gives matched words and the span in the text.
+An alignment that reaches the coverage leaves few words of the template out, so it holds one of any larger
+number of them: those that the text has least often give the diagonals that share no fingerprint, and the
+result is that of aligning at every position.
 
 Defined results: null and empty texts, and texts without a hit, have no matches; ties go to the larger
-coverage, then the template name; matches of one template that overlap are one; every row of the input
+coverage, then the template name, then the shorter span; matches of one template that overlap are one; every row of the input
 gives one row; very long texts are looked up in linear time; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
+import math
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
@@ -39,7 +43,7 @@ TEMPLATES = {
     "MIT": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.',
     "MIT line": "Released under the MIT License.",
     "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
-    "Rights reserved": "Copyright. All rights reserved.",
+    "Rights reserved": "All rights reserved.",
 }
 
 
@@ -82,11 +86,11 @@ def align(template: list[str], words: list[str], at: int, band: int) -> tuple[in
     ``at`` is where the template would begin; cells further than ``band`` from the diagonal are not visited.
     """
     width = 2 * band + 1
-    best = np.zeros(width + 1, np.int32)  # best[d]: template prefix against words up to at + i + d - band
-    first = np.full(width + 1, -1, np.int64)
-    last = np.full(width + 1, -1, np.int64)
+    best = [0] * (width + 1)  # best[d]: template prefix against words up to at + i + d - band
+    first = [-1] * (width + 1)
+    last = [-1] * (width + 1)
     for i, t in enumerate(template):
-        nb, nf, nl = np.zeros_like(best), np.full_like(first, -1), np.full_like(last, -1)
+        nb, nf, nl = [0] * (width + 1), [-1] * (width + 1), [-1] * (width + 1)
         for d in range(width):
             j = at + i + d - band
             # down (skip template word): same j means diagonal cell d + 1 of the row before
@@ -96,44 +100,70 @@ def align(template: list[str], words: list[str], at: int, band: int) -> tuple[in
             if 0 <= j < len(words) and words[j] == t and best[d] + 1 > nb[d]:
                 nb[d], nf[d], nl[d] = best[d] + 1, first[d] if first[d] >= 0 else j, j
         best, first, last = nb, nf, nl
-    d = int(best[:width].argmax())
-    return int(best[d]), int(first[d]), int(last[d]) + 1
+    d = best.index(max(best[:width]))
+    return best[d], first[d], last[d] + 1
 
 
 class Index:
-    """Inverted index: fingerprint to (template, position)."""
+    """Inverted index: fingerprint to (template, position), and the words of all templates."""
 
     def __init__(self, templates: dict[str, str], p: Params):
         self.p = p
-        self.words = {n: [w for w, _, _ in tokens(t)] for n, t in sorted(templates.items())}
+        self.words = {n: w for n, t in sorted(templates.items()) if (w := [w for w, _, _ in tokens(t)])}
+        self.counts = {n: Counter(w) for n, w in self.words.items()}
+        self.all = {w for t in self.words.values() for w in t}
         self.posts: dict[int, list[tuple[str, int]]] = defaultdict(list)
         for n, w in self.words.items():
             for h, i in winnow(grams(w, p.gram), p.window):
                 self.posts[h].append((n, i))
 
-    def scan(self, text: str | None) -> list[dict]:
-        """Matches of a whole text, in text order."""
-        p, found = self.p, tokens(text)
-        words = [w for w, _, _ in found]
-        starts: dict[str, set[int]] = defaultdict(set)
+    def starts(self, words: list[str]) -> dict[str, set[int]]:
+        """Where each template may begin; no alignment elsewhere reaches the coverage."""
+        p, out = self.p, defaultdict(set)
         for j, h in enumerate(grams(words, p.gram)):  # the template side is winnowed; every text gram is looked up
             for n, i in self.posts.get(h, ()):
-                starts[n].add(j - i)
-        out = []
-        for n in sorted(starts):
-            template, end = self.words[n], -1
-            for at in sorted(starts[n]):
-                if at + len(template) // 2 < end:
-                    continue
+                out[n].add(j - i)
+        at: dict[str, list[int]] = defaultdict(list)
+        for j, w in enumerate(words):
+            if w in self.all:
+                at[w].append(j)
+        for n, template in self.words.items():
+            need = math.ceil(p.coverage * len(template))
+            spare = len(template) - need
+            if sum(c for w, c in self.counts[n].items() if w not in at) > spare:
+                continue
+            band = min(p.band, len(template))
+            for i in sorted(range(len(template)), key=lambda i: len(at.get(template[i], ())))[: spare + 1]:
+                for j in at.get(template[i], ()):
+                    near = set(words[max(0, j - i - 2 * band) : j - i + len(template) + 2 * band])
+                    if sum(c for w, c in self.counts[n].items() if w in near) >= need:
+                        out[n].update(range(j - i - band, j - i + band + 1))
+        return out
+
+    def matches(self, words: list[str], starts: dict[str, set[int]]) -> list[tuple[int, int, int, str]]:
+        """(first, end, matched words, template) that reach the coverage and do not overlap, best first choice."""
+        p, found = self.p, set()
+        for n, ats in starts.items():
+            template = self.words[n]
+            for at in ats:
                 got, a, b = align(template, words, at, min(p.band, len(template)))
                 if got >= p.coverage * len(template):
-                    out.append({"template": n, "matched": got, "coverage": got / len(template), "start": found[a][1], "end": found[b - 1][2]})
-                    end = b
-        best: list[dict] = []
-        for m in sorted(out, key=lambda m: (-m["matched"], -m["coverage"], m["template"], m["start"])):
-            if all(m["end"] <= x["start"] or m["start"] >= x["end"] for x in best):
-                best.append(m)
-        return sorted(best, key=lambda m: (m["start"], m["template"]))
+                    found.add((a, b, got, n))
+        best: list[tuple[int, int, int, str]] = []  # in text order
+        for m in sorted(found, key=lambda m: (-m[2], -m[2] / len(self.words[m[3]]), m[3], m[1] - m[0], m[0])):
+            k = bisect.bisect(best, m)
+            if (not k or best[k - 1][1] <= m[0]) and (k == len(best) or m[1] <= best[k][0]):
+                best.insert(k, m)
+        return best
+
+    def scan(self, text: str | None) -> list[dict]:
+        """Matches of a whole text, in text order."""
+        found = tokens(text)
+        words = [w for w, _, _ in found]
+        return [
+            {"template": n, "matched": got, "coverage": got / len(self.words[n]), "start": found[a][1], "end": found[b - 1][2]}
+            for a, b, got, n in self.matches(words, self.starts(words))
+        ]
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, p: Params = Params()) -> DataFrame:

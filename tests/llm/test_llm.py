@@ -216,3 +216,24 @@ def test_passages_without_whole_sentences_match_a_search_of_all_windows(spark):
             kept.append(t[last : a.start])
             last = a.end
         assert "".join(kept) + t[last:] == got[i].text
+
+
+def test_license_scan_is_that_of_every_position():
+    rng, p = random.Random(10), licenses.Params()
+    index = licenses.Index(licenses.TEMPLATES, p)
+    for line in ("(c) 2020 X. All rights reserved.", "Licensed under CC BY 4.0", "Released under the new MIT licence"):
+        assert len(index.scan("foo bar " + line + " and more")) == 1, line
+    assert index.scan("All hats. All rights reserved.")[0]["start"] == 10
+    hits = 0
+    for _ in range(40):
+        words = [rng.choice(["the", "foo", "all", "license", "under"]) for _ in range(rng.randrange(9))]
+        for _ in range(rng.randrange(1, 4)):
+            for w in rng.choice([w for w in index.words.values() if len(w) < 60]):
+                if rng.random() < 0.9:
+                    words += [w] + ["the"] * (rng.random() < 0.08)
+            words += [f"x{rng.randrange(9)}" for _ in range(rng.randrange(6))]
+        every = {n: range(-len(t) - p.band, len(words) + p.band) for n, t in index.words.items()}
+        got = index.matches(words, index.starts(words))
+        assert got == index.matches(words, every)
+        hits += len(got)
+    assert hits > 30
