@@ -34,7 +34,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lexmine.llm.common import documents, prepare, staged
 
@@ -147,8 +147,12 @@ def histogram(tokens: np.ndarray) -> bytes:
     return np.minimum(cells, 255).astype(np.uint8).tobytes()
 
 
-def indexed(docs: DataFrame, p: Params) -> DataFrame:
-    """(doc_id, n, sh, cells, keys): set size, class of equal sets, histogram, and the keys of both bands."""
+def indexed(docs: DataFrame, p: Params, row: Column | None = None) -> DataFrame:
+    """(doc_id, n, sh, cells, keys): set size, class of equal sets, histogram, and the keys of both bands.
+
+    ``row`` (long) is carried along under that name.
+    """
+    more = [] if row is None else [row.alias("row")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -162,11 +166,11 @@ def indexed(docs: DataFrame, p: Params) -> DataFrame:
                 keys.append([(x.number, x.spare, signatures(t, x)) for x in (band(own, p), band(own + 1, p))
                              if x.ones + x.zeros and 100 * len(t) >= p.percent * x.low] if len(t) else [])
             yield pd.DataFrame({
-                "doc_id": batch["doc_id"], "n": n, "sh": np.asarray(sh, np.int64), "cells": cells,
+                **{c: batch[c] for c in batch.columns if c == "row"}, "doc_id": batch["doc_id"], "n": n, "sh": np.asarray(sh, np.int64), "cells": cells,
                 "keys": [[{"band": a, "spare": e, "sigs": s.tolist()} for a, e, s in k] for k in keys]})
 
-    return docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), "text").mapInPandas(
-        run, "doc_id long, n long, sh long, cells binary, keys array<struct<band:int,spare:int,sigs:array<long>>>")
+    return docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), "text", *more).mapInPandas(
+        run, ("row long, " if more else "") + "doc_id long, n long, sh long, cells binary, keys array<struct<band:int,spare:int,sigs:array<long>>>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
@@ -224,10 +228,10 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
-def classes(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of ``docs``."""
+def linked(docs: DataFrame, p: Params, row: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows as :func:`indexed` gives them, the classes with a set (sh, doc_id, n, cells), and (sh, root) of linked classes."""
     prepare(docs.sparkSession)
-    base = staged(indexed(docs, p), "jaccard-index")
+    base = staged(indexed(docs, p, row), "jaccard-index")
     keys = base.select("sh", F.explode("keys").alias("k")).select("sh", "k.band", "k.spare", F.explode("k.sigs").alias("sig"))
     buckets = keys.groupBy("sig").agg(F.count("*").alias("c"), F.min("sh").alias("lo"), F.max("sh").alias("hi")).where("lo < hi")
     live = staged(keys.join(buckets, "sig").distinct(), "jaccard-live")
@@ -253,8 +257,12 @@ def classes(docs: DataFrame, p: Params = Params()) -> DataFrame:
     more = staged(near_sizes(more, sizes, p), "jaccard-more")
     late = staged(verified(more, texts, p), "jaccard-late")
     chain = roots.select(F.col("sh").alias("a"), F.col("root").alias("b"))
-    roots = staged(components(chain.union(late)), "jaccard-roots2")
+    return base, sizes, staged(components(chain.union(late)), "jaccard-roots2")
 
+
+def classes(docs: DataFrame, p: Params = Params()) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of ``docs``."""
+    base, sizes, roots = linked(docs, p)
     named = sizes.join(roots, "sh", "left").select("sh", "doc_id", F.coalesce("root", "sh").alias("root"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = named.join(least, "root").select("sh", "component_id")
@@ -289,14 +297,26 @@ def near_sizes(pairs: DataFrame, sizes: DataFrame, p: Params) -> DataFrame:
 
 
 def one_per_component(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """``docs`` (all columns) without all but the smallest doc_id of every component.
+    """``docs`` (all columns) with one row of every component: that of the smallest doc_id (null last).
 
-    Rows that share the kept doc_id all stay; rows with a null doc_id stay only when alone in their component.
+    Decided by row: rows that share a doc_id, or have none, go only if their own text links to a row that stays.
+    Of rows with the kept doc_id the smallest row hash stays, of fully equal rows one.  Rows without words link
+    to nothing and all stay.
     """
-    prepare(docs.sparkSession)
-    out = classes(docs, p)
-    drop = out.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__drop")).distinct()
-    return docs.join(drop, F.col("doc_id").eqNullSafe(F.col("__drop")), "left_anti")
+    columns = docs.columns
+    row, doc_id = F.xxhash64(*columns), F.coalesce("doc_id", F.lit(LAST))
+    base, _, roots = linked(docs, p, row)
+    # partial counts on the map side: a row that repeats becomes one row a task before the shuffle
+    rows = staged(base.where("n > 0").groupBy("doc_id", "row").agg(F.min("sh").alias("sh"), F.count("*").alias("copies")), "jaccard-rows")
+    firsts = rows.groupBy("sh").agg(F.min(F.struct("doc_id", "row")).alias("first"))
+    firsts = firsts.join(roots, "sh", "left").groupBy(F.coalesce("root", "sh").alias("root")).agg(F.min("first").alias("first"))
+    firsts = firsts.select("first.*", F.lit(True).alias("stays"))
+    marks = rows.join(firsts, ["doc_id", "row"], "left").where("stays is null or copies > 1")
+    marks = staged(marks.select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), "stays"), "jaccard-marks")
+    at = (doc_id == F.col("__id")) & (row == F.col("__row"))
+    out = docs.join(marks, at, "left_anti")
+    repeated = marks.where("stays")
+    return out if repeated.isEmpty() else out.union(docs.join(repeated, at, "left_semi").dropDuplicates())
 
 
 def op7_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -237,3 +237,38 @@ def test_license_scan_is_that_of_every_position():
         assert got == index.matches(words, every)
         hits += len(got)
     assert hits > 30
+
+
+def test_one_row_of_every_component_stays_with_null_and_repeated_ids(spark):
+    rng = random.Random(11)
+    rows = []
+    for g in range(30):
+        base = words(rng, 60).split()
+        for _ in range(rng.choice([1, 1, 2, 5])):
+            w = list(base)
+            if rng.random() < 0.7:
+                w[rng.randrange(len(w))] = f"n{rng.randrange(10**6)}"
+            rows.append((rng.choice([None, rng.randrange(25), rng.randrange(1000)]), " ".join(w), rng.choice("ab")))
+    rows += rows[:12] + [rows[0]] * 3 + [(None, "", "s"), (None, "", "s"), (3, None, "s"), (3, "unlike any other row", "s")]
+    sets = []
+    for _, t, _ in rows:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[k : k + 4]) for k in range(max(1, len(w) - 3))} if w else set())
+    root = list(range(len(rows)))
+    find = lambda i: i if root[i] == i else find(root[i])
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                root[find(a)] = find(b)
+    groups = {}
+    for k in range(len(rows)):
+        groups.setdefault(find(k), []).append(rows[k])
+    big = lambda i: 10**9 if i is None else i
+    out = [tuple(r)[:2] + (r.source,) for r in jaccard.one_per_component(frame(spark, rows)).collect()]
+    assert len(out) == len(groups)
+    for g in groups.values():
+        stays = [r for r in out if r in g]
+        assert len([r for r in stays if r[1]]) == 1 or not g[0][1]
+        assert all(big(r[0]) == min(big(x[0]) for x in g) for r in stays)
+    later = spans.remove_repeats(jaccard.one_per_component(frame(spark, rows)))
+    assert later.count() == len(groups)
