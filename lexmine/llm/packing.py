@@ -91,7 +91,8 @@ class Encoder:
 
     ``ranks_file`` holds the same vocabulary as ranks, which tiktoken encodes several times faster.  The two
     libraries may split differently at code points without a Unicode category, and tiktoken's split has a
-    backtracking limit on white space; such texts are encoded from the tokenizer file.
+    backtracking limit on white space; such texts, and those that hold the literal of an added token (which
+    the tokenizer file reads as one id), are encoded from the tokenizer file.
     """
 
     LONG_SPACE = re.compile(r"\s{4096}")
@@ -100,7 +101,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.slow = Tokenizer.from_file(tokenizer_file)
-        self.slow.encode_special_tokens = True
+        self.added = [t.content for t in self.slow.get_added_tokens_decoder().values()]
         self.fast = None
         if ranks_file:
             import tiktoken
@@ -111,7 +112,7 @@ class Encoder:
 
     def ids(self, text: str) -> list[int]:
         plain = text.isascii() or not any(unicodedata.category(c) == "Cn" for c in set(text))
-        if self.fast and plain and not self.LONG_SPACE.search(text):
+        if self.fast and plain and not self.LONG_SPACE.search(text) and not any(t in text for t in self.added):
             return self.fast.encode_ordinary(text)
         return self.slow.encode(text, add_special_tokens=False).ids
 

@@ -272,3 +272,14 @@ def test_one_row_of_every_component_stays_with_null_and_repeated_ids(spark):
         assert all(big(r[0]) == min(big(x[0]) for x in g) for r in stays)
     later = spans.remove_repeats(jaccard.one_per_component(frame(spark, rows)))
     assert later.count() == len(groups)
+
+
+def test_ids_are_those_of_the_untouched_tokenizer():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path
+    plain = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    assert 50256 in plain.encode("x <|endoftext|> y", add_special_tokens=False).ids
+    for e in (packing.Encoder(path("byte_bpe_50k.json")), packing.Encoder(path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"))):
+        for text in ["x <|endoftext|> y", "<|endoftext|>", "a<|endoftext|><|endoftext|>\n", "<|endoftext |>", "<|ENDOFTEXT|> é", "plain"]:
+            assert list(e.ids(text)) == plain.encode(text, add_special_tokens=False).ids
