@@ -88,14 +88,27 @@ def literal_column(spark: SparkSession, values, name: str, dtype: str = "string"
     return spark.range(1).select(F.explode(arr).alias(name))
 
 
+def input_state(spark: SparkSession, folder: str) -> str:
+    """Hash of the names, sizes and times of all files under ``folder`` (any store that Spark reads)."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    found = []
+    if fs.exists(path):
+        files = fs.listFiles(path, True)
+        while files.hasNext():
+            f = files.next()
+            found.append(f"{f.getPath()}\0{f.getLen()}\0{f.getModificationTime()}")
+    return hashlib.sha1("\n".join(sorted(found)).encode()).hexdigest()[:12]
+
+
 def table_path(spark: SparkSession, name: str, key: str) -> str:
-    """Folder of stored table ``name`` for input ``key`` under the shared folder."""
+    """Folder of stored table ``name`` for input folder ``key`` as it is now, under the shared folder."""
     safe = "".join(ch if ch.isalnum() or ch in "-_." else "_" for ch in key)
     ns = spark.conf.get("spark.lexmine.tables.namespace", "default")
     # timestamps derived from wall-clock rules depend on the session zone, so
     # sessions in different zones never share a stored copy
     tz = "".join(ch if ch.isalnum() else "_" for ch in spark.conf.get("spark.sql.session.timeZone", "UTC"))
-    return f"{shared_dir(spark)}/lexmine-tables/{ns}/{_code_version()}-{tz}/{name}/{safe}"
+    return f"{shared_dir(spark)}/lexmine-tables/{ns}/{_code_version()}-{tz}/{name}/{safe}-{input_state(spark, key)}"
 
 
 def stored_table(spark: SparkSession, name: str, key: str, build, partition_by: list[str] | None = None) -> DataFrame:
