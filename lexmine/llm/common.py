@@ -13,14 +13,15 @@ from lexmine.session import shared_dir, ship_package
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, per_file: int = 0) -> DataFrame:
     """Write ``df`` to a folder of its own under the shared folder and read it back.
 
-    Cuts the lineage for every consumer; the file committer makes lost executors harmless.
+    Cuts the lineage for every consumer; the file committer makes lost executors harmless.  ``per_file``: most
+    rows in a file (0: no bound), so that few large rows are read back by many tasks.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lexmine-llm/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", per_file).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

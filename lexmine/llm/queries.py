@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from lexmine.llm import covertree, importance
+from lexmine.llm.covertree import op12_cover_tree_negatives
 from lexmine.llm.digest import op2_quartile_digest
+from lexmine.llm.importance import op11_importance_resampling
 from lexmine.llm.jaccard import op7_jaccard_join
 from lexmine.llm.licenses import op5_license_scan
 from lexmine.llm.lines import op4_line_frequency
 from lexmine.llm.mixing import op6_budget_mix
 from lexmine.llm.packing import op8_best_fit_pack
+from lexmine.llm.pii import op13_pii_spans
 from lexmine.llm.quality import op1_quality_fm
 from lexmine.llm.spans import op10_sentence_spans
 from lexmine.llm.toxicity import op3_toxicity_nnpu
@@ -18,6 +22,7 @@ REGISTRY = {
     for f in (
         op1_quality_fm, op2_quartile_digest, op3_toxicity_nnpu, op4_line_frequency, op5_license_scan,
         op6_budget_mix, op7_jaccard_join, op8_best_fit_pack, op9_warc_zstd, op10_sentence_spans,
+        op11_importance_resampling, op12_cover_tree_negatives, op13_pii_spans,
     )
 }
 
@@ -93,4 +98,7 @@ SELECT page_id, octet_length(b) AS payload_bytes,
 FROM p JOIN g ON p.h = g.h
 """
 
-ORACLE_SQL = {"op4_line_frequency": _OP4, "op7_jaccard_join": _OP7, "op9_warc_zstd": _OP9}
+ORACLE_SQL = {
+    "op4_line_frequency": _OP4, "op7_jaccard_join": _OP7, "op9_warc_zstd": _OP9,
+    "op11_importance_resampling": importance.ORACLE_SQL, "op12_cover_tree_negatives": covertree.ORACLE_SQL,
+}
