@@ -5,7 +5,7 @@ import duckdb
 import __spark_entry__ as E
 
 SF = "/root/testdata/sf0.001"
-TABLES = ["documents", "pages"]
+TABLES = ["documents", "pages", "benchmark", "embeddings", "labels", "conversations", "events"]
 
 
 def test_entry(spark):
