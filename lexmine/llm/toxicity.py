@@ -1,12 +1,17 @@
 """Toxicity: non-negative positive-unlabelled (nnPU) learning of a linear numpy classifier.
 
 With class prior pi, confirmed toxic rows P and unlabelled rows U, the risk that is minimised is
-``pi * R_P(+1) + max(0, R_U(-1) - pi * R_P(-1))``; when the second term turns negative on a batch, the
-step goes the other way on that term alone, which is the non-negative correction.  Labels 0 are never
-used as negatives: they only serve to estimate pi.
+``pi * R_P(+1) + max(0, R_U(-1) - pi * R_P(-1))`` with the sigmoid loss, over all sampled rows at each step; when
+the second term turns negative, the step goes the other way on that term alone, which is the non-negative
+correction.  Labels 0 are never used as negatives: they only serve to estimate pi.
+
+Features are words, first letters of words (invented or inflected words share them), and, for first letters that
+two or more different words share, the share of the text that starts so, by levels; a long text that holds one
+such word by chance differs from one that is full of them.
 
 Defined results: a null text counts as empty and gets the score of the bias; repeated rows are each
-scored; null ids count as held out; without confirmed toxic rows every score is 0.
+scored; null ids count as held out, and ids never pass through Python beside a null; of rows that share a
+sampled doc_id the one of the smallest text hash is learned from; without confirmed toxic rows every score is 0.
 """
 
 from __future__ import annotations
@@ -14,6 +19,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,62 +29,133 @@ from pyspark.sql import DataFrame, functions as F
 
 from lexmine.llm.common import held_out_col, prepare
 
-BUCKETS = 1 << 18
+BUCKETS = 1 << 20
 TOKEN = re.compile(r"[^\W\d_]+", re.UNICODE)
 
+#: First letters taken from a word, and the parts of a text from which their share is a level.
+STEMS = (3, 4, 5, 6, 7, 8)
+LEVELS = ((256, "a"), (128, "b"), (64, "c"))
+
 
 @dataclass
 class Params:
     """``max_positive`` / ``max_unlabelled``: most rows learned from, taken by hash of the id.
 
-    ``prior`` None: the share of toxic rows among the learnable labelled rows.
+    ``prior`` None: the share of toxic rows among the learnable labelled rows.  ``max_features`` most telling
+    features get a weight (by z score, at least ``min_z``, in at least ``min_rows`` sampled rows); the bound keeps
+    the dense matrix of the sample small and does not grow with the corpus.
     """
 
     max_positive: int = 3000
     max_unlabelled: int = 6000
     prior: float | None = None
     max_features: int = 512
-    epochs: int = 120
-    batch: int = 256
+    min_rows: int = 3
+    min_z: float = 3.0
+    steps: int = 500
     rate: float = 0.3
     l2: float = 1e-4
-    seed: int = 5
     threshold: float = 0.5
 
 
+def bucket(feature: str) -> int:
+    return zlib.crc32(feature.encode()) % BUCKETS
+
+
+def tally(text: str | None) -> Counter:
+    """Lower-case letter runs of a whole text."""
+    return Counter(TOKEN.findall((text or "").lower()))
+
+
+def stem_features(stem: str, tokens: int, kinds: int, n: int) -> Iterator[str]:
+    """Features of first letters that ``tokens`` of ``n`` tokens share, ``kinds`` different words among them."""
+    yield stem + "*"
+    if kinds > 1:
+        yield stem + "*2"
+        for part, level in LEVELS:
+            if tokens * part >= n:
+                yield stem + level
+
+
 def buckets(text: str | None) -> np.ndarray:
-    """Distinct hashed lower-case letter runs of a whole text, and the first three to five letters of each."""
-    words = set(TOKEN.findall((text or "").lower()))
-    parts = words.union(*({w[:n] + "*" for w in words if len(w) >= n} for n in (3, 4, 5)))
-    return np.unique(np.fromiter((zlib.crc32(w.encode()) % BUCKETS for w in parts), np.int32))
+    """Distinct hashed features of a whole text."""
+    words = tally(text)
+    n = sum(words.values())
+    tokens, kinds = Counter(), Counter()
+    for w, k in words.items():
+        for size in STEMS:
+            if len(w) >= size:
+                tokens[w[:size]] += k
+                kinds[w[:size]] += 1
+    out = {bucket(w) for w in words}
+    for stem, k in tokens.items():
+        out.update(map(bucket, stem_features(stem, k, kinds[stem], n)))
+    return np.asarray(sorted(out), np.int32)
 
 
-@dataclass
 class Linear:
     """Weights of the chosen buckets, 0 for all others."""
 
-    w: np.ndarray
-    bias: float
+    def __init__(self, weights: dict[int, float], bias: float):
+        self.weights, self.bias = weights, bias
+        self.known: dict[str, tuple[int | None, tuple[str, ...]]] = {}
+
+    def telling(self, word: str) -> tuple[int | None, tuple[str, ...]]:
+        """The word's own bucket and its stems, as far as they can have a weight."""
+        got = self.known.get(word)
+        if got is None:
+            if len(self.known) > 300_000:
+                self.known.clear()
+            own = bucket(word)
+            stems = (word[:size] for size in STEMS if len(word) >= size)
+            got = (own if own in self.weights else None,
+                   tuple(s for s in stems if any(bucket(f) in self.weights for f in stem_features(s, 1, 2, 1))))
+            self.known[word] = got
+        return got
 
     def score(self, text: str | None) -> float:
-        z = float(self.w[buckets(text)].sum()) + self.bias
+        """That of all :func:`buckets`; stems without a weight are left out."""
+        words = tally(text)
+        tokens, kinds, out = Counter(), Counter(), set()
+        for w, k in words.items():
+            own, stems = self.telling(w)
+            if own is not None:
+                out.add(own)
+            for s in stems:
+                tokens[s] += k
+                kinds[s] += 1
+        if tokens:
+            n = sum(words.values())
+            for s, k in tokens.items():
+                out.update(b for b in map(bucket, stem_features(s, k, kinds[s], n)) if b in self.weights)
+        z = sum(self.weights[b] for b in sorted(out)) + self.bias
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def choose(pos: list[np.ndarray], unl: list[np.ndarray], limit: int) -> np.ndarray:
+def choose(pos: list[np.ndarray], unl: list[np.ndarray], p: Params) -> np.ndarray:
     """The buckets whose document shares differ most between P and U (two-proportion z score)."""
-    p, u = (np.bincount(np.concatenate(x), minlength=BUCKETS) if x else np.zeros(BUCKETS) for x in (pos, unl))
-    a, b = p / len(pos), u / max(1, len(unl))
-    pool = (p + u) / (len(pos) + len(unl))
-    z = np.abs(a - b) / np.sqrt(pool * (1 - pool) * (1 / len(pos) + 1 / max(1, len(unl))) + 1e-9)
-    z[p + u < 3] = 0
-    top = np.lexsort((np.arange(BUCKETS), -z))[:limit]
-    return np.sort(top[z[top] > 3.0])
+    a, b = (np.bincount(np.concatenate(x), minlength=BUCKETS) for x in (pos, unl))
+    pool = (a + b) / (len(pos) + len(unl))
+    z = np.abs(a / len(pos) - b / len(unl)) / np.sqrt(pool * (1 - pool) * (1 / len(pos) + 1 / len(unl)) + 1e-9)
+    z[a + b < p.min_rows] = 0
+    top = np.lexsort((np.arange(BUCKETS), -z))[: p.max_features]
+    return np.sort(top[z[top] > p.min_z])
+
+
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def risk(w: np.ndarray, xp: np.ndarray, xu: np.ndarray, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """(pi * R_P(+1), R_U(-1) - pi * R_P(-1)) with the sigmoid loss, and their gradients."""
+    p, u = sigmoid(xp @ w), sigmoid(xu @ w)
+    dp, du = xp.T @ (p * (1 - p)) / len(xp), xu.T @ (u * (1 - u)) / len(xu)
+    return prior * (1 - p).mean(), u.mean() - prior * p.mean(), -prior * dp, du - prior * dp
 
 
 def fit(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, p: Params) -> Linear:
-    """Mini-batch nnPU with the logistic loss and Adagrad."""
-    keys = choose(pos, unl, p.max_features)
+    """Steps on the whole nnPU risk with Adagrad."""
+    keys = choose(pos, unl, p)
     at = np.full(BUCKETS, -1)
     at[keys] = np.arange(len(keys))
 
@@ -94,24 +171,12 @@ def fit(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, p: Params) -
     w = np.zeros(len(keys) + 1)
     w[-1] = math.log(prior / (1 - prior))
     acc = np.full_like(w, 1e-6)
-    rng = np.random.default_rng(p.seed)
-    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    soft = lambda z: np.logaddexp(0, z)
-    steps = max(1, math.ceil(len(xu) / p.batch))
-    for _ in range(p.epochs):
-        pu, pp = rng.permutation(len(xu)), rng.permutation(len(xp))
-        for k in range(steps):
-            bu, bp = xu[pu[k::steps]], xp[pp[k % len(xp) :: min(steps, len(xp))]]
-            zu, zp = bu @ w, bp @ w
-            neg = soft(zu).mean() - prior * soft(zp).mean()
-            g_neg = bu.T @ sig(zu) / len(bu) - prior * (bp.T @ sig(zp)) / len(bp)
-            g = -g_neg if neg < 0 else g_neg - prior * (bp.T @ sig(-zp)) / len(bp)
-            g = g + p.l2 * np.append(w[:-1], 0)
-            acc += g * g
-            w -= p.rate * g / np.sqrt(acc)
-    full = np.zeros(BUCKETS)
-    full[keys] = w[:-1]
-    return Linear(full, float(w[-1]))
+    for _ in range(p.steps):
+        _, negative, g_pos, g_neg = risk(w, xp, xu, prior)
+        g = (-g_neg if negative < 0 else g_pos + g_neg) + p.l2 * np.append(w[:-1], 0)
+        acc += g * g
+        w -= p.rate * g / np.sqrt(acc)
+    return Linear(dict(zip(keys.tolist(), w[:-1].tolist())), float(w[-1]))
 
 
 def train(docs: DataFrame, labels: DataFrame, params: Params = Params()) -> Linear | None:
@@ -136,26 +201,25 @@ def train(docs: DataFrame, labels: DataFrame, params: Params = Params()) -> Line
 
     ids = pos.union(unl.distinct())  # bounded by the two limits
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
-    got = rows.mapInPandas(featurise, "doc_id long, pos int, idx array<int>").limit(2 * (params.max_positive + params.max_unlabelled)).toPandas()
-    got["n"] = got["idx"].map(len)
-    got = got.sort_values(["pos", "doc_id", "n"], kind="stable")
+    rows = rows.groupBy("doc_id", "pos").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    got = rows.mapInPandas(featurise, "doc_id long, pos int, idx array<int>").toPandas()
+    got = got.sort_values(["pos", "doc_id"], kind="stable")
     p, u = ([np.asarray(x, np.int32) for x in got.loc[got["pos"] == k, "idx"]] for k in (1, 0))
     return fit(p, u, prior, params) if p and u else None
 
 
 def score(docs: DataFrame, model: Linear | None, params: Params = Params()) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every row."""
+    """(doc_id, held_out, score, predicted) of every row; only the text goes through Python."""
     prepare(docs.sparkSession)
-    shared, threshold = docs.sparkSession.sparkContext.broadcast(model), params.threshold  # BUCKETS floats
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most `max_features` weights
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("double")
+    def run(texts: pd.Series) -> pd.Series:
         m = shared.value
-        for b in batches:
-            s = np.asarray([m.score(t) if m else 0.0 for t in b["text"]], np.float64)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "held_out": b["held_out"], "score": s, "predicted": (s >= threshold).astype(np.int32)})
+        return pd.Series([m.score(t) if m else 0.0 for t in texts], dtype=np.float64)
 
-    src = docs.select("doc_id", "text", held_out_col(F.col("doc_id")).alias("held_out"))
-    return src.mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int")
+    out = docs.select("doc_id", held_out_col(F.col("doc_id")).alias("held_out"), run("text").alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= params.threshold).cast("int"))
 
 
 def op3_toxicity_nnpu(spark, sf_dir: str) -> DataFrame:
