@@ -22,7 +22,9 @@ def staged(df: DataFrame, name: str, per_file: int = 0) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lexmine-llm/{name}-{uuid.uuid4().hex}"
     df.write.option("maxRecordsPerFile", per_file).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -31,9 +33,18 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Make the package importable on executors and the shared folder known."""
+    """Make the package importable on executors and the shared folder known; bound Python batches by bytes."""
     shared_dir(spark)
     ship_package(spark)
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == 10_000:  # the default: rows of any size
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1_000)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the folders of tables from :func:`staged` that no later step reads."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.staged_path)
+        path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,11 +73,9 @@ def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     n = ranges or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     cuts = _bounds(docs, n)
 
-    @F.pandas_udf("int")
-    def bucket(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.where(ids.isna(), -1, np.searchsorted(cuts, ids.fillna(0), side="right") if cuts else 0).astype(np.int32))
-
-    src = docs.select("doc_id", "text").withColumn("bucket", bucket("doc_id").cast("int"))
+    # the number of cut points at or below an id (null: -1), in the JVM
+    below = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("doc_id"))) if cuts else F.lit(0)
+    src = docs.select("doc_id", "text").withColumn("bucket", F.when(F.col("doc_id").isNull(), -1).otherwise(below))
     opens = [(r["bucket"], r["lo"]) for r in src.groupBy("bucket").agg(F.min("doc_id").alias("lo")).orderBy("bucket").collect()]  # one row a range
     if not opens:
         return src.select("bucket", F.lit(False).alias("tail"), "doc_id", "text")
@@ -86,7 +84,7 @@ def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     tails = src.join(F.broadcast(heads), (F.col("bucket") == F.col("h_bucket")) & F.col("doc_id").eqNullSafe(F.col("lo")))
     both = src.select("bucket", F.lit(False).alias("tail"), "doc_id", "text").union(
         tails.select(F.col("home").alias("bucket"), F.lit(True).alias("tail"), "doc_id", "text"))
-    return both.repartitionByRange(n, "bucket").sortWithinPartitions("bucket", "tail", "doc_id", F.xxhash64("text"))
+    return both.repartition(n, "bucket").sortWithinPartitions("bucket", "tail", "doc_id", F.xxhash64("text"))
 
 
 def fingerprint_pairs(docs: DataFrame, ranges: int | None = None) -> DataFrame:
@@ -107,13 +105,14 @@ def fingerprint_pairs(docs: DataFrame, ranges: int | None = None) -> DataFrame:
                     e = digest(edited)
                     out.append((old_id, len(old), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(),
                                 old_mark, e, likeness(old_mark, e), likeness(old_mark, mark)))
-                held = None if tail else (None if pd.isna(doc_id) else int(doc_id), text, mark)
+                held = None if tail else (doc_id, text, mark)
             if out:
-                f = pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
-                yield f.assign(doc_id=f["doc_id"].astype("Int64"))
+                yield pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
-    return with_next(docs, ranges).mapInPandas(
-        run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    # ids as text: beside a null, pandas turns 64-bit ids into floats
+    src = with_next(docs, ranges).withColumn("doc_id", F.col("doc_id").cast("string"))
+    out = src.mapInPandas(run, "doc_id string, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def op2_quartile_digest(spark, sf_dir: str) -> DataFrame:

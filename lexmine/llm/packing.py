@@ -26,6 +26,9 @@ from pyspark.sql import DataFrame, functions as F
 from lexmine.llm.common import documents, prepare, staged
 
 
+LAST = (1 << 63) - 1
+
+
 @dataclass(frozen=True)
 class Params:
     """``group``: rests packed together (about 30 MB of ids at most, at one task)."""
@@ -133,10 +136,12 @@ def pieces(docs: DataFrame, tokenizer_file: str, ranks_file: str | None = None,
                 for s in range(0, len(ids), p.window):
                     cut = ids[s : s + p.window]
                     out.append((doc_id, s, len(cut), zlib.crc32(cut.tobytes()), len(ids)))
-            f = pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-            yield f.assign(doc_id=f["doc_id"].astype("Int64"))
+            yield pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    # ids as text: beside a null, pandas turns 64-bit ids into floats
+    src = docs.select(F.col("doc_id").cast("string"), "text")
+    out = src.mapInPandas(run, "doc_id string, start long, length long, ids_crc32 long, doc_tokens long")
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def pack(cuts: DataFrame, p: Params = Params()) -> DataFrame:
@@ -145,16 +150,19 @@ def pack(cuts: DataFrame, p: Params = Params()) -> DataFrame:
     groups = max(1, -(-cuts.where(F.col("length") < p.window).count() // p.group))
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        g = group.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
+        ids = group["doc_id"].map(lambda x: LAST if x is None else int(x)).astype(np.int64)
+        order = np.lexsort((group["ids_crc32"], group["start"], ids, -group["length"]))
+        g = group.iloc[order].copy()
         number, offset = best_fit(g["length"].tolist(), p.window)
         g["sequence_id"] = (int(key[0]) << 33) + np.asarray(number, np.int64)
         g["offset"] = np.asarray(offset, np.int64)
         return g.drop(columns="group")
 
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    # full windows are dealt over all groups too: they need no search
-    dealt = cuts.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
-    return dealt.groupBy("group").applyInPandas(run, schema)
+    schema = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+    # dealt by place in the written table, so that rows that repeat spread like others; full windows need no search
+    place = F.xxhash64(F.substring("_metadata.file_name", 1, 10), "_metadata.row_index")
+    dealt = cuts.select(F.col("doc_id").cast("string"), "start", "length", "ids_crc32", "doc_tokens", F.pmod(place, F.lit(groups)).alias("group"))
+    return dealt.groupBy("group").applyInPandas(run, schema).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def op8_best_fit_pack(spark, sf_dir: str) -> DataFrame:

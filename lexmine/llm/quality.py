@@ -3,9 +3,12 @@
 Score of a sparse row x:  w0 + <w, x> + 1/2 * sum_f [ (sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2 ],
 the sum-of-squares identity, linear in the number of non-zero features.
 
+The query and the pipeline stage pass ``n_chars`` as metadata, by magnitude.
+
 Defined results: a null text counts as empty; an empty text has only structure features and gets a
-score like any other; null metadata is the value "missing"; repeated rows are scored each for itself;
-a null ``doc_id`` counts as held out; without both classes among the learnable rows every score is the
+score like any other; null metadata is the value "missing"; repeated rows are scored each for itself, and of rows
+that share a labelled ``doc_id`` the one of the smallest text hash is learned from;
+a null ``doc_id`` counts as held out, and ids never pass through Python beside a null; without both classes among the learnable rows every score is the
 constant prior (0.5 without labels).  Extra columns of the input are ignored by name.
 """
 
@@ -20,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lexmine.llm.common import held_out_col, prepare
 
@@ -28,6 +31,9 @@ BUCKETS = 1 << 14
 STATS = 64 * 16
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
+#: Metadata columns of ``documents`` that the query and the pipeline learn from.
+META = ("n_chars",)
+
 
 @dataclass
 class Params:
@@ -152,7 +158,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, limit: int, me
         .groupBy("doc_id").agg(F.max("y").alias("y"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     )
-    return docs.select("doc_id", "text", *meta_cols).join(F.broadcast(lab), "doc_id")  # at most `limit` narrow rows
+    rows = docs.select("doc_id", "text", *meta_cols).join(F.broadcast(lab), "doc_id")  # at most `limit` narrow rows
+    first = F.min_by(F.struct("text", *meta_cols, "y"), F.xxhash64("text", *meta_cols)).alias("r")
+    return rows.groupBy("doc_id").agg(first).select("doc_id", "r.*")
 
 
 def train(docs: DataFrame, labels: DataFrame, params: Params = Params(), meta_cols: tuple = ()) -> FactorMachine | float:
@@ -161,12 +169,12 @@ def train(docs: DataFrame, labels: DataFrame, params: Params = Params(), meta_co
 
     def featurise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            f = [features(t, m) for t, m in zip(b["text"], _meta(b, metas))]
+            f = [features(t, m) for t, m in zip(b["text"], _meta(b, metas, len(b)))]
             yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["y"], "idx": [x[0].tolist() for x in f], "val": [x[1].tolist() for x in f]})
 
     rows = training_rows(docs, labels, "quality", params.max_train, meta_cols)
-    got = rows.mapInPandas(featurise, "doc_id long, y int, idx array<int>, val array<float>").limit(params.max_train).toPandas()
-    got = got.assign(n=got["idx"].map(len)).sort_values(["doc_id", "n"], kind="stable") if len(got) else got
+    got = rows.mapInPandas(featurise, "doc_id long, y int, idx array<int>, val array<float>").toPandas()
+    got = got.sort_values("doc_id", kind="stable")
     y = got["y"].to_numpy(np.float32) if len(got) else np.zeros(0, np.float32)
     if len(set(y.tolist())) < 2:
         return float(y.mean()) if len(y) else 0.5
@@ -174,54 +182,45 @@ def train(docs: DataFrame, labels: DataFrame, params: Params = Params(), meta_co
     return FactorMachine(BUCKETS + STATS, params.rank, params.seed).fit(x, y, params)
 
 
-def _meta(b: pd.DataFrame, cols: list[str]) -> list[tuple]:
-    """Metadata values of each row; numbers by magnitude."""
+def _meta(b, cols: list[str], n: int) -> list[tuple]:
+    """Metadata values of each of ``n`` rows; numbers by magnitude."""
     def level(v):
         if v is None or v != v:
             return "missing"
         return int(math.log2(abs(v) + 1)) if isinstance(v, (int, float, np.number)) else v
-    return [tuple(level(v) for v in row) for row in zip(*(b[c] for c in cols))] if cols else [()] * len(b)
+    return [tuple(level(v) for v in row) for row in zip(*(b[c] for c in cols))] if cols else [()] * n
 
 
-def score(docs: DataFrame, model: FactorMachine | float, params: Params = Params(), meta_cols: tuple = ()) -> DataFrame:
-    """All columns of ``docs`` replaced by (doc_id, held_out, score, predicted)."""
+def scored(docs: DataFrame, model: FactorMachine | float, meta_cols: tuple = ()) -> Column:
+    """Score of each row as a column; only the text and the metadata go through Python."""
     prepare(docs.sparkSession)
-    metas, threshold = list(meta_cols), params.threshold
+    metas = list(meta_cols)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: (BUCKETS + STATS) * (rank + 1) floats
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("double")
+    def run(texts: pd.Series, *values: pd.Series) -> pd.Series:
         m = shared.value
-        for b in batches:
-            if isinstance(m, float):
-                s = [m] * len(b)
-            else:
-                s = [1 / (1 + math.exp(-max(-30.0, min(30.0, m.margin(*features(t, k)))))) for t, k in zip(b["text"], _meta(b, metas))]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "held_out": b["held_out"], "score": np.asarray(s, np.float64),
-                                "predicted": (np.asarray(s, np.float64) >= threshold).astype(np.int32)})
+        if isinstance(m, float):
+            return pd.Series(np.full(len(texts), m))
+        meta = _meta(dict(zip(metas, values)), metas, len(texts))
+        return pd.Series([1 / (1 + math.exp(-max(-30.0, min(30.0, m.margin(*features(t, k)))))) for t, k in zip(texts, meta)], dtype=np.float64)
 
-    src = docs.select("doc_id", "text", held_out_col(F.col("doc_id")).alias("held_out"), *meta_cols)
-    return src.mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int")
+    return run("text", *metas)
 
 
-def keep_good(docs: DataFrame, model: FactorMachine | float, params: Params = Params(), meta_cols: tuple = ()) -> DataFrame:
-    """Rows of ``docs`` (all columns) that the classifier does not reject; decided row by row, no join."""
-    prepare(docs.sparkSession)
-    metas, threshold = list(meta_cols), params.threshold
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def score(docs: DataFrame, model: FactorMachine | float, params: Params = Params(), meta_cols: tuple = ()) -> DataFrame:
+    """All columns of ``docs`` replaced by (doc_id, held_out, score, predicted)."""
+    out = docs.select("doc_id", held_out_col(F.col("doc_id")).alias("held_out"), scored(docs, model, meta_cols).alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= params.threshold).cast("int"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
-        for b in batches:
-            if isinstance(m, float):
-                keep = np.full(len(b), m >= threshold)
-            else:
-                keep = np.asarray([m.margin(*features(t, k)) >= math.log(threshold / (1 - threshold)) for t, k in zip(b["text"], _meta(b, metas))], bool)
-            yield b[keep]
 
-    return docs.mapInPandas(run, docs.schema)
+def keep_good(docs: DataFrame, model: FactorMachine | float, params: Params = Params(), meta_cols: tuple = ()) -> DataFrame:
+    """Rows of ``docs`` (all columns, untouched) that the classifier does not reject; decided row by row, no join."""
+    return docs.where(scored(docs, model, meta_cols) >= params.threshold)
 
 
 def op1_quality_fm(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     prepare(spark)
-    return score(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), meta_cols=META)
+    return score(docs, model, meta_cols=META)
