@@ -24,8 +24,8 @@ ORACLE_SQL = None
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the rows that the factorisation machine rejects (score under 0.3)."""
     prepare(spark)
-    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.keep_good(docs.select(*COLUMNS), model)
+    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), meta_cols=quality.META)
+    return quality.keep_good(docs.select(*COLUMNS), model, meta_cols=quality.META)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
