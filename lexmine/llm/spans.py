@@ -1,238 +1,211 @@
-"""Substring dedup: sliding sentence spans, and windows of words for passages that hold no whole run.
-
-A text is cut into sentences after ``.``, ``!`` or ``?`` (with closing quotes) before white space, and
-after line ends; sentences without a word belong to none.  Every run of ``run`` consecutive sentences is
-hashed (lower case, white space runs to one blank); runs are joined over all documents, and sentences
-covered by a repeated run that is not its first occurrence, by (doc_id, position), are removed.
-
-Passages cut in mid-sentence, of one or two long sentences or without punctuation are found by words: of all
-``gram``-word hashes the rightmost smallest of every ``window - gram + 1`` is an anchor, so that equal windows
-of ``window`` words hold equal anchors; around anchors that repeat, every window is hashed.  Words covered by
-a window that is not its first occurrence are removed, save those that its first occurrence covers itself.
-This gives what a search of all windows gives, so a match ends at the word where the texts part.
-
-Defined results: a null text stays null and has no spans; texts of fewer than ``run`` sentences and under
-``min_words`` words have none; texts of fewer sentences but at least ``min_words`` words have one run, the
-whole text; texts under ``window`` words have no windows; a removed word goes with the white space after it;
-n_removed counts the sentences of which no word stays; rows with a null doc_id come last in the order, rows that repeat a doc_id are ordered by text
-hash, fully equal rows count as one occurrence and get equal results; extra columns stay.
+"""Substring dedup: sliding spans of consecutive sentences.
+
+A text is cut into sentences after words that end in ``.``, ``!`` or ``?`` (with closing quotes) and after line
+ends; a sentence of more than ``long`` words is cut further, before words whose hash is the smallest among the
+``around`` words on both sides, and where it is still of twice ``long`` words, every ``long`` words.  Such cuts depend on the
+words nearby, so a passage is cut alike wherever it stands, in mid-sentence and without punctuation too.  The
+parts are the sentences below.
+
+From every sentence a span of consecutive sentences is hashed: as few as hold ``words`` words, but at least two
+unless the text ends.  Spans are joined over all documents, and sentences covered by a repeated span that is
+not its first occurrence, by (doc_id, position), are removed.  Of a repeated passage of over ``words`` and some
+sentences at both ends, at most the parts of sentences at its two ends stay.
+
+Words are runs without ASCII white space, compared with A-Z lower-cased.
+
+Defined results: a null text stays null; texts under ``words`` words have no spans; a removed sentence goes with
+the white space after it; rows with a null doc_id come last in the order, rows that repeat a doc_id are ordered by
+text hash, fully equal rows count as one occurrence and get equal results; ids and extra columns never pass
+through Python; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from lexmine.llm.common import documents, prepare, staged
+from lexmine.llm.common import discard, documents, prepare, staged
 
-SENTENCE = re.compile(r"[^\n]*?[.!?]+[\"')\]»”]*(?=\s|$)\s*|[^\n]+\s*|\s+")
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
-BLANKS = " \t\n\v\f\r"
-
-
-@dataclass
-class Params:
-    """``run``: sentences a span; ``min_words``: words that a run must hold; ``window``, ``gram``: words."""
-
-    run: int = 3
-    min_words: int = 10
-    window: int = 50
-    gram: int = 25
-
-
-def sentences(text: str) -> list[tuple[int, int]]:
-    """Spans of sentences with a word; together with the white space after them."""
-    out = []
-    for m in SENTENCE.finditer(text):
-        if WORDS.search(m.group()):
-            out.append((m.start(), m.end()))
-    return out
-
-
-def spans(text: str | None, p: Params) -> list[tuple[int, int, int]]:
-    """(hash, first sentence, sentences) of every run of a whole text."""
-    if not text:
-        return []
-    words = [WORDS.findall(text[a:b].lower()) for a, b in sentences(text)]
-    k = p.run
-    if len(words) < k:
-        n = sum(map(len, words))
-        return [(_hash(words), 0, len(words))] if n >= 5 * p.min_words else []
-    return [(_hash(words[i : i + k]), i, k) for i in range(len(words) - k + 1) if sum(map(len, words[i : i + k])) >= p.min_words]
-
-
-def _hash(parts: list[list[str]]) -> int:
-    raw = " ".join(w for s in parts for w in s).encode("utf-8", "surrogatepass")
-    return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True)
-
-
+ENDS = re.compile(rb"[.!?](?:[\"')\]]|\xc2\xbb|\xe2\x80\x9d)*$")
+LAST = (1 << 63) - 1
 BASE = 0x9E3779B97F4A7C15  # odd, so that its powers have inverses modulo 2**64
+INVERSE = pow(BASE, -1, 1 << 64)
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    """A 64-bit hash of every word of a whole text, lower case."""
-    words = WORDS.findall(text or "")
-    seen = {w: xxhash.xxh3_64_intdigest(w.lower().encode("utf-8", "surrogatepass")) for w in set(words)}
-    return np.fromiter((seen[w] for w in words), np.uint64, len(words))
-
-
-def window_hashes(x: np.ndarray, k: int) -> np.ndarray:
-    """Hash of every run of ``k`` of ``x``: a polynomial, from sums that wrap."""
-    n = len(x) - k + 1
-    if n <= 0:
-        return np.zeros(0, np.int64)
-    powers = np.cumprod(np.full(len(x), BASE, np.uint64))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * powers)])
-    back = np.cumprod(np.full(n, pow(BASE, -1, 1 << 64), np.uint64))
-    h = (sums[k:] - sums[:n]) * back
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
-    return (h ^ (h >> np.uint64(29))).view(np.int64)
-
-
-def anchors(x: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, first word) of the rightmost smallest gram of every window; what is chosen depends on the window alone."""
-    if len(x) < p.window:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    h, wide = window_hashes(x, p.gram), p.window - p.gram + 1
-    low = np.lib.stride_tricks.sliding_window_view(h, wide)[:, ::-1].argmin(1)
-    at = np.unique(np.arange(len(low)) + wide - 1 - low)
-    return h[at], at
-
-
-def _frames(batches: Iterator[pd.DataFrame], rows) -> Iterator[pd.DataFrame]:
-    """Frames (h, doc_id, key, i, n) of some 200,000 rows; ``rows(batch row)`` gives (h, i, n)."""
-    names = ["h", "doc_id", "key", "i", "n"]
-
-    def frame(parts: list[np.ndarray]) -> pd.DataFrame:
-        return pd.DataFrame(np.concatenate(parts), columns=names).astype({"i": np.int32, "n": np.int32})
-
-    for b in batches:
-        held, size = [], 0
-        for r in b.itertuples(index=False):
-            h, i, n = rows(r)
-            if len(h):
-                whole = lambda v: np.full(len(h), v, np.int64)
-                held.append(np.column_stack([h, whole(r.doc_id), whole(r.key), i, n]))
-                size += len(h)
-            if size >= 200_000:
-                yield frame(held)
-                held, size = [], 0
-        if held:
-            yield frame(held)
-
-
-ROWS = "h long, doc_id long, key long, i int, n int"
-
+@dataclass(frozen=True)
+class Params:
+    """``words`` a span must hold; sentences over ``long`` words are cut at hashes smallest within ``around`` words."""
+
+    words: int = 24
+    long: int = 12
+    around: int = 2
+
+
+class Powers:
+    """Powers of the base and of its inverse, grown as texts need."""
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            n = max(n, 2 * len(self.up))
+            self.up, self.down = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, b, np.uint64)])) for b in (BASE, INVERSE))
+        return self.up, self.down
+
+
+POWERS = Powers()
+
+
+def word_table(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, whether a sentence ends after it) of a whole text."""
+    raw = (text or "").encode("utf-8", "surrogatepass").lower()  # bytes: A-Z only
+    words = raw.split()
+    seen = {w: (xxhash.xxh3_64_intdigest(w), ENDS.search(w) is not None) for w in set(words)}
+    pairs = [seen[w] for w in words]
+    h = np.fromiter((x for x, _ in pairs), np.uint64, len(words))
+    end = np.fromiter((e for _, e in pairs), bool, len(words))
+    if b"\n" in raw:
+        lines = np.cumsum([len(s.split()) for s in raw.split(b"\n")])
+        end[lines[lines > 0] - 1] = True
+    if len(end):
+        end[-1] = True
+    return h, end
+
+
+def sentences(h: np.ndarray, end: np.ndarray, p: Params) -> np.ndarray:
+    """First word of each sentence, and the number of words as the last entry."""
+    n = len(h)
+    starts = np.concatenate([[0], np.flatnonzero(end) + 1]) if n else np.zeros(1, np.int64)
+    sizes = np.diff(starts)
+    wide = sizes > p.long
+    if wide.any():
+        low = np.ones(n, bool)
+        for k in range(1, p.around + 1):
+            low[k:] &= h[k:] < h[:-k]
+            low[:-k] &= h[:-k] <= h[k:]
+        inside = np.repeat(wide, sizes)
+        # a cut opens a sentence; the edges of the long one are no cuts
+        starts = np.union1d(starts, np.flatnonzero(low & inside))
+        # what is still long, such as one word over and over, is cut by count
+        sizes = np.diff(starts)
+        if (sizes >= 2 * p.long).any():
+            more = [np.arange(a + p.long, a + k - p.long + 1, p.long) for a, k in zip(starts, sizes) if k >= 2 * p.long]
+            starts = np.union1d(starts, np.concatenate(more))
+    return starts
+
+
+def spans(text: str | None, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first sentence, sentences) of the span from every sentence of a whole text."""
+    h, end = word_table(text)
+    at = sentences(h, end, p)
+    m = len(at) - 1
+    if not len(h) or len(h) < p.words:
+        return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+    stop = np.searchsorted(at, at[:-1] + p.words)  # the sentence that the span ends before
+    whole = stop <= m
+    first = np.flatnonzero(whole)
+    stop = np.minimum(np.maximum(stop[whole], first + 2), m)
+    up, down = POWERS.to(len(h) + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up[: len(h)])])
+    x = (sums[at[stop]] - sums[at[first]]) * down[at[first]]
+    x = (x ^ (x >> np.uint64(31)) ^ (at[stop] - at[first]).astype(np.uint64)) * np.uint64(0x7FB5D329728EA185)
+    return (x ^ (x >> np.uint64(29))).view(np.int64), first.astype(np.int32), (stop - first).astype(np.int32)
+
+
+def indexed(docs: DataFrame, p: Params) -> DataFrame:
+    """(doc_id, key, h, i, n, again): the spans of each row as arrays; ``key`` is the text hash.
+
+    ``again`` marks spans that the same text holds further up.
+    """
 
-def _hits(rows: DataFrame) -> DataFrame:
-    """Rows whose hash occurs in two places or more, with the first place."""
-    at = F.struct("doc_id", "key", "i")
-    # partial min / max on the map side: a hot passage becomes one row a task before the shuffle
-    firsts = rows.groupBy("h").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first != last").select("h", "first")
-    return rows.join(firsts, "h")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.bool_())
+        for b in batches:
+            rows = []
+            for h, i, n in (spans(t, p) for t in b.column(2).to_pylist()):
+                again = np.ones(len(h), bool)
+                again[np.unique(h, return_index=True)[1]] = False
+                rows.append((h, i, n, again))
+            lists = [pa.ListArray.from_arrays(np.cumsum([0, *(len(r[k]) for r in rows)]).astype(np.int32),
+                                              pa.array(np.concatenate([r[k] for r in rows]) if rows else [], kinds[k])) for k in range(4)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *lists], ["doc_id", "key", "h", "i", "n", "again"])
 
+    src = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), F.xxhash64("text").alias("key"), "text").where("text is not null")
+    return src.mapInArrow(run, "doc_id long, key long, h array<long>, i array<int>, n array<int>, again array<boolean>").where(F.size("h") > 0)
 
-def repeated_spans(docs: DataFrame, params: Params = Params()) -> DataFrame:
-    """(key, doc_id, cuts): per text with a repeated run or window, the (first, count) of what to remove.
 
-    ``cuts`` are of sentences or, where ``by_word``, of words.  ``key`` is the text hash, which tells rows with
-    the same doc_id apart.
-    """
+def repeated_spans(docs: DataFrame, p: Params = Params()) -> DataFrame:
+    """(key, doc_id, cuts): per text with a repeated span, the (first, count) ranges of sentences to remove."""
     prepare(docs.sparkSession)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def rows(r):
-            got = np.asarray(spans(r.text, params), np.int64).reshape(-1, 3)
-            h, i = anchors(word_hashes(r.text), params)
-            return np.concatenate([got[:, 0], h]), np.concatenate([got[:, 1], i]), np.concatenate([got[:, 2], np.zeros(len(h), np.int64)])
-
-        return _frames(batches, rows)  # n = 0: an anchor
-
-    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def rows(r):
-            h = window_hashes(word_hashes(r.text), params.window)
-            reach = np.add.outer(np.asarray(r.at, np.int64), np.arange(params.gram - params.window, 1))
-            i = np.unique(reach[(reach >= 0) & (reach < len(h))])
-            return h[i], i, np.full(len(i), params.window)
-
-        return _frames(batches, rows)
-
-    src = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
-    src = src.withColumn("doc_id", F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)))
-    rows = staged(src.mapInPandas(run, ROWS), "span-rows")
-    places = _hits(rows.where("n = 0")).groupBy("doc_id", "key").agg(F.collect_set("i").alias("at"))
-    wide = staged(src.join(places, ["doc_id", "key"]).mapInPandas(windows, ROWS), "span-windows")
-
-    place = F.struct("doc_id", "key", "i")
-    runs = _hits(rows.where("n > 0")).where(place != F.col("first"))
-    # a window that overlaps its own first occurrence keeps the words that both cover
-    same = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))
-    begin = F.when(same, F.greatest("i", F.col("first.i") + F.col("n"))).otherwise(F.col("i"))
-    words = _hits(wide).where(place != F.col("first"))
-    cut = lambda by, i, n: F.struct(F.lit(by).alias("by_word"), i.cast("int").alias("i"), n.cast("int").alias("n")).alias("c")
-    every = runs.select("doc_id", "key", cut(False, F.col("i"), F.col("n"))).union(
-        words.select("doc_id", "key", cut(True, begin, F.col("i") + F.col("n") - begin)))
-    return every.groupBy("doc_id", "key").agg(F.collect_set("c").alias("cuts"))
-
-
-def removed_ranges(text: str, cuts) -> tuple[list[list[int]], int, int]:
-    """(ranges of the text that go, sentences, sentences of which no word stays)."""
-    at = sentences(text)
-    gone = sorted({j for c in cuts if not c["by_word"] for j in range(c["i"], c["i"] + c["n"])})
-    found = [at[j] for j in gone]
-    by_word = [(c["i"], c["i"] + c["n"]) for c in cuts if c["by_word"]]
-    if by_word:
-        starts = [m.start() for m in WORDS.finditer(text)] + [len(text)]
-        found += [(starts[i], starts[j]) for i, j in by_word]
-    ranges: list[list[int]] = []
-    for a, b in sorted(found):
-        if ranges and a <= ranges[-1][1]:
-            ranges[-1][1] = max(ranges[-1][1], b)
-        else:
-            ranges.append([a, b])
-    n, k = 0, 0
-    for a, b in at:
-        held = text[a:b].strip(BLANKS)
-        a = text.index(held, a)
-        while k < len(ranges) and ranges[k][1] <= a:
-            k += 1
-        n += k < len(ranges) and ranges[k][0] <= a and a + len(held) <= ranges[k][1]
-    return ranges, len(at), n
-
-
-def remove_repeats(docs: DataFrame, params: Params = Params()) -> DataFrame:
+    base = staged(indexed(docs, p), "span-index")
+    # (doc_id, key) as one number in that order: a minimum that needs no sort
+    order = F.col("doc_id").cast("decimal(38,0)") * F.lit(1 << 62).cast("decimal(38,0)") + F.shiftright("key", 2)
+    one = base.select("doc_id", "key", order.cast("decimal(38,0)").alias("o"), F.explode(F.arrays_zip("h", "i", "n", "again")).alias("x"))
+    # partial counts on the map side: a hot passage becomes one row a task before the shuffle
+    firsts = one.groupBy(F.col("x.h").alias("h")).agg(F.min("o").alias("first"), F.count("*").alias("places")).where("places > 1").select("h", "first")
+    firsts = staged(firsts, "span-firsts")
+    rows = one.select("doc_id", "key", F.col("x.h").alias("h"), F.col("x.i").alias("i"), F.col("x.n").alias("n"), F.col("x.again").alias("again"))
+    hits = rows.join(firsts, "h").where((order > F.col("first")) | F.col("again"))
+    # overlapping ranges of a text are joined in its own row
+    cuts = staged(hits.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set(F.struct("i", "n"))).alias("c")).select(
+        "doc_id", "key", joined(F.col("c")).alias("cuts")), "span-cuts")
+    discard(base, firsts)
+    return cuts
+
+
+def joined(ranges):
+    """Sorted (i, n) ranges with overlapping and touching ones made one."""
+    def step(done, r):
+        last = F.element_at(done, -1)
+        grown = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["i"].alias("i"), F.greatest(last["n"], r["i"] + r["n"] - last["i"]).alias("n"))))
+        return F.when((F.size(done) > 0) & (r["i"] <= F.get(done, F.size(done) - 1)["i"] + F.get(done, F.size(done) - 1)["n"]), grown).otherwise(F.concat(done, F.array(r)))
+
+    return F.aggregate(ranges, F.array().cast("array<struct<i:int,n:int>>"), step)
+
+
+def removed_ranges(text: str, cuts, p: Params) -> tuple[list[tuple[int, int]], int, int]:
+    """(code point ranges that go, sentences, sentences that go) for ``cuts`` of a whole text."""
+    h, end = word_table(text)
+    at = sentences(h, end, p)
+    if not len(cuts):
+        return [], len(at) - 1, 0
+    starts = [m.start() for m in WORDS.finditer(text)] + [len(text)]
+    return [(starts[at[c["i"]]], starts[at[c["i"] + c["n"]]]) for c in cuts], len(at) - 1, sum(c["n"] for c in cuts)
+
+
+def remove_repeats(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """``docs`` with repeated passages cut from ``text``; adds n_sentences, n_removed, removed (text spans).
 
     Clashing column names of the input are replaced by the added ones.
     """
     prepare(docs.sparkSession)
-    cuts = staged(repeated_spans(docs, params), "repeated-spans")
+    cuts = repeated_spans(docs, p)
     base = docs.select(*[c for c in docs.columns if c not in ("n_sentences", "n_removed", "removed")])
     cuts = cuts.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("cuts").alias("__cuts"))
-    joined = base.join(cuts, (F.coalesce("doc_id", F.lit((1 << 63) - 1)) == F.col("__id")) & (F.xxhash64("text") == F.col("__key")), "left")
-    out_type = "text string, n_sentences int, n_removed int, removed array<struct<start:int,end:int>>"
+    joined_ = base.join(cuts, (F.coalesce("doc_id", F.lit(LAST)) == F.col("__id")) & (F.xxhash64("text") == F.col("__key")), "left")
 
-    @F.pandas_udf(out_type)
+    @F.pandas_udf("text string, n_sentences int, n_removed int, removed array<struct<start:int,end:int>>")
     def cut(texts: pd.Series, marks: pd.Series) -> pd.DataFrame:
         rows = []
         for text, m in zip(texts, marks):
-            ranges, n, gone = removed_ranges(text or "", m if m is not None else [])
+            ranges, n, gone = removed_ranges(text or "", m if m is not None else [], p)
             keep, last = [], 0
             for a, b in ranges:
-                keep.append((text or "")[last:a])
+                keep.append(text[last:a])
                 last = b
-            new = None if text is None else "".join(keep) + text[last:]
-            rows.append((new, n, gone, [{"start": a, "end": b} for a, b in ranges]))
+            rows.append((None if text is None else "".join(keep) + text[last:], n, gone, [{"start": a, "end": b} for a, b in ranges]))
         return pd.DataFrame(rows, columns=["text", "n_sentences", "n_removed", "removed"])
 
-    done = joined.withColumn("__out", cut("text", "__cuts"))
+    done = joined_.withColumn("__out", cut("text", "__cuts"))
     cols = [F.col("__out.text").alias("text") if c == "text" else F.col(c) for c in base.columns]
     return done.select(*cols, "__out.n_sentences", "__out.n_removed", "__out.removed")
 

@@ -190,34 +190,6 @@ def test_ranked_vocabulary_gives_the_ids_of_the_tokenizer_file():
         assert list(e.ids(text)) == e.slow.encode(text, add_special_tokens=False).ids
 
 
-def test_passages_without_whole_sentences_match_a_search_of_all_windows(spark):
-    rng = random.Random(9)
-    long = words(rng, 70).split()
-    junk = lambda n: words(rng, n) + " "
-    rows = [(i, junk(30) + " ".join(long[i : i + 64]) + " " + junk(20), "s") for i in range(4)]  # cut in mid-sentence, no stops
-    rows += [(10, " ".join(long[3:60]), "s"), (11, junk(20) + " ".join(long[:45]) + " " + junk(9), "s"), (12, "ea " * 60, "s"), (13, "ea " * 55, "s")]
-    rows += [(None, " ".join(long).upper() + ". " + junk(7), "s"), (14, junk(5) + junk(60) * 1, "s")]
-    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
-    seen, want = {}, {}
-    for i, t, _ in order:
-        w = t.lower().split()
-        gone = set()
-        for k in range(len(w) - 49):
-            at = seen.setdefault(tuple(w[k : k + 50]), (i, k))
-            if at != (i, k):
-                gone |= {j for j in range(k, k + 50) if at[0] != i or j >= at[1] + 50}
-        want[i] = [x for j, x in enumerate(t.split()) if j not in gone]
-    got = {r.doc_id: r for r in spans.remove_repeats(frame(spark, rows)).collect()}
-    assert {i: r.text.split() for i, r in got.items()} == want
-    assert len(want[10]) == 0 and len(want[12]) == 50 and len(want[13]) == 0 and len(want[11]) == 74 and got[10].n_removed == 1
-    for i, t, _ in rows:
-        kept, last = [], 0
-        for a in got[i].removed:
-            kept.append(t[last : a.start])
-            last = a.end
-        assert "".join(kept) + t[last:] == got[i].text
-
-
 def test_license_scan_is_that_of_every_position():
     rng, p = random.Random(10), licenses.Params()
     index = licenses.Index(licenses.TEMPLATES, p)
