@@ -27,7 +27,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from lexmine.llm.common import held_out_col, prepare
+from lexmine.llm.common import discard, held_out_col, prepare, staged
 
 BUCKETS = 1 << 20
 TOKEN = re.compile(r"[^\W\d_]+", re.UNICODE)
@@ -132,14 +132,13 @@ class Linear:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def choose(pos: list[np.ndarray], unl: list[np.ndarray], p: Params) -> np.ndarray:
-    """The buckets whose document shares differ most between P and U (two-proportion z score)."""
-    a, b = (np.bincount(np.concatenate(x), minlength=BUCKETS) for x in (pos, unl))
-    pool = (a + b) / (len(pos) + len(unl))
-    z = np.abs(a / len(pos) - b / len(unl)) / np.sqrt(pool * (1 - pool) * (1 / len(pos) + 1 / len(unl)) + 1e-9)
-    z[a + b < p.min_rows] = 0
-    top = np.lexsort((np.arange(BUCKETS), -z))[: p.max_features]
-    return np.sort(top[z[top] > p.min_z])
+def choose(rows: DataFrame, n_pos: int, n_unl: int, p: Params) -> list[int]:
+    """The buckets whose document shares differ most between P and U (two-proportion z score); ``rows`` is (pos, idx)."""
+    seen = rows.select("pos", F.explode("idx").alias("b")).groupBy("b").agg(F.sum("pos").alias("a"), F.sum(1 - F.col("pos")).alias("u"))
+    pool = (F.col("a") + F.col("u")) / F.lit(float(n_pos + n_unl))
+    z = F.abs(F.col("a") / n_pos - F.col("u") / n_unl) / F.sqrt(pool * (1 - pool) * (1 / n_pos + 1 / n_unl) + F.lit(1e-9))
+    top = seen.where(F.col("a") + F.col("u") >= p.min_rows).withColumn("z", z).where(F.col("z") > p.min_z)
+    return sorted(r["b"] for r in top.orderBy(F.col("z").desc(), "b").limit(p.max_features).collect())
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -153,18 +152,15 @@ def risk(w: np.ndarray, xp: np.ndarray, xu: np.ndarray, prior: float) -> tuple[f
     return prior * (1 - p).mean(), u.mean() - prior * p.mean(), -prior * dp, du - prior * dp
 
 
-def fit(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, p: Params) -> Linear:
-    """Steps on the whole nnPU risk with Adagrad."""
-    keys = choose(pos, unl, p)
-    at = np.full(BUCKETS, -1)
-    at[keys] = np.arange(len(keys))
+def fit(pos: list[np.ndarray], unl: list[np.ndarray], keys: list[int], prior: float, p: Params) -> Linear:
+    """Steps on the whole nnPU risk with Adagrad; rows hold buckets of ``keys`` only."""
+    at = {b: k for k, b in enumerate(keys)}
 
     def dense(rows):
         x = np.zeros((len(rows), len(keys) + 1), np.float32)
         x[:, -1] = 1
         for i, r in enumerate(rows):
-            j = at[r]
-            x[i, j[j >= 0]] = 1
+            x[i, [at[b] for b in r.tolist()]] = 1
         return x
 
     xp, xu = dense(pos), dense(unl)
@@ -176,11 +172,11 @@ def fit(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, p: Params) -
         g = (-g_neg if negative < 0 else g_pos + g_neg) + p.l2 * np.append(w[:-1], 0)
         acc += g * g
         w -= p.rate * g / np.sqrt(acc)
-    return Linear(dict(zip(keys.tolist(), w[:-1].tolist())), float(w[-1]))
+    return Linear(dict(zip(keys, w[:-1].tolist())), float(w[-1]))
 
 
 def train(docs: DataFrame, labels: DataFrame, params: Params = Params()) -> Linear | None:
-    """Learn from bounded samples; executors make the features, the driver gets bucket numbers."""
+    """Learn from bounded samples; executors make and choose the features."""
     prepare(docs.sparkSession)
     learn = labels.select("doc_id", F.col("toxic").cast("int").alias("y")).where(F.col("y").isNotNull() & ~held_out_col(F.col("doc_id")))
     learn = learn.groupBy("doc_id").agg(F.max("y").alias("y"))
@@ -202,10 +198,17 @@ def train(docs: DataFrame, labels: DataFrame, params: Params = Params()) -> Line
     ids = pos.union(unl.distinct())  # bounded by the two limits
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
     rows = rows.groupBy("doc_id", "pos").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    got = rows.mapInPandas(featurise, "doc_id long, pos int, idx array<int>").toPandas()
-    got = got.sort_values(["pos", "doc_id"], kind="stable")
+    rows = staged(rows.mapInPandas(featurise, "doc_id long, pos int, idx array<int>"), "toxicity-sample")
+    size = {r["pos"]: r["n"] for r in rows.groupBy("pos").agg(F.count("*").alias("n")).collect()}
+    if set(size) != {0, 1}:
+        return None
+    keys = choose(rows, size[1], size[0], params)
+    # the driver gets the chosen buckets of the sampled rows alone
+    held = F.array_intersect("idx", F.array(*map(F.lit, keys))) if keys else F.array().cast("array<int>")
+    got = rows.select("doc_id", "pos", held.alias("idx")).toPandas().sort_values(["pos", "doc_id"], kind="stable")
+    discard(rows)
     p, u = ([np.asarray(x, np.int32) for x in got.loc[got["pos"] == k, "idx"]] for k in (1, 0))
-    return fit(p, u, prior, params) if p and u else None
+    return fit(p, u, keys, prior, params)
 
 
 def score(docs: DataFrame, model: Linear | None, params: Params = Params()) -> DataFrame:
