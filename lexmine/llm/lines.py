@@ -31,7 +31,9 @@ class Params:
 def repeat_words(words: Column) -> Column:
     """Words that lie in an 8-word window found at least twice in the text, the first included."""
     n = F.size(words)
-    windows = F.transform(F.sequence(F.lit(0), n - 8), lambda i: F.struct(F.xxhash64(F.slice(words, i + 1, 8)).alias("h"), i.alias("i")))
+    # every word is hashed once; a window is the hash of eight numbers
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    windows = let(hashes, lambda x: F.transform(F.sequence(F.lit(0), n - 8), lambda i: F.xxhash64(F.slice(x, i + 1, 8))))
 
     def covered(s: Column) -> Column:
         last = F.size(s)
@@ -43,7 +45,12 @@ def repeat_words(words: Column) -> Column:
             lambda a, p: F.struct((a["c"] + F.least(F.lit(8), p - a["p"])).cast("long").alias("c"), p.alias("p")),
             lambda a: a["c"])
 
-    return F.when(n < 9, F.lit(0).cast("long")).otherwise(let(F.array_sort(windows), covered))
+    def placed(h: Column) -> Column:
+        # most texts repeat no window and need no sort
+        pairs = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(let(pairs, covered))
+
+    return F.when(n < 9, F.lit(0).cast("long")).otherwise(let(windows, placed))
 
 
 def base_stats(docs: DataFrame, host: str = "source") -> DataFrame:
