@@ -1,185 +1,345 @@
-"""Main-content text of an HTML page.
+"""Main-content text of an HTML page, as built-in expressions.
 
-Rule: try the selectors ``article``, ``main``, ``[role="main"]``,
-``.content``, ``.post-content``, ``body`` in order; take the *first* element
-matching each; its text is every descendant text node joined by a space with
-whitespace runs collapsed; an empty text moves on to the next selector; no
-text at all gives ``''``.
+Rule: try the selectors ``article``, ``main``, ``[role="main"]``, ``.content``, ``.post-content``, ``body`` in
+order; take the *first* element matching each; its text is every descendant text node joined by a space with
+whitespace runs collapsed; an empty text moves on to the next selector; no text at all gives ``''``.
 
-Two evaluators:
+The page becomes an array of tokens (comments, tags with their attributes, elements whose content is raw, text), cut
+by one regular expression.  The tags are folded over a stack of open elements (:func:`_step`) that follows the
+HTML rules for end tags without an element, end tags that close others with them, and start tags that end a
+``p``, ``li``, ``dd``, ``dt``, ``option``, table part, heading, ``a`` or ``button``.  What comes out is one range of
+tokens per selector; the text of a range is decoded only if the selectors before it gave none.
 
-* ``native_article_text`` - built-in expressions, exact when the page has one
-  plain ``<article>`` element (the common case); returns null otherwise.
-* ``main_text`` - a small ``html.parser`` walker used for the remaining pages
-  (nested or repeated candidates, scripts, numeric or rare entities, ...).
+Pages with one plain ``article`` need no fold: :func:`plain_article` takes its text by expressions on the whole page
+and gives null for every page that could differ.
+
+Defined results: a null page has a null text here; ``head`` and ``body`` are implied where their tags are missing;
+content after ``</body>`` or ``</html>`` still belongs to the open elements; a tag cut off by the end of the page is
+dropped; ignored tags do not split a text.  Text that stands directly in a table stays where it is written.
 """
 
 from __future__ import annotations
 
-import re
-from html.parser import HTMLParser
+import html.entities
+import json
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lexmine.functions import text as T
 
-# Unicode White_Space (Python's str.split() also splits on \x1c-\x1f).
-_WS = re.compile("[\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
-
+# The selectors, in order of preference.
 SELECTORS = ("article", "main", '[role="main"]', ".content", ".post-content", "body")
+BODY = len(SELECTORS) - 1
 
-# Named entities decoded by the native path (anything else -> slow path);
-# ``&amp;`` is decoded last so ``&amp;lt;`` stays ``&lt;``.
-NATIVE_ENTITIES = (
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"),
-    ("&nbsp;", "\u00a0"), ("&copy;", "©"), ("&middot;", "·"), ("&reg;", "®"),
-    ("&hellip;", "…"), ("&mdash;", "—"), ("&ndash;", "–"),
-    ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"),
-    ("&laquo;", "«"), ("&raquo;", "»"), ("&amp;", "&"),
-)
-_ENTITY_NAMES = "|".join(e[1:-1] for e, _ in NATIVE_ENTITIES)
-
-ARTICLE_OPEN = r"(?i)<article(?=[\s/>])"
-ARTICLE_REGION = r"(?is)<article(?:\s[^>]*)?>(.*?)</article\s*>"
-# Constructs inside the region that the tag-stripping rule cannot treat exactly.
-UNSAFE_IN_REGION = (
-    r"(?is)(?=[<&=])(?:<(script|style|textarea|title|xmp|plaintext|noscript|template|iframe|noembed|noframes|select|svg|math)[\s/>]"
-    r"|<!\[CDATA\[|<\?|<(?![a-zA-Z/!])|</(?![a-zA-Z])|=\s*\"[^\"]*>|=\s*'[^']*>"
-    r"|&(?!(?:" + _ENTITY_NAMES + r");))"
+# Element groups of the HTML standard.
+RAW = ("script", "style", "xmp", "iframe", "noembed", "noframes", "noscript", "textarea", "title")
+DECODED_RAW = ("textarea", "title")
+VOID = ("area", "base", "basefont", "bgsound", "br", "col", "embed", "frame", "hr", "img", "input", "keygen", "link",
+        "meta", "param", "source", "track", "wbr")
+IN_HEAD = ("base", "basefont", "bgsound", "link", "meta", "title", "noscript", "noframes", "style", "script", "template", "head", "html")
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+FORMATTING = ("a", "b", "big", "code", "em", "font", "i", "nobr", "s", "small", "strike", "strong", "tt", "u")
+BLOCKS = ("address", "article", "aside", "blockquote", "center", "details", "dialog", "dir", "div", "dl", "fieldset",
+          "figcaption", "figure", "footer", "form", "header", "hgroup", "listing", "main", "menu", "nav", "ol", "pre",
+          "search", "section", "summary", "ul")
+ENDS_P = BLOCKS + HEADINGS + ("p", "hr", "xmp", "plaintext", "table", "li", "dd", "dt")
+SCOPE = ("applet", "caption", "html", "table", "td", "th", "marquee", "object", "template", "svg", "math")
+TABLE_PARTS = ("caption", "colgroup", "col", "tbody", "thead", "tfoot", "tr", "td", "th")
+MARKERS = ("applet", "object", "marquee", "template", "td", "th", "caption")
+SPECIAL = BLOCKS + HEADINGS + SCOPE[:9] + (
+    "p", "li", "dd", "dt", "body", "head", "button", "frameset", "select", "tbody", "thead", "tfoot", "tr", "colgroup", "textarea",
+    "title", "script", "style", "iframe", "noscript", "xmp", "noembed", "noframes")
+
+ATTRIBUTES = r"(?:=\s*\"[^\"]*\"|=\s*'[^']*'|=|[^>=]++)*+>"
+TOKEN = (
+    r"(?is)<!--(?:>|->|.*?(?:--!?>|\z))"
+    r"|<(" + "|".join(RAW) + r")(?=[\s/>])" + ATTRIBUTES + r".*?(?:(?=</\1[\s/>])|\z)"
+    r"|<plaintext(?=[\s/>])[^>]*>.*\z"
+    r"|</?[a-z]" + ATTRIBUTES + r"|</?[a-z][^>]*\z|<[!?/][^>]*>|[^<]++|<"
 )
-UNSAFE_BEFORE = r"(?is)<!--(?:(?!-->).)*$|<(script|style|textarea|title|noscript|template)[\s>](?:(?!</\1).)*$"
-
-
-def _decode_entities(col: Column) -> Column:
-    out = col
-    for ent, ch in NATIVE_ENTITIES:
-        out = F.replace(out, F.lit(ent), F.lit(ch))
-    return F.when(col.contains("&"), out).otherwise(col)
-
-
-def native_article_text(html: Column) -> Column:
-    """Text of the page's only ``<article>``; null when the page needs the slow path."""
-    n_open = F.size(F.split(html, ARTICLE_OPEN)) - 1
-    region = F.regexp_extract(html, ARTICLE_REGION, 1)
-    before = F.substring_index(html, "<article", 1)
-    # comments first, then every tag becomes a space
-    stripped = F.regexp_replace(F.regexp_replace(region, r"(?s)<!--.*?-->", " "), r"<[^>]*>", " ")
-    text = T.collapse_ws(_decode_entities(stripped))
-    ok = (
-        html.isNotNull()
-        & (n_open == 1)
-        & html.rlike(ARTICLE_REGION)
-        & ~region.rlike(UNSAFE_IN_REGION)
-        & ~before.rlike(UNSAFE_BEFORE)
-        & (text != "")
+NAME = r"^</?([A-Za-z][^\s/>]*)"
+ATTRIBUTE = r"[\s/]([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"'][^\s>]*)))?"
+
+# Code points that stand for others when written as numbers: the names of windows-1252.
+NUMBERS = {n: bytes([n]).decode("cp1252") for n in range(128, 160) if n not in (129, 141, 143, 144, 157)}
+ENTITY = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;?)|[^&]++|&"
+# Names of the standard, from the language's own table; those that need no semicolon stand without one.
+NAMED = {k: v for k, v in html.entities.html5.items() if k.endswith(";")}
+BARE = sorted((k for k in html.entities.html5 if not k.endswith(";")), key=lambda k: (-len(k), k))
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _table(values: dict[str, str]) -> Column:
+    """A constant map (folded once per plan)."""
+    return F.from_json(F.lit(json.dumps(values)), "map<string,string>")
+
+
+def _code_point(n: Column) -> Column:
+    """The character of a code point; U+FFFD for those that are none."""
+    char = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    bad = (n <= 0) | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF)
+    return F.when(bad, F.lit("�")).when(n.between(128, 159), F.coalesce(F.element_at(_table({str(k): v for k, v in NUMBERS.items()}), n.cast("string")), char)).otherwise(char)
+
+
+def _reference(piece: Column) -> Column:
+    """Text of one character reference; a piece that is none stays."""
+    digits = F.regexp_extract(piece, r"^&#[xX]?([0-9a-fA-F]+)", 1)
+    wide = F.length(F.ltrim(digits, F.lit("0"))) > 8
+    number = F.when(wide, F.lit(-1)).when(piece.rlike("^&#[xX]"), F.conv(digits, 16, 10).cast("long")).otherwise(digits.cast("long"))
+    whole, part = _table(NAMED), _table({k: html.entities.html5[k] for k in BARE})
+    prefix = F.regexp_extract(piece, "^&(" + "|".join(BARE) + ")", 1)
+    return (
+        F.when(piece.isin("&amp;", "&AMP;"), F.lit("&"))
+        .when(piece.startswith("&#"), _code_point(number))
+        .when(piece.endswith(";") & F.element_at(whole, F.substring(piece, 2, 64)).isNotNull(), F.element_at(whole, F.substring(piece, 2, 64)))
+        .when(prefix != "", F.concat(F.element_at(part, prefix), _after(piece, prefix)))
+        .otherwise(piece)
+    )
+
+
+def _after(piece: Column, prefix: Column) -> Column:
+    """What follows ``&prefix`` in ``piece``."""
+    return piece.substr(F.length(prefix) + 2, F.length(piece))
+
+
+def decode_references(text: Column) -> Column:
+    """``text`` with its character references decoded, each once (``&amp;lt;`` gives ``&lt;``)."""
+    pieces = F.regexp_extract_all(text, F.lit(ENTITY), 0)
+    done = F.transform(pieces, lambda p: F.when(p.startswith("&") & (F.length(p) > 1), _reference(p)).otherwise(p))
+    return F.when(text.contains("&"), F.array_join(done, "")).otherwise(text)
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """Value of the first attribute ``name`` of a start tag; null without one."""
+    rest = F.regexp_replace(tag, NAME, "")
+    pairs = F.filter(F.regexp_extract_all(rest, F.lit(ATTRIBUTE), 0), lambda a: F.lower(F.regexp_extract(a, ATTRIBUTE, 1)) == name)
+    return _let(F.get(pairs, 0), lambda a: F.when(a.isNotNull(), decode_references(
+        F.concat(*(F.regexp_extract(a, ATTRIBUTE, k) for k in (2, 3, 4))))))
+
+
+def _mask(name: Column, tag: Column) -> Column:
+    """Bits of the selectors (without ``body``) that a start tag matches."""
+    words = F.split(F.coalesce(_attribute(tag, "class"), F.lit("")), r"[ \t\n\f\r]+")
+    by_class = _let(words, lambda w: F.when(F.array_contains(w, "content"), 8).otherwise(0) + F.when(F.array_contains(w, "post-content"), 16).otherwise(0))
+    return (
+        F.when(name == "article", 1).otherwise(0) + F.when(name == "main", 2).otherwise(0)
+        + F.when(tag.rlike(r"(?i)[\s/]role"), F.when(_attribute(tag, "role") == "main", 4).otherwise(0)).otherwise(0)
+        + F.when(tag.rlike(r"(?i)[\s/]class"), by_class).otherwise(0)
+    )
+
+
+def _kind(token: Column) -> Column:
+    """s start tag, e end tag, r raw element, c comment, x dropped, t text."""
+    return (
+        F.when(~token.startswith("<") | (token == "<"), "t")
+        .when(token.rlike(r"^</[A-Za-z]"), F.when(token.endswith(">"), "e").otherwise("x"))
+        .when(token.rlike(r"(?i)^<(?:" + "|".join(RAW) + r"|plaintext)[\s/>]"), "r")
+        .when(token.rlike(r"^<[A-Za-z]"), F.when(token.endswith(">"), "s").otherwise("x"))
+        .when(token.rlike(r"(?i)^<!doctype") | (token == "</>"), "x")
+        .when(token.rlike(r"^<[!?/]"), "c")
+        .otherwise("t")
+    )
+
+
+def _last(stack: Column, test) -> Column:
+    """Position (from 1) of the last open element that passes; 0 without one."""
+    return F.coalesce(F.array_max(F.transform(stack, lambda e, i: F.when(test(e["n"]), i + 1))), F.lit(0))
+
+
+def _is(*names: str):
+    return lambda n: n.isin(*names)
+
+
+def _kept_by_start(stack: Column, n: Column) -> Column:
+    """How many open elements a start tag leaves open."""
+    size = F.size(stack)
+    top = F.get(stack, size - 1)["n"]
+
+    def above(name, barrier) -> Column:
+        """Those below the last ``name``, if no barrier stands above it."""
+        return _let(F.struct(_last(stack, name).alias("a"), _last(stack, barrier).alias("b")),
+                    lambda p: F.when(p["a"] > p["b"], p["a"] - 1).otherwise(size))
+
+    far = tuple(x for x in SPECIAL if x not in ("address", "div", "p"))
+    own = (
+        F.when(n == "li", above(_is("li"), _is(*(x for x in far if x != "li"))))
+        .when(n.isin("dd", "dt"), above(_is("dd", "dt"), _is(*(x for x in far if x not in ("dd", "dt")))))
+        .when(n.isin("td", "th"), above(_is("td", "th", "caption"), _is("table", "template")))
+        .when(n == "tr", above(_is("tr", "caption"), _is("table", "template")))
+        .when(n.isin("tbody", "thead", "tfoot"), above(_is("tbody", "thead", "tfoot", "caption"), _is("table", "template")))
+        .when(n.isin("option", "optgroup") & (top == "option"), size - 1)
+        .when(n == "button", above(_is("button"), _is(*SCOPE)))
+        .when(n == "a", above(_is("a"), _is(*SPECIAL)))
+        .when(n.isin(*HEADINGS) & top.isin(*HEADINGS), size - 1)
+        .otherwise(size)
     )
-    return F.when(ok, text)
-
-
-class _MainText(HTMLParser):
-    """One pass over a page: text of the first element matching each selector."""
-
-    VOID = {
-        "area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta",
-        "param", "source", "track", "wbr", "keygen",
-    }
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, list[int]]] = []  # (tag, selector ids opened here)
-        self.first_seen = [False] * len(SELECTORS)
-        self.active: set[int] = set()
-        self.parts: list[list[str]] = [[] for _ in SELECTORS]
-        self.seen_body = False
-        self.outside: list[str] = []  # text outside head (for an implied body)
-        self.in_head = 0
-
-    @staticmethod
-    def _matches(tag: str, attrs: dict) -> list[int]:
-        classes = (attrs.get("class") or "").split()
-        hits = []
-        for i, sel in enumerate(SELECTORS):
-            if (
-                (sel == "article" and tag == "article")
-                or (sel == "main" and tag == "main")
-                or (sel == '[role="main"]' and attrs.get("role") == "main")
-                or (sel == ".content" and "content" in classes)
-                or (sel == ".post-content" and "post-content" in classes)
-                or (sel == "body" and tag == "body")
-            ):
-                hits.append(i)
-        return hits
-
-    def handle_starttag(self, tag, attrs):
-        a = {k: (v if v is not None else "") for k, v in attrs}
-        if tag == "head":
-            self.in_head += 1
-        if tag == "body":
-            self.seen_body = True
-        opened = []
-        for i in self._matches(tag, a):
-            if not self.first_seen[i]:
-                self.first_seen[i] = True
-                self.active.add(i)
-                opened.append(i)
-        if tag in self.VOID:
-            for i in opened:
-                self.active.discard(i)
-            return
-        self.stack.append((tag, opened))
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if tag not in self.VOID and self.stack and self.stack[-1][0] == tag:
-            self._pop_to(len(self.stack) - 1)
-
-    def _pop_to(self, idx: int) -> None:
-        while len(self.stack) > idx:
-            t, opened = self.stack.pop()
-            if t == "head":
-                self.in_head = max(0, self.in_head - 1)
-            for i in opened:
-                self.active.discard(i)
-
-    def handle_endtag(self, tag):
-        for idx in range(len(self.stack) - 1, -1, -1):
-            if self.stack[idx][0] == tag:
-                self._pop_to(idx)
-                return
-        if tag == "head":
-            self.in_head = 0
-
-    def handle_data(self, data):
-        for i in self.active:
-            self.parts[i].append(data)
-        if not self.in_head:
-            self.outside.append(data)
-
-
-def main_text(html: str | None) -> str:
-    """Main-content text of one page (pure Python; used for the slow path)."""
-    if html is None:
-        return ""
-    p = _MainText()
-    try:
-        p.feed(html)
-        p.close()
-    except Exception:  # noqa: BLE001 - a broken page yields what was parsed
-        pass
-    for i, sel in enumerate(SELECTORS):
-        parts = p.parts[i]
-        if sel == "body" and not p.seen_body:
-            parts = p.outside
-        if sel != "body" and not p.first_seen[i]:
-            continue
-        txt = " ".join(t for t in _WS.split(" ".join(parts)) if t)
-        if txt:
-            return txt
-    return ""
-
-
-def page_title(html: Column) -> Column:
-    """Text of ``<title>`` with the native entity set decoded ('' when absent)."""
-    t = F.regexp_extract(html, r"(?is)<title(?:\s[^>]*)?>(.*?)</title\s*>", 1)
-    return T.collapse_ws(_decode_entities(t))
+    return F.when(n.isin(*ENDS_P), F.least(own, above(_is("p"), _is(*SCOPE, "button")))).otherwise(own)
+
+
+def _step(state: Column, tag: Column) -> Column:
+    """One tag on ``(stack, done, drop, found)``.
+
+    ``stack``: open elements (n name, m selectors that it is the first for, i token); ``done``: ranges of closed
+    ones with a selector; ``drop``: tokens of ignored tags; ``found``: selectors met.
+    """
+    stack, n = state["stack"], tag["n"]
+    size = F.size(stack)
+
+    def cut(keep: Column, push: Column, dropped: Column) -> Column:
+        """The state with the elements from ``keep`` on closed."""
+        closed = F.filter(F.slice(stack, keep + 1, F.greatest(size - keep, F.lit(0))), lambda e: e["m"] > 0)
+        fresh = tag["m"].bitwiseAND(F.lit(-1) - state["found"])
+        return F.struct(
+            F.concat(F.slice(stack, 1, keep), F.when(push, F.array(F.struct(n.alias("n"), fresh.alias("m"), tag["i"].alias("i")))).otherwise(F.slice(stack, 1, 0))).alias("stack"),
+            F.concat(state["done"], F.transform(closed, lambda e: F.struct(e["m"].alias("m"), e["i"].alias("a"), tag["i"].alias("b")))).alias("done"),
+            F.when(dropped, F.concat(state["drop"], F.array(tag["i"]))).otherwise(state["drop"]).alias("drop"),
+            state["found"].bitwiseOR(F.when(push, tag["m"]).otherwise(0)).alias("found"))
+
+    no, yes = F.lit(False), F.lit(True)
+    in_table = _last(stack, _is("table", "template")) > 0
+    foreign = tag["c"] & (_last(stack, _is("svg", "math")) > 0)
+    ignored_start = n.isin("html", "head", "body", "frameset") | (n.isin(*TABLE_PARTS) & ~in_table)
+    start = F.when(ignored_start, cut(size, no, yes)).otherwise(
+        _let(_kept_by_start(stack, n), lambda keep: cut(keep, ~n.isin(*VOID) & ~foreign, no)))
+
+    own = _last(stack, lambda x: F.when(n.isin(*HEADINGS), x.isin(*HEADINGS)).otherwise(x == n))
+
+    def end_with(p: Column) -> Column:
+        at = p["at"]
+        unlisted = ~n.isin(*BLOCKS, *HEADINGS, *FORMATTING, *SCOPE, *TABLE_PARTS, "p", "li", "dd", "dt", "button")
+        barred = F.when(n.isin(*TABLE_PARTS, "table"), p["table"] > at).when(n == "p", p["scope"] > at).when(n == "li", p["list"] > at).otherwise(
+            F.when(unlisted, p["special"] > at).otherwise(p["scope"] > at))
+        # a formatting element that holds an open block ends, the block does not
+        split = n.isin(*FORMATTING) & (p["special"] > at)
+        without = F.struct(F.filter(stack, lambda e, i: i + 1 != at).alias("stack"),
+                           F.concat(state["done"], F.transform(F.filter(F.slice(stack, at, 1), lambda e: e["m"] > 0), lambda e: F.struct(
+                               e["m"].alias("m"), e["i"].alias("a"), tag["i"].alias("b")))).alias("done"),
+                           state["drop"].alias("drop"), state["found"].alias("found"))
+        return (
+            F.when((at > 0) & ~barred, F.when(split, without).otherwise(cut(at - 1, no, no)))
+            .otherwise(cut(size, no, ~n.isin("p", "br", *RAW)))
+        )
+
+    places = F.struct(
+        own.alias("at"), _last(stack, lambda x: x.isin(*SCOPE) & (x != n) | (x == "button") & (n == "p")).alias("scope"),
+        _last(stack, lambda x: x.isin(*SCOPE, "ol", "ul")).alias("list"),
+        _last(stack, _is("table", "template")).alias("table"), _last(stack, lambda x: x.isin(*SPECIAL) & (x != n)).alias("special"))
+    places = _let(places, lambda p: F.struct(p["at"].alias("at"), p["scope"].alias("scope"), p["list"].alias("list"), p["special"].alias("special"),
+                                             F.when(n == "table", 0).otherwise(p["table"]).alias("table")))
+    end = F.when(n.isin("body", "html"), cut(size, no, yes)).otherwise(_let(places, end_with))
+    return F.when(tag["k"] == "s", start).otherwise(end)
+
+
+STATE = "struct<stack:array<struct<n:string,m:int,i:int>>,done:array<struct<m:int,a:int,b:int>>,drop:array<int>,found:int>"
+
+
+def _ranges(tokens: Column) -> Column:
+    """(ranges, drop): for each selector the tokens ``a`` < i < ``b`` of its first element (null without one)."""
+    size = F.size(tokens)
+    # the body opens at the first token that cannot stand in or before the head
+    opens = F.coalesce(F.array_min(F.transform(tokens, lambda t: F.when(
+        ((t["k"] == "t") & t["x"].rlike(r"[^ \t\n\f\r]"))
+        | (t["k"].isin("s", "r") & ~t["n"].isin(*IN_HEAD)) | ((t["k"] == "e") & t["n"].isin("body", "html", "br")), t["i"]))), size)
+    tags = lambda at: F.filter(tokens, lambda t: t["k"].isin("s", "e") & (t["i"] >= at))
+    folded = lambda at: F.aggregate(tags(at), F.expr(
+        f"cast(named_struct('stack', array(), 'done', array(), 'drop', array(), 'found', 0) as {STATE})"), _step)
+
+    def finished(p: Column) -> Column:
+        left = F.transform(F.filter(p["s"]["stack"], lambda e: e["m"] > 0), lambda e: F.struct(e["m"].alias("m"), e["i"].alias("a"), size.alias("b")))
+        found = F.concat(p["s"]["done"], left)
+
+        def of(bit: int) -> Column:
+            root = lambda name, start: _let(  # noqa: E731  html and body tags that match themselves
+                F.get(F.filter(tokens, lambda t: (t["k"] == "s") & (t["n"] == name)), 0),
+                lambda t: F.when(t["m"].bitwiseAND(F.lit(bit)) > 0, F.struct(start.alias("a"), size.alias("b"))))
+            inner = _let(F.get(F.filter(found, lambda r: r["m"].bitwiseAND(F.lit(bit)) > 0), 0),
+                         lambda r: F.when(r.isNotNull(), F.struct(r["a"].alias("a"), r["b"].alias("b"))))
+            return F.coalesce(root("html", F.lit(-1)), root("body", p["at"] - 1), inner) if bit >= 4 else inner
+
+        whole = F.struct((p["at"] - 1).alias("a"), size.alias("b"))
+        return F.struct(F.array(*[of(1 << k) for k in range(BODY)], whole).alias("ranges"), p["s"]["drop"].alias("drop"))
+
+    return _let(opens, lambda at: _let(F.struct(at.alias("at"), folded(at).alias("s")), finished))
+
+
+def tokens(page: Column) -> Column:
+    """Tokens of a page: (i, k kind, n name, x token, m selectors, c closed by a slash)."""
+    def one(x: Column, i: Column) -> Column:
+        return _let(F.struct(x.alias("x"), _kind(x).alias("k")), lambda t: F.struct(
+            i.alias("i"), t["k"].alias("k"), F.when(t["k"].isin("s", "e", "r"), F.lower(F.regexp_extract(t["x"], NAME, 1))).otherwise("").alias("n"),
+            t["x"].alias("x")))
+
+    def marked(t: Column) -> Column:
+        tag = t["k"] == "s"
+        return F.struct(t["i"].alias("i"), t["k"].alias("k"), t["n"].alias("n"), t["x"].alias("x"),
+                        F.when(tag, _mask(t["n"], t["x"])).otherwise(0).alias("m"), (tag & t["x"].endswith("/>")).alias("c"))
+
+    return F.transform(F.transform(F.regexp_extract_all(page, F.lit(TOKEN), 0), one), marked)
+
+
+def _text_between(all_tokens: Column, drop: Column, a: Column, b: Column) -> Column:
+    """Collapsed text of the tokens strictly between ``a`` and ``b``; adjacent text is one node, other tokens part it."""
+    raw = lambda t: F.regexp_replace(t["x"], r"(?s)^<[A-Za-z]" + ATTRIBUTES, "")
+    piece = lambda t: (
+        F.when(t["k"] == "t", t["x"])
+        .when(t["k"] == "r", F.concat(F.lit(" "), F.when(t["n"].isin(*DECODED_RAW), raw(t)).otherwise(F.replace(raw(t), F.lit("&"), F.lit("&amp;"))), F.lit(" ")))
+        .when((t["k"] == "x") | F.array_contains(drop, t["i"]), F.lit(""))
+        .otherwise(F.lit(" ")))
+    joined = F.array_join(F.transform(F.slice(all_tokens, F.greatest(a, F.lit(-1)) + 2, F.greatest(b - a - 1, F.lit(0))), piece), "")
+    return T.collapse_ws(decode_references(joined))
+
+
+def folded_text(page: Column) -> Column:
+    """Main text by the fold over all tags."""
+    def chosen(p: Column) -> Column:
+        return F.aggregate(p["r"]["ranges"], F.lit(""), lambda text, r: F.when((text != "") | r.isNull(), text).otherwise(
+            _text_between(p["t"], p["r"]["drop"], r["a"], r["b"])))
+
+    return _let(_let(tokens(page), lambda t: F.struct(t.alias("t"), _ranges(t).alias("r"))), chosen)
+
+
+# Names whose end tags may reach an element outside the article, and whose presence needs the fold.
+REACHING = "|".join(BLOCKS + ("h[1-6]", "li", "dd", "dt", "button"))
+NEEDS_FOLD = "|".join(SCOPE + TABLE_PARTS + RAW + ("select", "option", "plaintext", "frameset", "html", "head", "body"))
+UNPLAIN = (
+    r"(?is)(?=[<&=])(?:</?(?:" + NEEDS_FOLD + r")[\s/>]|<!(?!--)|<\?|<(?![a-zA-Z/!])|</(?![a-zA-Z])"
+    r"|=\s*\"[^\">]*>|=\s*'[^'>]*>|<!--(?:-?>|[^>]*--!>)|<[a-zA-Z][^>]*<|(?<=[^\s>])(?:</[a-zA-Z][^>]*>)++(?=[^\s<]))"
+)
+UNPLAIN_BEFORE = (
+    r"(?is)(?=<)(?:<!--(?!.*?-->)|<!--(?:-?>|[^>]*--!>)|<(" + "|".join(RAW) + r")[\s/>](?!.*?</\1[\s/>])"
+    r"|<(?:select|svg|math|template|frameset|plaintext|table|object|applet|marquee)[\s/>]|<[a-zA-Z/!?][^>]*\z)"
+)
+
+
+def plain_article(page: Column) -> Column:
+    """Text of the page's only ``article`` where no rule of the fold can matter; null otherwise."""
+    def text(p: Column) -> Column:
+        before, region = p["before"], p["region"]
+        stripped = F.regexp_replace(F.regexp_replace(region, r"(?s)<!--.*?-->", " "), r"<[^>]*>", " ")
+        reach = F.arrays_overlap(F.regexp_extract_all(F.lower(before), F.lit(rf"<({REACHING})[\s/>]"), 1),
+                                 F.regexp_extract_all(F.lower(region), F.lit(rf"</({REACHING})[\s/>]"), 1))
+        sound = ~region.rlike(UNPLAIN) & ~before.rlike(UNPLAIN_BEFORE) & ~reach
+        return F.when(sound, F.nullif(T.collapse_ws(decode_references(stripped)), F.lit("")))
+
+    marks = F.regexp_extract_all(page, F.lit(r"(?i)</?article"), 0)
+    one = (F.size(marks) == 2) & (F.lower(F.get(marks, 0)) == "<article") & (F.lower(F.get(marks, 1)) == "</article")
+    found = page.rlike(ARTICLE)
+    return F.when(one & found, _let(F.struct(F.regexp_extract(page, ARTICLE, 1).alias("before"), F.regexp_extract(page, ARTICLE, 2).alias("region")), text))
+
+
+ARTICLE = r"(?is)\A(.*?)<article(?:\s(?:[^>\"'=]|=\s*\"[^\">]*\"|=\s*'[^'>]*'|=)*)?>(.*?)</article\s*>"
+
+
+def main_text(page: Column) -> Column:
+    """Main text of a page (null in, null out; ``''`` when no selector has text)."""
+    return F.when(page.isNotNull(), F.coalesce(plain_article(page), folded_text(page)))
+
+
+def page_title(page: Column) -> Column:
+    """Text of ``<title>`` ('' when absent)."""
+    return T.collapse_ws(decode_references(F.regexp_extract(page, r"(?is)<title(?:\s[^>]*)?>(.*?)</title\s*>", 1)))

