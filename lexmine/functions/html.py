@@ -46,11 +46,21 @@ BLOCKS = ("address", "article", "aside", "blockquote", "center", "details", "dia
 ENDS_P = BLOCKS + HEADINGS + ("p", "hr", "xmp", "plaintext", "table", "li", "dd", "dt")
 SCOPE = ("applet", "caption", "html", "table", "td", "th", "marquee", "object", "template", "svg", "math")
 TABLE_PARTS = ("caption", "colgroup", "col", "tbody", "thead", "tfoot", "tr", "td", "th")
-MARKERS = ("applet", "object", "marquee", "template", "td", "th", "caption")
 SPECIAL = BLOCKS + HEADINGS + SCOPE[:9] + (
     "p", "li", "dd", "dt", "body", "head", "button", "frameset", "select", "tbody", "thead", "tfoot", "tr", "colgroup", "textarea",
     "title", "script", "style", "iframe", "noscript", "xmp", "noembed", "noframes")
 
+# Bits of the groups that a name belongs to; one lookup a tag, bit tests after that.
+GROUPS = {
+    "special": SPECIAL, "scope": SCOPE, "list": SCOPE + ("ol", "ul"), "table": ("table", "template"), "heading": HEADINGS,
+    "formatting": FORMATTING, "block": BLOCKS, "part": TABLE_PARTS, "ends_p": ENDS_P, "void": VOID, "foreign": ("svg", "math"),
+    "far": tuple(x for x in SPECIAL if x not in ("address", "div", "p")), "raw": RAW, "in_head": IN_HEAD,
+    "listed": BLOCKS + HEADINGS + FORMATTING + SCOPE + TABLE_PARTS + ("p", "li", "dd", "dt", "button"),
+    "root": ("html", "head", "body", "frameset"), "button_scope": SCOPE + ("button",),
+}
+BIT = {g: 1 << k for k, g in enumerate(GROUPS)}
+BITS = {n: sum(BIT[g] for g, names in GROUPS.items() if n in names) for n in sorted({n for names in GROUPS.values() for n in names})}
+
 ATTRIBUTES = r"(?:=\s*\"[^\"]*\"|=\s*'[^']*'|=|[^>=]++)*+>"
 TOKEN = (
     r"(?is)<!--(?:>|->|.*?(?:--!?>|\z))"
@@ -74,9 +84,9 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _table(values: dict[str, str]) -> Column:
+def _table(values: dict, kind: str = "string") -> Column:
     """A constant map (folded once per plan)."""
-    return F.from_json(F.lit(json.dumps(values)), "map<string,string>")
+    return F.from_json(F.lit(json.dumps(values)), f"map<string,{kind}>")
 
 
 def _code_point(n: Column) -> Column:
@@ -146,96 +156,93 @@ def _kind(token: Column) -> Column:
     )
 
 
-def _last(stack: Column, test) -> Column:
-    """Position (from 1) of the last open element that passes; 0 without one."""
-    return F.coalesce(F.array_max(F.transform(stack, lambda e, i: F.when(test(e["n"]), i + 1))), F.lit(0))
+def _of(e: Column, *groups: str) -> Column:
+    """An element or tag belongs to one of the groups."""
+    return e["g"].bitwiseAND(F.lit(sum(BIT[g] for g in groups))) > 0
 
 
-def _is(*names: str):
-    return lambda n: n.isin(*names)
+def _last(stack: Column, test) -> Column:
+    """Position (from 1) of the last open element that passes; 0 without one."""
+    return F.coalesce(F.array_max(F.transform(stack, lambda e, i: F.when(test(e), i + 1))), F.lit(0))
 
 
-def _kept_by_start(stack: Column, n: Column) -> Column:
+def _kept_by_start(stack: Column, tag: Column) -> Column:
     """How many open elements a start tag leaves open."""
-    size = F.size(stack)
-    top = F.get(stack, size - 1)["n"]
+    n, size = tag["n"], F.size(stack)
+    top = F.get(stack, size - 1)
 
     def above(name, barrier) -> Column:
         """Those below the last ``name``, if no barrier stands above it."""
         return _let(F.struct(_last(stack, name).alias("a"), _last(stack, barrier).alias("b")),
                     lambda p: F.when(p["a"] > p["b"], p["a"] - 1).otherwise(size))
 
-    far = tuple(x for x in SPECIAL if x not in ("address", "div", "p"))
+    table = lambda e: _of(e, "table")
+    item = lambda *own: above(lambda e: e["n"].isin(*own), lambda e: _of(e, "far") & ~e["n"].isin(*own))
     own = (
-        F.when(n == "li", above(_is("li"), _is(*(x for x in far if x != "li"))))
-        .when(n.isin("dd", "dt"), above(_is("dd", "dt"), _is(*(x for x in far if x not in ("dd", "dt")))))
-        .when(n.isin("td", "th"), above(_is("td", "th", "caption"), _is("table", "template")))
-        .when(n == "tr", above(_is("tr", "caption"), _is("table", "template")))
-        .when(n.isin("tbody", "thead", "tfoot"), above(_is("tbody", "thead", "tfoot", "caption"), _is("table", "template")))
-        .when(n.isin("option", "optgroup") & (top == "option"), size - 1)
-        .when(n == "button", above(_is("button"), _is(*SCOPE)))
-        .when(n == "a", above(_is("a"), _is(*SPECIAL)))
-        .when(n.isin(*HEADINGS) & top.isin(*HEADINGS), size - 1)
+        F.when(n == "li", item("li"))
+        .when(n.isin("dd", "dt"), item("dd", "dt"))
+        .when(n.isin("td", "th"), above(lambda e: e["n"].isin("td", "th", "caption"), table))
+        .when(n == "tr", above(lambda e: e["n"].isin("tr", "caption"), table))
+        .when(n.isin("tbody", "thead", "tfoot"), above(lambda e: e["n"].isin("tbody", "thead", "tfoot", "caption"), table))
+        .when(n.isin("option", "optgroup") & (top["n"] == "option"), size - 1)
+        .when(n == "button", above(lambda e: e["n"] == "button", lambda e: _of(e, "scope")))
+        .when(n == "a", above(lambda e: e["n"] == "a", lambda e: _of(e, "special")))
+        .when(_of(tag, "heading") & _of(top, "heading"), size - 1)
         .otherwise(size)
     )
-    return F.when(n.isin(*ENDS_P), F.least(own, above(_is("p"), _is(*SCOPE, "button")))).otherwise(own)
+    return F.when(_of(tag, "ends_p"), F.least(own, above(lambda e: e["n"] == "p", lambda e: _of(e, "button_scope")))).otherwise(own)
 
 
 def _step(state: Column, tag: Column) -> Column:
     """One tag on ``(stack, done, drop, found)``.
 
-    ``stack``: open elements (n name, m selectors that it is the first for, i token); ``done``: ranges of closed
-    ones with a selector; ``drop``: tokens of ignored tags; ``found``: selectors met.
+    ``stack``: open elements (n name, g groups, m selectors that it is the first for, i token); ``done``: ranges of
+    closed ones with a selector; ``drop``: tokens of ignored tags; ``found``: selectors met.
     """
     stack, n = state["stack"], tag["n"]
     size = F.size(stack)
+    ranges = lambda closed: F.transform(F.filter(closed, lambda e: e["m"] > 0), lambda e: F.struct(e["m"].alias("m"), e["i"].alias("a"), tag["i"].alias("b")))
 
     def cut(keep: Column, push: Column, dropped: Column) -> Column:
         """The state with the elements from ``keep`` on closed."""
-        closed = F.filter(F.slice(stack, keep + 1, F.greatest(size - keep, F.lit(0))), lambda e: e["m"] > 0)
         fresh = tag["m"].bitwiseAND(F.lit(-1) - state["found"])
+        opened = F.array(F.struct(n.alias("n"), tag["g"].alias("g"), fresh.alias("m"), tag["i"].alias("i")))
         return F.struct(
-            F.concat(F.slice(stack, 1, keep), F.when(push, F.array(F.struct(n.alias("n"), fresh.alias("m"), tag["i"].alias("i")))).otherwise(F.slice(stack, 1, 0))).alias("stack"),
-            F.concat(state["done"], F.transform(closed, lambda e: F.struct(e["m"].alias("m"), e["i"].alias("a"), tag["i"].alias("b")))).alias("done"),
+            F.concat(F.slice(stack, 1, keep), F.when(push, opened).otherwise(F.slice(stack, 1, 0))).alias("stack"),
+            F.concat(state["done"], ranges(F.slice(stack, keep + 1, F.greatest(size - keep, F.lit(0))))).alias("done"),
             F.when(dropped, F.concat(state["drop"], F.array(tag["i"]))).otherwise(state["drop"]).alias("drop"),
             state["found"].bitwiseOR(F.when(push, tag["m"]).otherwise(0)).alias("found"))
 
     no, yes = F.lit(False), F.lit(True)
-    in_table = _last(stack, _is("table", "template")) > 0
-    foreign = tag["c"] & (_last(stack, _is("svg", "math")) > 0)
-    ignored_start = n.isin("html", "head", "body", "frameset") | (n.isin(*TABLE_PARTS) & ~in_table)
-    start = F.when(ignored_start, cut(size, no, yes)).otherwise(
-        _let(_kept_by_start(stack, n), lambda keep: cut(keep, ~n.isin(*VOID) & ~foreign, no)))
-
-    own = _last(stack, lambda x: F.when(n.isin(*HEADINGS), x.isin(*HEADINGS)).otherwise(x == n))
+    outside = _of(tag, "part") & (_last(stack, lambda e: _of(e, "table")) == 0)
+    foreign = tag["c"] & (_last(stack, lambda e: _of(e, "foreign")) > 0)
+    start = F.when(_of(tag, "root") | outside, cut(size, no, yes)).otherwise(
+        _let(_kept_by_start(stack, tag), lambda keep: cut(keep, ~_of(tag, "void") & ~foreign, no)))
 
     def end_with(p: Column) -> Column:
         at = p["at"]
-        unlisted = ~n.isin(*BLOCKS, *HEADINGS, *FORMATTING, *SCOPE, *TABLE_PARTS, "p", "li", "dd", "dt", "button")
-        barred = F.when(n.isin(*TABLE_PARTS, "table"), p["table"] > at).when(n == "p", p["scope"] > at).when(n == "li", p["list"] > at).otherwise(
-            F.when(unlisted, p["special"] > at).otherwise(p["scope"] > at))
+        barred = (
+            F.when(n == "table", F.lit(False)).when(_of(tag, "part"), p["table"] > at).when(n == "p", p["button"] > at)
+            .when(n == "li", p["list"] > at).when(_of(tag, "listed"), p["scope"] > at).otherwise(p["special"] > at)
+        )
         # a formatting element that holds an open block ends, the block does not
-        split = n.isin(*FORMATTING) & (p["special"] > at)
-        without = F.struct(F.filter(stack, lambda e, i: i + 1 != at).alias("stack"),
-                           F.concat(state["done"], F.transform(F.filter(F.slice(stack, at, 1), lambda e: e["m"] > 0), lambda e: F.struct(
-                               e["m"].alias("m"), e["i"].alias("a"), tag["i"].alias("b")))).alias("done"),
+        without = F.struct(F.filter(stack, lambda e, i: i + 1 != at).alias("stack"), F.concat(state["done"], ranges(F.slice(stack, at, 1))).alias("done"),
                            state["drop"].alias("drop"), state["found"].alias("found"))
         return (
-            F.when((at > 0) & ~barred, F.when(split, without).otherwise(cut(at - 1, no, no)))
-            .otherwise(cut(size, no, ~n.isin("p", "br", *RAW)))
+            F.when((at > 0) & ~barred, F.when(_of(tag, "formatting") & (p["special"] > at), without).otherwise(cut(at - 1, no, no)))
+            .otherwise(cut(size, no, ~n.isin("p", "br") & ~_of(tag, "raw")))
         )
 
     places = F.struct(
-        own.alias("at"), _last(stack, lambda x: x.isin(*SCOPE) & (x != n) | (x == "button") & (n == "p")).alias("scope"),
-        _last(stack, lambda x: x.isin(*SCOPE, "ol", "ul")).alias("list"),
-        _last(stack, _is("table", "template")).alias("table"), _last(stack, lambda x: x.isin(*SPECIAL) & (x != n)).alias("special"))
-    places = _let(places, lambda p: F.struct(p["at"].alias("at"), p["scope"].alias("scope"), p["list"].alias("list"), p["special"].alias("special"),
-                                             F.when(n == "table", 0).otherwise(p["table"]).alias("table")))
+        _last(stack, lambda e: (e["n"] == n) | (_of(tag, "heading") & _of(e, "heading"))).alias("at"),
+        _last(stack, lambda e: _of(e, "scope") & (e["n"] != n)).alias("scope"),
+        _last(stack, lambda e: _of(e, "button_scope")).alias("button"), _last(stack, lambda e: _of(e, "list")).alias("list"),
+        _last(stack, lambda e: _of(e, "table")).alias("table"), _last(stack, lambda e: _of(e, "special") & (e["n"] != n)).alias("special"))
     end = F.when(n.isin("body", "html"), cut(size, no, yes)).otherwise(_let(places, end_with))
     return F.when(tag["k"] == "s", start).otherwise(end)
 
 
-STATE = "struct<stack:array<struct<n:string,m:int,i:int>>,done:array<struct<m:int,a:int,b:int>>,drop:array<int>,found:int>"
+STATE = "struct<stack:array<struct<n:string,g:int,m:int,i:int>>,done:array<struct<m:int,a:int,b:int>>,drop:array<int>,found:int>"
 
 
 def _ranges(tokens: Column) -> Column:
@@ -244,7 +251,7 @@ def _ranges(tokens: Column) -> Column:
     # the body opens at the first token that cannot stand in or before the head
     opens = F.coalesce(F.array_min(F.transform(tokens, lambda t: F.when(
         ((t["k"] == "t") & t["x"].rlike(r"[^ \t\n\f\r]"))
-        | (t["k"].isin("s", "r") & ~t["n"].isin(*IN_HEAD)) | ((t["k"] == "e") & t["n"].isin("body", "html", "br")), t["i"]))), size)
+        | (t["k"].isin("s", "r") & ~_of(t, "in_head")) | ((t["k"] == "e") & t["n"].isin("body", "html", "br")), t["i"]))), size)
     tags = lambda at: F.filter(tokens, lambda t: t["k"].isin("s", "e") & (t["i"] >= at))
     folded = lambda at: F.aggregate(tags(at), F.expr(
         f"cast(named_struct('stack', array(), 'done', array(), 'drop', array(), 'found', 0) as {STATE})"), _step)
@@ -274,9 +281,11 @@ def tokens(page: Column) -> Column:
             i.alias("i"), t["k"].alias("k"), F.when(t["k"].isin("s", "e", "r"), F.lower(F.regexp_extract(t["x"], NAME, 1))).otherwise("").alias("n"),
             t["x"].alias("x")))
 
+    groups = _table(BITS, "int")
+
     def marked(t: Column) -> Column:
         tag = t["k"] == "s"
-        return F.struct(t["i"].alias("i"), t["k"].alias("k"), t["n"].alias("n"), t["x"].alias("x"),
+        return F.struct(t["i"].alias("i"), t["k"].alias("k"), t["n"].alias("n"), t["x"].alias("x"), F.coalesce(F.element_at(groups, t["n"]), F.lit(0)).alias("g"),
                         F.when(tag, _mask(t["n"], t["x"])).otherwise(0).alias("m"), (tag & t["x"].endswith("/>")).alias("c"))
 
     return F.transform(F.transform(F.regexp_extract_all(page, F.lit(TOKEN), 0), one), marked)

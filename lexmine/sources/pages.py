@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import lru_cache
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmine.functions import html as H
 
 
+@lru_cache(maxsize=1)
+def _html_text(application: str) -> Column:
+    """The main-text expression on column ``html``, built once per application (thousands of gateway calls)."""
+    return H.main_text(F.col("html"))
+
+
 def page_text(pages: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """``(page_id, url, text, *keep)`` for every page, in one pass over ``pages`` (a null page has the text ``''``)."""
-    return pages.select("page_id", "url", F.coalesce(H.main_text(F.col("html")), F.lit("")).alias("text"), *(keep or []))
+    text = _html_text(pages.sparkSession.sparkContext.applicationId)
+    return pages.select("page_id", "url", F.coalesce(text, F.lit("")).alias("text"), *(keep or []))
 
 
 def with_empty_flag(texts: DataFrame) -> DataFrame:
