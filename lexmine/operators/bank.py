@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmine.functions import text as T
+from lexmine.operators import search_index
 
 BANK_COLUMNS = ["word", "definition", "context_sentence", "source_url"]
 
@@ -53,23 +54,30 @@ def prepared_queries(queries: DataFrame, qcol: str = "query") -> DataFrame:
 def match_queries(vocab: DataFrame, queries: DataFrame, qcol: str = "query") -> DataFrame:
     """Bank rows joined with every query they match (plus the query column).
 
-    The predicate has no equality key, so the query side is broadcast and the
-    bank is scanned once; word and definition are case-folded once per row
-    before the join.  The query table's size is measured first; above the
-    limit it is split into hash chunks that are each broadcast separately
-    (results are the union, so nothing is lost).
+    Queries of three or more plain characters in a row meet the bank by their rarest gram
+    (:mod:`lexmine.operators.search_index`).  The others have no key: they are broadcast and the bank is scanned
+    once; their size is measured first and above the limit they are split into hash chunks that are each
+    broadcast separately (results are the union, so nothing is lost).  Word and definition are case-folded
+    once per row before either join.
     """
-    q = prepared_queries(queries, qcol)
-    chunks = _bounded_chunks(q, "query")
+    from lexmine.session import shared_dir
+
+    shared_dir(vocab.sparkSession)
+    q = prepared_queries(queries, qcol).withColumn("_long", F.size(search_index.query_grams(F.col("_qf"))) > 0)
     v = vocab.withColumn("_wf", T.ascii_lower(F.col("word"))).withColumn("_df", T.ascii_lower(F.col("definition")))
     cond = T.folded_contains(F.col("_wf"), F.col("_qf"), F.col("_qwild"), F.col("_qpat")) | T.folded_contains(
         F.col("_df"), F.col("_qf"), F.col("_qwild"), F.col("_qpat")
     )
-    out = None
+    extra = ["_wf", "_df", "_qf", "_qwild", "_qpat", "_long"]
+    text = F.concat_ws("\n", "_wf", "_df")
+    # the chosen grams (a row a query) are written once, so the bank is counted once
+    keyed = search_index.keyed(q.where("_long"), v, text).checkpoint(eager=True)
+    out = search_index.candidates(v, keyed, text).where(cond).drop(*extra)
+    short = q.where(~F.col("_long"))
+    chunks = _bounded_chunks(short, "query")
     for i in range(chunks):
-        qi = q if chunks == 1 else q.where(F.pmod(F.xxhash64("query"), F.lit(chunks)) == i)
-        part = v.join(F.broadcast(qi), cond).drop("_wf", "_df", "_qf", "_qwild", "_qpat")
-        out = part if out is None else out.unionByName(part)
+        qi = short if chunks == 1 else short.where(F.pmod(F.xxhash64("query"), F.lit(chunks)) == i)
+        out = out.unionByName(v.join(F.broadcast(qi), cond).drop(*extra))
     return out
 
 
@@ -89,6 +97,12 @@ def collected_on(articles: DataFrame, day: str) -> DataFrame:
     return articles.where((F.col("collected_at") >= start) & (F.col("collected_at") < end))
 
 
+def dated(vocab: DataFrame, articles: DataFrame) -> DataFrame:
+    """Bank rows that have an article, with that article's ``collected_at`` (URLs are unique among articles)."""
+    when = articles.select(F.col("url").alias("source_url"), "collected_at")
+    return vocab.drop("collected_at").join(when, "source_url")
+
+
 def vocab_on_day(vocab: DataFrame, articles: DataFrame, day: str) -> DataFrame:
     """Words whose article was collected on ``day`` (inner join on the URL)."""
     a = collected_on(articles, day).select("url")

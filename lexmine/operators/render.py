@@ -134,10 +134,10 @@ def day_digests(vocab: DataFrame, articles: DataFrame) -> DataFrame:
     lead text followed by the article parts in ``(part_at, part_url)`` order
     joined by the separator (the tests assemble small days this way).  No
     aggregate holds more than one article's cards, however large the day.
-    A word's day is its article's collection day (``collected_at`` is copied
-    from the article when the bank is built).
+    A word's day is its article's collection day; words without an article
+    are in no digest.
     """
-    cards = with_card(vocab).withColumn("day", F.to_date("collected_at"))
+    cards = with_card(bank.dated(vocab, articles)).withColumn("day", F.to_date("collected_at"))
     counts = cards.groupBy("day").agg(F.count(F.lit(1)).alias("n_words"))
     days = articles.select(F.to_date("collected_at").alias("day")).distinct()
     d = days.join(counts, "day", "left")
@@ -157,7 +157,7 @@ def search_documents(vocab: DataFrame, queries: DataFrame) -> DataFrame:
     # bank is matched exactly once.
     shared_dir(vocab.sparkSession)
     blocks = _article_blocks(_search_hits(vocab, queries), ["query"]).checkpoint(eager=True)
-    matched = blocks.select("query")
+    matched = blocks.select("query").distinct()
     q = queries.select("query").distinct()
     misses = _lead_part(q.join(matched, "query", "left_anti"), ["query"], fill(SEARCH_EMPTY, q=F.col("query")))
     return _block_parts(blocks, ["query"]).unionByName(misses)

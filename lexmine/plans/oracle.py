@@ -139,6 +139,12 @@ def oracle_sql() -> dict[str, str]:
         f"{BANK}, {qv} SELECT q.query, v.word, v.definition, v.context_sentence, v.source_url "
         f"FROM vocab_v v JOIN q ON ({like_contains('v.word', 'q.query')}) OR ({like_contains('v.definition', 'q.query')})"
     )
+    long_word = f"list_filter(string_split_regex(text, '{WS}'), lambda x: strlen(x) > 8 AND regexp_full_match(x, '{ALPHA}'))[1]"
+    q["vocab_search_table"] = f"""{BANK},
+bq AS (SELECT item_id, substr(lower({long_word}), 3, 5) AS part FROM benchmark),
+q AS (SELECT DISTINCT CASE WHEN item_id % 2 = 1 THEN translate(part, '{LO}', '{UP}') ELSE part END AS query FROM bq WHERE part IS NOT NULL)
+SELECT q.query, v.word, v.definition, v.context_sentence, v.source_url
+FROM vocab_v v JOIN q ON ({like_contains('v.word', 'q.query')}) OR ({like_contains('v.definition', 'q.query')})"""
     today = (
         "SELECT v.* FROM vocab_v v JOIN articles_v a ON v.source_url = a.url "
         "WHERE CAST(a.collected_at AS DATE) = DATE '{d}'"

@@ -7,6 +7,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexmine.functions import text as T
 from lexmine.operators import bank, extract, ingest, render, responses
 from lexmine.plans import params as P
 from lexmine.plans import tables
@@ -64,6 +65,20 @@ def q_vocab_search_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bank.search_batch(tables.vocab(spark, sf_dir), _queries_table(spark))
 
 
+def _benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One query per benchmark text that has a long word: five characters out of the first one, in capitals for odd items."""
+    b = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet")
+    word = F.get(T.sample_words(F.col("text")), 0)
+    part = F.substring(word, 3, 5)
+    return b.where(word.isNotNull()).select(F.when(F.col("item_id") % 2 == 1, F.translate(part, T.LOWER_ASCII, T.UPPER_ASCII)).otherwise(part).alias("query"))
+
+
+@register("vocab_search_table")
+def q_vocab_search_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batch search for a landed table of queries."""
+    return bank.search_batch(tables.vocab(spark, sf_dir), _benchmark_queries(spark, sf_dir))
+
+
 @register("vocab_today")
 def q_vocab_today(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bank.vocab_on_day(tables.vocab(spark, sf_dir), tables.articles(spark, sf_dir), P.AS_OF_DAY)
@@ -80,7 +95,8 @@ def q_random_word(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _bank_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.vocab(spark, sf_dir).withColumn("day", F.to_date("collected_at"))
+    dated = bank.dated(tables.vocab(spark, sf_dir), tables.articles(spark, sf_dir))
+    return dated.withColumn("day", F.to_date("collected_at"))
 
 
 @register("daily_pick")
