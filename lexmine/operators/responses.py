@@ -27,13 +27,15 @@ SYSTEM_PROMPT = (
 )
 TARGET_SEPARATOR = "\n\nTarget Text:\n"
 RESPONSE_MIME = "application/json"
-ERR_HTTP = "API error ({status}): {body}"
-ERR_ENVELOPE = "Failed to parse response"
-ERR_REMOTE = "API error: {message}"
-ERR_NO_CONTENT = "No content in response"
-ERR_WORDS = "Failed to parse vocabulary JSON"
 # ---------------------------------------------------------------------------
 
+# Texts of the outcomes.
+ERR_HTTP = "remote call ended with status {status}: {body}"
+ERR_REMOTE = "remote side reports: {message}"
+ERR_ENVELOPE = "body is no answer envelope"
+ERR_NO_CONTENT = "answer holds no text"
+ERR_WORDS = "answer text is no list of words"
+
 WORDS_SCHEMA = "array<struct<word:string,definition:string,context_sentence:string>>"
 WORD_KEYS = ("word", "definition", "context_sentence")
 
@@ -51,11 +53,8 @@ def requests(articles: DataFrame, url_col: str = "url", text_col: str = "content
     return articles.select(F.col(url_col).alias("url"), F.to_json(body).alias("request"))
 
 
-def _strict_word_list(s: str | None) -> bool:
-    """True when ``s`` is a JSON list of objects with the three string keys."""
-    if s is None:
-        return False
-
+def _load(text: str):
+    """Strict JSON: one value, no constants beyond the standard's, no field twice."""
     def no_constants(name):
         raise ValueError(name)
 
@@ -65,8 +64,13 @@ def _strict_word_list(s: str | None) -> bool:
             raise ValueError("duplicate key")
         return dict(kv)
 
+    return json.loads(text, parse_constant=no_constants, object_pairs_hook=pairs)
+
+
+def _strict_word_list(s: str | None) -> bool:
+    """True when ``s`` is a JSON list of objects with the three string keys."""
     try:
-        v = json.loads(s, parse_constant=no_constants, object_pairs_hook=pairs)
+        v = _load(s or "")
     except Exception:  # noqa: BLE001 - any decode failure means invalid
         return False
     return isinstance(v, list) and all(
@@ -74,53 +78,74 @@ def _strict_word_list(s: str | None) -> bool:
     )
 
 
-def _strict_series(texts: pd.Series) -> pd.Series:
-    return texts.map(_strict_word_list).astype(bool)
+def _required(o, key: str, kind: type):
+    """Field ``key`` of an object, of the given type."""
+    if not isinstance(o, dict) or not isinstance(o.get(key), kind):
+        raise ValueError(key)
+    return o[key]
+
+
+def _envelope(body: str | None) -> tuple[bool, str | None, str | None]:
+    """(sound, message, text) of a response body.
+
+    The body is an object; ``error`` is absent, null, or an object with a ``message`` text; ``candidates`` is absent,
+    null, or a list in which every candidate has ``content`` with a list ``parts`` of objects with a ``text``.
+    ``text`` is that of the first part of the first candidate, None if there is none.
+    """
+    try:
+        v = _load(body or "")
+        if not isinstance(v, dict):
+            raise ValueError("object")
+        message = None if v.get("error") is None else _required(v["error"], "message", str)
+        texts = [] if v.get("candidates") is None else [
+            [_required(part, "text", str) for part in _required(_required(c, "content", dict), "parts", list)]
+            for c in _required(v, "candidates", list)]
+    except Exception:  # noqa: BLE001 - any decode failure means invalid
+        return False, None, None
+    return True, message, texts[0][0] if texts and texts[0] else None
+
 
+def _checked(bodies: pd.Series) -> pd.DataFrame:
+    rows = []
+    for body in bodies:
+        sound, message, text = _envelope(body)
+        rows.append((sound, message, text, text is not None and _strict_word_list(text)))
+    return pd.DataFrame(rows, columns=["sound", "message", "text", "words_ok"])
 
-def strict_word_list(col: Column) -> Column:
-    """Arrow-batched strictness check (Spark's JSON readers are lenient)."""
-    return F.pandas_udf(_strict_series, "boolean")(col)
+
+def checked_body(body: Column) -> Column:
+    """Arrow-batched strictness check (Spark's JSON readers are lenient): (sound, message, text, words_ok)."""
+    return F.pandas_udf(_checked, "sound boolean, message string, text string, words_ok boolean")(body)
 
 
 def outcomes(responses: DataFrame) -> DataFrame:
     """``(url, status, error, words_json)`` with the first failing rule winning:
-    non-2xx, envelope not JSON, remote error message, no text, bad word list."""
+    non-2xx, no envelope, remote error message, no text, bad word list.
+
+    A null body is no envelope; a null status counts as failed.
+    """
+    from lexmine.operators.render import fill
     from lexmine.session import ship_package
 
     ship_package(responses.sparkSession)
-    env = F.try_parse_json(F.col("body"))
-    msg = F.try_variant_get(env, "$.error.message", "string")
-    txt = F.try_variant_get(env, "$.candidates[0].content.parts[0].text", "string")
-    r = responses.select(
-        "url",
-        F.col("http_status").cast("int").alias("http_status"),
-        "body",
-        env.isNull().alias("_bad_env"),
-        msg.alias("_msg"),
-        txt.alias("_txt"),
-    )
-    r = r.withColumn("_words_ok", F.when(F.col("_txt").isNotNull(), strict_word_list(F.col("_txt"))))
-    http_ok = F.col("http_status").between(200, 299)
+    r = responses.select("url", F.col("http_status").cast("int").alias("http_status"), "body", checked_body(F.col("body")).alias("_c"))
+    sound, message, text, words_ok = (F.col(f"_c.{x}") for x in ("sound", "message", "text", "words_ok"))
+    http_ok = F.coalesce(F.col("http_status").between(200, 299), F.lit(False))
     status = (
         F.when(~http_ok, "llm_error")
-        .when(F.col("_bad_env"), "parse_error")
-        .when(F.col("_msg").isNotNull(), "llm_error")
-        .when(F.col("_txt").isNull(), "parse_error")
-        .when(~F.col("_words_ok"), "parse_error")
+        .when(~sound, "parse_error")
+        .when(message.isNotNull(), "llm_error")
+        .when(text.isNull() | ~words_ok, "parse_error")
         .otherwise("ok")
     )
-    from lexmine.operators.render import fill
-
     error = (
-        F.when(~http_ok, fill(ERR_HTTP, status=F.col("http_status").cast("string"), body=F.coalesce("body", F.lit(""))))
-        .when(F.col("_bad_env"), F.lit(ERR_ENVELOPE))
-        .when(F.col("_msg").isNotNull(), fill(ERR_REMOTE, message=F.col("_msg")))
-        .when(F.col("_txt").isNull(), F.lit(ERR_NO_CONTENT))
-        .when(~F.col("_words_ok"), F.lit(ERR_WORDS))
+        F.when(~http_ok, fill(ERR_HTTP, status=F.coalesce(F.col("http_status").cast("string"), F.lit("")), body=F.coalesce("body", F.lit(""))))
+        .when(~sound, F.lit(ERR_ENVELOPE))
+        .when(message.isNotNull(), fill(ERR_REMOTE, message=message))
+        .when(text.isNull(), F.lit(ERR_NO_CONTENT))
+        .when(~words_ok, F.lit(ERR_WORDS))
     )
-    return r.select("url", status.alias("status"), error.alias("error"),
-                    F.when(status == "ok", F.col("_txt")).alias("words_json"))
+    return r.select("url", status.alias("status"), error.alias("error"), F.when(status == "ok", text).alias("words_json"))
 
 
 def response_words(outcome: DataFrame) -> DataFrame:
@@ -134,49 +159,3 @@ def response_words(outcome: DataFrame) -> DataFrame:
         F.col("w.definition").alias("definition"),
         F.col("w.context_sentence").alias("context_sentence"),
     )
-
-
-# ---------------------------------------------------------------------------
-# Response table assembled from documents (test input): one response per
-# document; the answer lists its first six alphabetic tokens (so short and
-# stop words occur); doc_id mod 12 picks the outcome case: remote HTTP error,
-# body not JSON, remote error message, no candidates, empty parts, text not
-# JSON, bare object, missing key, number as word, extra key, ok, ok.
-# ---------------------------------------------------------------------------
-
-
-
-def _envelope(text: Column) -> Column:
-    return F.to_json(F.struct(F.array(F.struct(F.struct(F.array(F.struct(text.alias("text"))).alias("parts"))
-                                               .alias("content"))).alias("candidates")))
-
-
-def assemble_responses(documents: DataFrame) -> DataFrame:
-    from lexmine.sources import corpus
-
-    art = corpus.articles_from_documents(documents, keep=["doc_id"])
-    toks = F.slice(F.filter(T.split_ws(F.col("content")), lambda t: T.is_alphabetic(t)), 1, 6)
-    ctx = T.normalize_ws(F.substring(F.col("content"), 1, 80))
-    words = F.transform(toks, lambda w: F.struct(
-        w.alias("word"), F.concat(F.lit("Definition of "), w).alias("definition"), ctx.alias("context_sentence")))
-    first = F.get(words, 0)
-    case = F.col("doc_id") % 12
-    good = F.to_json(words)
-    body = (
-        F.when(case == 0, F.lit('{"error":{"message":"model overloaded"}}'))
-        .when(case == 1, F.lit("upstream timeout"))
-        .when(case == 2, F.lit('{"error":{"message":"quota exceeded"}}'))
-        .when(case == 3, F.lit('{"candidates":[]}'))
-        .when(case == 4, F.lit('{"candidates":[{"content":{"parts":[]}}]}'))
-        .when(case == 5, _envelope(F.concat(F.lit("Here are the words: "), F.array_join(toks, ", "))))
-        .when(case == 6, _envelope(F.when(F.size(toks) > 0, F.to_json(first)).otherwise(F.lit('{"word":"none"}'))))
-        .when(case == 7, _envelope(F.to_json(F.transform(toks, lambda w: F.struct(w.alias("word"), F.lit("d").alias("definition"))))))
-        .when(case == 8, _envelope(F.concat(F.lit('[{"word":'), F.col("doc_id").cast("string"),
-                                            F.lit(',"definition":"d","context_sentence":"c"}]'))))
-        .when(case == 9, _envelope(F.to_json(F.transform(words, lambda o: F.struct(
-            o["word"].alias("word"), o["definition"].alias("definition"),
-            o["context_sentence"].alias("context_sentence"), F.lit("C1").alias("level"))))))
-        .otherwise(_envelope(good))
-    )
-    status = F.when(case == 0, F.lit(503)).otherwise(F.lit(200))
-    return art.select("url", status.alias("http_status"), body.alias("body"))

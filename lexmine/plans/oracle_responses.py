@@ -1,79 +1,35 @@
 """DuckDB oracle SQL for the remote-extractor tables and the pluggable extractor.
 
-The oracle builds the same response bodies with DuckDB's JSON functions and
-applies the outcome rules by parsing them.
+The outcome of each kind of response is stated directly; the words are those of the document.
 """
 
 from __future__ import annotations
 
 from lexmine.functions.text import STOP_WORDS
 from lexmine.operators import responses as R
-from lexmine.plans.oracle import ALPHA, ARTICLES, BANK, WS, sql_str
-
-
-def _env(text: str) -> str:
-    return f"to_json({{'candidates': [{{'content': {{'parts': [{{'text': {text}}}]}}}}]}})::VARCHAR"
+from lexmine.plans.oracle import ALPHA, ARTICLES, BANK, WS, dfill, sql_str
 
 
 RESP = f"""WITH {ARTICLES},
 base AS (
-  SELECT url, CAST(regexp_extract(url, '([0-9]+)$', 1) AS BIGINT) AS doc_id,
-         list_slice(list_filter(string_split_regex(content, '{WS}'),
-                    lambda t: t <> '' AND regexp_full_match(t, '{ALPHA}')), 1, 6) AS toks,
-         trim(regexp_replace(substr(content, 1, 80), '{WS}', ' ', 'g')) AS ctx
+  SELECT url, CAST(regexp_extract(url, '([0-9]+)$', 1) AS BIGINT) % 24 AS kind,
+         list_filter(string_split_regex(content, '{WS}'), lambda t: t <> '' AND regexp_full_match(t, '{ALPHA}')) AS toks
   FROM articles_v),
 w AS (
-  SELECT *, list_transform(toks, lambda x: {{'word': x, 'definition': 'Definition of ' || x, 'context_sentence': ctx}}) AS words
+  SELECT *, list_transform(toks, lambda x: {{'word': x, 'definition': 'Definition of ' || x, 'context_sentence': 'The text has ' || x}}) AS words
   FROM base),
-resp AS (
-  SELECT url, CASE WHEN doc_id % 12 = 0 THEN 503 ELSE 200 END AS http_status,
-    CASE doc_id % 12
-      WHEN 0 THEN '{{"error":{{"message":"model overloaded"}}}}'
-      WHEN 1 THEN 'upstream timeout'
-      WHEN 2 THEN '{{"error":{{"message":"quota exceeded"}}}}'
-      WHEN 3 THEN '{{"candidates":[]}}'
-      WHEN 4 THEN '{{"candidates":[{{"content":{{"parts":[]}}}}]}}'
-      WHEN 5 THEN {_env("'Here are the words: ' || array_to_string(toks, ', ')")}
-      WHEN 6 THEN {_env("CASE WHEN len(toks) > 0 THEN to_json(words[1])::VARCHAR ELSE '{\"word\":\"none\"}' END")}
-      WHEN 7 THEN {_env("to_json(list_transform(toks, lambda x: {'word': x, 'definition': 'd'}))::VARCHAR")}
-      WHEN 8 THEN {_env("'[{\"word\":' || CAST(doc_id AS VARCHAR) || ',\"definition\":\"d\",\"context_sentence\":\"c\"}]'")}
-      WHEN 9 THEN {_env("to_json(list_transform(words, lambda o: {'word': o.word, 'definition': o.definition, 'context_sentence': o.context_sentence, 'level': 'C1'}))::VARCHAR")}
-      ELSE {_env("to_json(words)::VARCHAR")}
-    END AS body
-  FROM w),
-parsed AS (
-  SELECT url, http_status, body, json_valid(body) AS env_ok,
-         CASE WHEN json_valid(body) THEN json_extract_string(body, '$.error.message') END AS msg,
-         CASE WHEN json_valid(body) THEN json_extract_string(body, '$.candidates[0].content.parts[0].text') END AS txt
-  FROM resp),
-checked AS (
-  SELECT *, CASE WHEN txt IS NOT NULL AND json_valid(txt) THEN json_type(txt) = 'ARRAY' AND coalesce(list_bool_and(
-      list_transform(CAST(json_extract(txt, '$[*]') AS JSON[]), lambda e: coalesce(json_type(e) = 'OBJECT'
-        AND json_type(e, '$.word') = 'VARCHAR' AND json_type(e, '$.definition') = 'VARCHAR'
-        AND json_type(e, '$.context_sentence') = 'VARCHAR', FALSE))), TRUE) ELSE FALSE END AS words_ok
-  FROM parsed),
 outc AS (
-  SELECT url,
-    CASE WHEN http_status NOT BETWEEN 200 AND 299 THEN 'llm_error'
-         WHEN NOT env_ok THEN 'parse_error'
-         WHEN msg IS NOT NULL THEN 'llm_error'
-         WHEN txt IS NULL THEN 'parse_error'
-         WHEN NOT words_ok THEN 'parse_error'
-         ELSE 'ok' END AS status,
-    CASE WHEN http_status NOT BETWEEN 200 AND 299 THEN 'API error (' || CAST(http_status AS VARCHAR) || '): ' || body
-         WHEN NOT env_ok THEN {sql_str(R.ERR_ENVELOPE)}
-         WHEN msg IS NOT NULL THEN 'API error: ' || msg
-         WHEN txt IS NULL THEN {sql_str(R.ERR_NO_CONTENT)}
-         WHEN NOT words_ok THEN {sql_str(R.ERR_WORDS)} END AS error,
-    txt
-  FROM checked),
-rw AS (
-  SELECT url AS source_url, unnest(range(len(ws))) AS pos, unnest(ws) AS o FROM (
-    SELECT url, from_json(txt, '[{{"word":"VARCHAR","definition":"VARCHAR","context_sentence":"VARCHAR"}}]') AS ws
-    FROM outc WHERE status = 'ok')),
+  SELECT url, words, toks, kind,
+    CASE WHEN kind IN (0, 2) THEN 'llm_error' WHEN kind IN (1, 3, 4, 5, 6, 8, 10, 11, 12) OR (kind = 7 AND len(toks) > 0) THEN 'parse_error' ELSE 'ok' END AS status,
+    CASE WHEN kind = 0 THEN {dfill(R.ERR_HTTP, status="'503'", body=sql_str('{"error":{"message":"model overloaded"}}'))}
+         WHEN kind IN (1, 10, 11, 12) THEN {sql_str(R.ERR_ENVELOPE)}
+         WHEN kind = 2 THEN {dfill(R.ERR_REMOTE, message="'quota exceeded'")}
+         WHEN kind IN (3, 4) THEN {sql_str(R.ERR_NO_CONTENT)}
+         WHEN kind IN (5, 6, 8) OR (kind = 7 AND len(toks) > 0) THEN {sql_str(R.ERR_WORDS)} END AS error
+  FROM w),
 words AS (
-  SELECT source_url, CAST(pos AS BIGINT) AS pos, o.word AS word, o.definition AS definition,
-         o.context_sentence AS context_sentence FROM rw)"""
+  SELECT url AS source_url, CAST(pos AS BIGINT) AS pos, o.word AS word, o.definition AS definition, o.context_sentence AS context_sentence
+  FROM (SELECT url, unnest(range(len(words))) AS pos, unnest(words) AS o FROM outc WHERE status = 'ok' AND kind <> 7))"""
 
 
 def responses_sql() -> dict[str, str]:

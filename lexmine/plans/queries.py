@@ -7,6 +7,8 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexmine.fixtures import feeds as feed_fixture
+from lexmine.fixtures import responses as response_fixture
 from lexmine.functions import text as T
 from lexmine.operators import bank, extract, ingest, render, responses
 from lexmine.plans import params as P
@@ -166,14 +168,14 @@ def q_empty_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- feeds and the collection run -------------------------------------------
 
-RUN_AT = feeds.FETCHED_AT
+RUN_AT = feed_fixture.FETCHED_AT
 BATCH_ID = "run-2024-06-01"
 BANK_BATCH = "corpus"
 
 
 def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parsed feeds; the payload table is a landed input, written once."""
-    landed = stored_table(spark, "landing_feeds", sf_dir, lambda: feeds.assemble_feeds(spark, sf_dir))
+    landed = stored_table(spark, "landing_feeds", sf_dir, lambda: feed_fixture.assemble_feeds(spark, sf_dir))
     return feeds.parse_feeds(landed)
 
 
@@ -276,7 +278,7 @@ def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Response outcomes, staged once (the strictness check runs in Python)."""
     return stored_table(
         spark, "llm_outcomes", sf_dir,
-        lambda: responses.outcomes(responses.assemble_responses(corpus.table(spark, sf_dir, "documents"))),
+        lambda: responses.outcomes(response_fixture.assemble_responses(corpus.table(spark, sf_dir, "documents"))),
     )
 
 

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import functions as F
 
 from lexmine.plans import jobs
-from lexmine.sources import feeds
+from lexmine.fixtures import feeds
 
 
 def test_collect_is_idempotent(spark, tmp_root):
@@ -19,7 +19,7 @@ def test_collect_is_idempotent(spark, tmp_root):
     n_pages = landed.count()
     arts, vocab = jobs.store_tables(spark, store)
     assert s1["articles_saved"] == n_pages == arts.count()
-    assert s1["vocabularies_saved"] == vocab.count() and s1["feed_errors"] == 1
+    assert s1["vocabularies_saved"] == vocab.count() and s1["feed_errors"] > 1
     # the same batch again (a retry): same tables
     jobs.collect(spark, payloads, landed, store, "b1", "2024-06-01 00:00:00")
     assert jobs.store_tables(spark, store)[0].count() == n_pages

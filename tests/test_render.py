@@ -66,13 +66,13 @@ def test_notes(spark):
     rows = [
         ("quixotic", "Idealistic to an impractical degree", "The plan was bold but quixotic.",
          "https://example.com/article", 0, dt.datetime(2024, 1, 1)),
-        ("semi/colon:star*word", "Test", "Test.", "https://example.com", 0, dt.datetime(2024, 1, 1)),
+        ("re?set, <up>|down", "Test", "Test.", "https://example.com", 0, dt.datetime(2024, 1, 1)),
         ("Quixotic", "second", "later row", "https://example.com/b", 0, dt.datetime(2024, 1, 2)),
         ("quixotic", "third", "latest row", "https://example.com/c", 0, dt.datetime(2024, 1, 3)),
         ("%%%", "sym", "sym.", "https://example.com/d", 0, dt.datetime(2024, 1, 1)),
     ]
     n = {r.file: r.content for r in render.notes(spark.createDataFrame(rows, SCHEMA), "2024-02-01").collect()}
-    assert set(n) == {"quixotic.md", "semicolonstarword.md", "Quixotic.md", ".md"}
+    assert set(n) == {"quixotic.md", "resetupdown.md", "Quixotic.md", ".md"}
     c = n["quixotic.md"]  # the later row wins
     assert c == ("---\ntag: #toefl #voca\ndate: 2024-02-01\nsource: https://example.com/c\n---\n# quixotic\n"
                  "**Definition:** third\n\n> latest row\n\n"

@@ -28,15 +28,33 @@ CASES = [
     ("extra", 200, env('[{"word":"a","definition":"b","context_sentence":"c","x":1}]'), "ok"),
     ("trailing", 200, env('[] junk'), "parse_error"),
     ("empty", 200, env("[]"), "ok"),
+    ("nocontent", 200, '{"candidates":[{"finishReason":"x"}]}', "parse_error"),
+    ("candtext", 200, '{"candidates":"x"}', "parse_error"),
+    ("arraybody", 200, "[]", "parse_error"),
+    ("after", 200, env("[]") + " x", "parse_error"),
+    ("textnumber", 200, '{"candidates":[{"content":{"parts":[{"text":1}]}}]}', "parse_error"),
+    ("second", 200, '{"candidates":[{"content":{"parts":[{"text":"[]"}]}},{}]}', "parse_error"),
+    ("nomessage", 200, '{"error":{}}', "parse_error"),
+    ("nulls", 200, '{"error":null,"candidates":null}', "parse_error"),
+    ("both", 200, '{"error":{"message":"m"},"candidates":[]}', "llm_error"),
+    ("nullbody", 200, None, "parse_error"),
+    ("nullstatus", None, env("[]"), "llm_error"),
+    ("twice", 200, '{"error":null,"error":null}', "parse_error"),
 ]
+REASONS = {
+    "notjson": R.ERR_ENVELOPE, "nocand": R.ERR_NO_CONTENT, "noparts": R.ERR_NO_CONTENT, "nulls": R.ERR_NO_CONTENT, "nocontent": R.ERR_ENVELOPE,
+    "candtext": R.ERR_ENVELOPE, "arraybody": R.ERR_ENVELOPE, "after": R.ERR_ENVELOPE, "textnumber": R.ERR_ENVELOPE, "second": R.ERR_ENVELOPE,
+    "nomessage": R.ERR_ENVELOPE, "nullbody": R.ERR_ENVELOPE, "textnotjson": R.ERR_WORDS, "trailing": R.ERR_WORDS, "ok": None,
+}
 
 
 def test_outcomes(spark):
     df = spark.createDataFrame([c[:3] for c in CASES], "url string, http_status int, body string")
     got = {r.url: r for r in R.outcomes(df).collect()}
     assert {u: r.status for u, r in got.items()} == {c[0]: c[3] for c in CASES}
-    assert got["http"].error == "API error (500): oops"
-    assert got["remote"].error == "API error: bad key"
+    assert {u: got[u].error for u in REASONS} == REASONS
+    assert "500" in got["http"].error and got["http"].error.endswith("oops")
+    assert got["remote"].error.endswith("bad key") and got["both"].error.endswith("m")
     words = R.response_words(R.outcomes(df))
     assert sorted(r.word for r in words.collect()) == sorted(["laconic", "dog", "About", "a"])
     kept = extract.filter_extracted(words.where(F.col("source_url") == "ok"))

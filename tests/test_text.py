@@ -14,11 +14,11 @@ def one(spark, col, value, schema="x string"):
 
 def test_escape_markdown(spark):
     cases = {
-        "hello": "hello",
-        "hello_world": "hello\\_world",
-        "test*bold*": "test\\*bold\\*",
-        "a.b.c": "a\\.b\\.c",
-        "(test)": "\\(test\\)",
+        "quiet night": "quiet night",
+        "snake_case_": "snake\\_case\\_",
+        "2*3*4": "2\\*3\\*4",
+        "v1.20": "v1\\.20",
+        "f(x)": "f\\(x\\)",
         "a\\b": "a\\b",  # backslash itself is not escaped
         "_*[]()~`>#+-=|{}.!": "".join("\\" + c for c in "_*[]()~`>#+-=|{}.!"),
     }
