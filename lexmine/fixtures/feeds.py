@@ -54,7 +54,7 @@ def _ordered(entries: Column, order: Column) -> Column:
 
 
 def assemble_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(feed_url, payload, fetched_at)`` built from ``pages`` and ``documents``.
+    """``(feed_pos, feed_url, payload, fetched_at)`` built from ``pages`` and ``documents``.
 
     * RSS 2.0 per site and block of page ids (``pubDate`` omitted for German pages),
     * Atom per language and block (only ``updated`` for Spanish pages),
@@ -129,4 +129,14 @@ def assemble_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = F.concat(F.lit(b"\xef\xbb\xbf"), F.col("payload").cast("binary"))
     landed = F.when(odd, F.encode(wide, "UTF-16")).when(F.col("payload").startswith("{"), marked).otherwise(F.col("payload").cast("binary"))
     every = rss.unionByName(halves).unionByName(atom).unionByName(js).unionByName(extra)
-    return every.select("feed_url", landed.alias("payload"), fetched.alias("fetched_at"))
+    # the place in the subscription list: any order that is not the URL's
+    place = F.conv(F.substring(F.md5("feed_url"), 1, 8), 16, 10).cast("long")
+    return every.select(place.alias("feed_pos"), "feed_url", landed.alias("payload"), fetched.alias("fetched_at"))
+
+
+def fetch_attempts(pages: DataFrame) -> DataFrame:
+    """``(url, attempt, ok)``: of every fifth page the first fetch failed and the second worked, of every eleventh all three failed."""
+    number = F.explode(F.array(*[F.lit(k) for k in (1, 2, 3)]))
+    n = F.col("page_id")
+    return pages.select("url", "page_id", number.alias("attempt")).select(
+        "url", "attempt", ((n % 11 != 0) & F.when(n % 5 == 0, F.col("attempt") >= 2).otherwise(True)).alias("ok"))

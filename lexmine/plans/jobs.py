@@ -19,7 +19,7 @@ from pyspark.errors import AnalysisException
 
 from lexmine.operators import ingest, render
 from lexmine.sinks import notes as note_sink
-from lexmine.sources import feeds, pages
+from lexmine.sources import feeds
 
 ARTICLE_SCHEMA = (
     "url string, title string, content string, source string, published_at timestamp, "
@@ -56,11 +56,13 @@ def collect(
     run_at: str,
     extractor=None,
     rate_per_sec: float | None = None,
+    attempts: DataFrame | None = None,
 ) -> DataFrame:
     """One collection run; returns its statistics row.
 
     ``feed_payloads``: ``(feed_url, payload, fetched_at)`` in run order of
-    ``feed_url``; ``landed_pages``: ``(page_id, url, html)`` fetched for the run.
+    ``feed_pos`` where given, else of ``feed_url``; ``landed_pages``: ``(page_id, url, html)`` fetched for the run;
+    ``attempts``: optional ``(url, attempt, ok)`` of its fetches.
     ``extractor``: optional ``fn(text) -> [{word, definition, context_sentence}]``
     (default: the offline extractor); its failures keep the article and
     count as ``llm_errors``.
@@ -69,13 +71,12 @@ def collect(
     known = arts.where(F.col("batch_id") != batch_id).select("url")
     parsed = feeds.parse_feeds(feed_payloads)
     items = feeds.feed_items(parsed)
-    status = ingest.item_status(items, known, landed_pages)
-    texts = pages.page_text(landed_pages)
+    status = ingest.item_status(items, known, landed_pages, attempts)
     staging_path = f"{store}/_staging" if extractor is None else f"{store}/_staging_custom"
     staged = (
-        ingest.stage(status, texts, run_at)
+        ingest.stage(status, landed_pages, run_at)
         if extractor is None
-        else ingest.stage_with(status, texts, run_at, extractor, rate_per_sec)
+        else ingest.stage_with(status, landed_pages, run_at, extractor, rate_per_sec)
     )
     _write_own_partition(staged.withColumn("batch_id", F.lit(batch_id)), staging_path)
     staging = spark.read.parquet(staging_path).where(F.col("batch_id") == batch_id)

@@ -52,8 +52,8 @@ def test_stage_stats_and_rerun(spark):
     it = items(spark, [("f", 0, "p1"), ("f", 1, "p2"), ("g", 0, "p1")])
     stored = spark.createDataFrame([], "url string")
     landed = spark.createDataFrame([("p1",), ("p2",)], "url string")
-    texts = spark.createDataFrame([("p1", "Remarkable archaeological excavations"), ("p2", "")],
-                                  "url string, text string")
+    texts = spark.createDataFrame([(1, "p1", "<p>Remarkable archaeological excavations"), (2, "p2", "")],
+                                  "page_id bigint, url string, html string")
     status = ingest.item_status(it, stored, landed)
     st = ingest.stage(status, texts, "2024-06-01 00:00:00")
     assert sorted(r.url for r in st.collect()) == ["p1", "p2"]
