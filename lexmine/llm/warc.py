@@ -207,8 +207,16 @@ def write_archives(pages: DataFrame, folder: str, p: Params = Params()) -> DataF
     return staged(src.mapInPandas(run, "path string, records long"), "warc-manifest")
 
 
-def read_archives(spark: SparkSession, folder: str, payloads: bool = False) -> DataFrame:
-    """Every record of the archives in ``folder``; with ``payloads`` also the payload bytes of responses."""
+#: Archive names up to this many are broadcast against the folder's files.
+BROADCAST_NAMES = 500_000
+
+
+def read_archives(spark: SparkSession, folder: str, payloads: bool = False, manifest: DataFrame | None = None) -> DataFrame:
+    """Every record of the archives in ``folder``; with ``payloads`` also the payload bytes of responses.
+
+    With a ``manifest`` from :func:`write_archives`, of its archives alone: a file that an attempt left behind which
+    did not end is not read.
+    """
     prepare(spark)
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
     names = [x.split()[0] for x in schema.split(", ")] + ["payload"]
@@ -229,17 +237,23 @@ def read_archives(spark: SparkSession, folder: str, payloads: bool = False) -> D
         f = pd.DataFrame(rows, columns=names[: 5 + payloads], dtype=object)
         return f.assign(page_id=f["page_id"].astype("Int64"), refers_to=f["refers_to"].astype("Int64"), payload_bytes=f["payload_bytes"].astype("int64"))
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("content")
-    return files.mapInPandas(run, schema + (", payload binary" if payloads else ""))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("path", "content")
+    if manifest is not None:
+        name = F.substring_index("path", "/", -1)
+        listed = manifest.select(name.alias("__name")).distinct()
+        listed = F.broadcast(listed) if listed.count() <= BROADCAST_NAMES else listed
+        files = files.join(listed, name == F.col("__name"), "left_semi")
+    return files.select("content").mapInPandas(run, schema + (", payload binary" if payloads else ""))
 
 
 def round_trip(pages: DataFrame, p: Params = Params()) -> DataFrame:
     """Write every page, read the archives back."""
     spark = pages.sparkSession
     folder = shared_folder(spark, "warc")
-    if not write_archives(pages, folder, p).take(1):
+    manifest = write_archives(pages, folder, p)
+    if not manifest.take(1):
         return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
-    return read_archives(spark, folder)
+    return read_archives(spark, folder, manifest=manifest)
 
 
 def op9_warc_zstd(spark, sf_dir: str) -> DataFrame:

@@ -255,3 +255,16 @@ def test_ids_are_those_of_the_untouched_tokenizer():
     for e in (packing.Encoder(path("byte_bpe_50k.json")), packing.Encoder(path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"))):
         for text in ["x <|endoftext|> y", "<|endoftext|>", "a<|endoftext|><|endoftext|>\n", "<|endoftext |>", "<|ENDOFTEXT|> é", "plain"]:
             assert list(e.ids(text)) == plain.encode(text, add_special_tokens=False).ids
+
+
+def test_archives_of_a_lost_attempt_are_not_read(spark, tmp_root):
+    import shutil
+
+    folder = f"{tmp_root}/warc-retry"
+    docs = spark.createDataFrame([(i, f"u{i}", f"<p>{i}</p>") for i in range(6)], "page_id long, url string, html string").coalesce(1)
+    manifest = warc.write_archives(docs, folder)
+    (path,) = [r.path for r in manifest.collect()]
+    local = path.removeprefix("file:")
+    shutil.copy(local, local.replace("-00000.warc", "-00001.warc"))  # what an attempt that ended early leaves
+    assert warc.read_archives(spark, folder).count() == 12
+    assert sorted(r.page_id for r in warc.read_archives(spark, folder, manifest=manifest).collect()) == list(range(6))
