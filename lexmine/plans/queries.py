@@ -15,6 +15,7 @@ from lexmine.plans import params as P
 from lexmine.plans import tables
 from lexmine.session import literal_column, stored_table, table_path
 from lexmine.streaming import ingest as stream_ingest
+from lexmine.streaming.daily import CountLog
 from lexmine.sources import corpus, feeds, pages
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -345,4 +346,4 @@ def q_stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables.vocab(spark, sf_dir)
     vocab_path = table_path(spark, "vocab", sf_dir)
     out = stream_ingest.daily_word_counts(spark, vocab_path, table_path(spark, "stream_daily", sf_dir))
-    return spark.read.parquet(out)
+    return CountLog(spark, out).counts()

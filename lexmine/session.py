@@ -88,10 +88,15 @@ def literal_column(spark: SparkSession, values, name: str, dtype: str = "string"
     return spark.range(1).select(F.explode(arr).alias(name))
 
 
+def file_system(spark: SparkSession, name: str):
+    """(file system, path) of a name in any store that Spark reads."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), path
+
+
 def input_state(spark: SparkSession, folder: str) -> str:
     """Hash of the names, sizes and times of all files under ``folder`` (any store that Spark reads)."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    fs, path = file_system(spark, folder)
     found = []
     if fs.exists(path):
         files = fs.listFiles(path, True)

@@ -22,6 +22,7 @@ from lexmine.functions import html as H
 from lexmine.operators import ingest
 from lexmine.functions import text as T
 from lexmine.sources import corpus, pages
+from lexmine.streaming.daily import CountLog
 
 PAGE_SCHEMA = "page_id bigint, url string, html string"
 ITEM_SCHEMA = "feed_url string, item_pos bigint, url string, title string, published_at timestamp"
@@ -137,24 +138,18 @@ def dedup_urls(spark: SparkSession, landing: str, root: str) -> str:
 def daily_word_counts(
     spark: SparkSession, vocab_landing: str, root: str, delay: str = "30 days", max_files_per_trigger: int | None = None
 ) -> str:
-    """Words per collection day; each micro-batch upserts the days it changed.
+    """Words per collection day; each micro-batch publishes the days it changed.  Returns the folder of the log
+    (:class:`lexmine.streaming.daily.CountLog`).
 
     Rows that arrive behind the watermark (latest ``collected_at`` seen minus
     ``delay``; Spark applies it to late rows with one micro-batch of lag)
     are dropped.
     """
     out = f"{root}/daily_counts"
-    schema = "day date, words bigint"
 
-    def upsert(batch: DataFrame, batch_id: int) -> None:
-        bs = batch.sparkSession
-        upd = batch.select(F.to_date(F.col("window.start")).alias("day"), F.col("count").alias("words"))
-        old = _read_or_empty(bs, out, schema)
-        merged = old.join(upd.select("day"), "day", "left_anti").unionByName(upd)
-        # write a new version next to the old one, then switch by name
-        tmp = f"{out}_v{batch_id}"
-        merged.write.mode("overwrite").parquet(tmp)
-        bs.read.parquet(tmp).write.mode("overwrite").parquet(out)
+    def publish(batch: DataFrame, batch_id: int) -> None:
+        changed = batch.select(F.to_date(F.col("window.start")).alias("day"), F.col("count").alias("words"))
+        CountLog(batch.sparkSession, out).append(changed, batch_id)
 
     reader = spark.readStream.schema(VOCAB_SCHEMA)
     if max_files_per_trigger:
@@ -165,7 +160,7 @@ def daily_word_counts(
         .groupBy(F.window("collected_at", "1 day"))
         .count()
         .writeStream.outputMode("update")
-        .foreachBatch(upsert)
+        .foreachBatch(publish)
         .option("checkpointLocation", f"{root}/_checkpoint_daily")
         .trigger(availableNow=True)
         .start()

@@ -4,6 +4,7 @@ import os
 
 from lexmine.sources import pages
 from lexmine.streaming import ingest as S
+from lexmine.streaming.daily import CountLog
 
 
 def test_stream_equals_batch(spark, tmp_root):
@@ -38,7 +39,7 @@ def test_stream_dedup_and_daily_counts(spark, tmp_root):
     vl = os.path.join(tmp_root, "vocab")
     spark.createDataFrame(vocab, S.VOCAB_SCHEMA).repartition(2).write.mode("overwrite").parquet(vl)
     counts = S.daily_word_counts(spark, vl, os.path.join(tmp_root, "daily"))
-    got = {r.day: r.words for r in spark.read.parquet(counts).collect()}
+    got = {r.day: r.words for r in CountLog(spark, counts).counts().collect()}
     want = {r.day: r.n for r in spark.read.parquet(vl).groupBy(F.to_date("collected_at").alias("day"))
             .agg(F.count(F.lit(1)).alias("n")).collect()}
     assert got == want
@@ -60,6 +61,55 @@ def test_daily_counts_drop_rows_behind_the_watermark(spark, tmp_root):
         time.sleep(1.1)
     out = S.daily_word_counts(spark, landing, os.path.join(tmp_root, "late_daily"), delay="30 days",
                               max_files_per_trigger=1)
-    got = {str(r.day): r.words for r in spark.read.parquet(out).collect()}
+    got = {str(r.day): r.words for r in CountLog(spark, out).counts().collect()}
     # 2024-01-01 is more than 30 days behind 2024-03-10: dropped; 2024-03-01 is within it
     assert got == {"2024-03-10": 4, "2024-03-09": 1, "2024-03-01": 1}
+
+
+def test_killed_before_publishing_loses_no_day(spark, tmp_root, monkeypatch):
+    import datetime as dt
+    import time
+
+    import pytest
+
+    landing, root = os.path.join(tmp_root, "killed_vocab"), os.path.join(tmp_root, "killed_daily")
+    for k in range(3):
+        rows = [(f"s{k}{i}", 0, "w", "d", "c", dt.datetime(2024, 5, 1 + (k + i) % 4, i)) for i in range(8)]
+        spark.createDataFrame(rows, S.VOCAB_SCHEMA).coalesce(1).write.mode("append").parquet(landing)
+        time.sleep(1.1)
+    publish = CountLog._publish
+
+    def dies(self, kind, number):
+        if number == 1:
+            raise RuntimeError("killed between write and publish")
+        publish(self, kind, number)
+
+    monkeypatch.setattr(CountLog, "_publish", dies)
+    with pytest.raises(Exception, match="killed"):
+        S.daily_word_counts(spark, landing, root, max_files_per_trigger=1)
+    log = CountLog(spark, f"{root}/daily_counts")
+    assert log.version() == 0 and sum(r.words for r in log.counts().collect()) == 8  # the first batch as it was
+    monkeypatch.undo()
+    for _ in range(2):  # the run goes on, then again with nothing new
+        S.daily_word_counts(spark, landing, root, max_files_per_trigger=1)
+        assert {str(r.day): r.words for r in log.counts().collect()} == {f"2024-05-0{d}": 6 for d in (1, 2, 3, 4)}
+
+
+def test_log_versions_and_snapshots(spark, tmp_root):
+    import datetime as dt
+
+    log = CountLog(spark, os.path.join(tmp_root, "log"), compact=2)
+    assert log.counts().collect() == [] and log.version() is None
+    want = {}
+    for batch in range(7):
+        changed = {dt.date(2024, 1, 1 + (batch * k) % 5): 10 * batch + k for k in range(3)}
+        want.update(changed)
+        df = spark.createDataFrame(list(changed.items()), "day date, words bigint")
+        log.append(df, batch)
+        log.append(df, batch)  # a replay
+        assert {r.day: r.words for r in log.counts().collect()} == want and log.version() == batch
+    left = sorted(n for n in os.listdir(os.path.join(tmp_root, "log", "log")) if n.startswith("batch_id="))
+    assert left == ["batch_id=4", "batch_id=5", "batch_id=6"] and len(os.listdir(os.path.join(tmp_root, "log", "snapshots"))) <= 4
+    # rows written but not published are not read
+    spark.createDataFrame([(dt.date(2030, 1, 1), 1, 9)], "day date, words bigint, batch_id bigint").write.mode("append").partitionBy("batch_id").parquet(log.root + "/log")
+    assert {r.day: r.words for r in log.counts().collect()} == want
