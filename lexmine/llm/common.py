@@ -33,11 +33,16 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Make the package importable on executors and the shared folder known; bound Python batches by bytes."""
+    """Make the package importable on executors and the shared folder known; bound Python batches.
+
+    Shuffle files go when the query that wrote them ends: every intermediate is a written table, so no later query
+    reads them, and without this they stay until the driver's next garbage collection.
+    """
     shared_dir(spark)
     ship_package(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == 10_000:  # the default: rows of any size
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1_000)
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
 def discard(*tables: DataFrame) -> None:

@@ -36,7 +36,7 @@ import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lexmine.llm.common import documents, prepare, staged
+from lexmine.llm.common import discard, documents, prepare, staged
 
 LAST = (1 << 63) - 1
 
@@ -221,7 +221,8 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(
             F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        edges = staged(small.where("u != v").distinct(), "cc")
+        older, edges = edges, staged(small.where("u != v").distinct(), "cc")
+        discard(older)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             return edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "sh")
@@ -231,13 +232,17 @@ def components(links: DataFrame) -> DataFrame:
 def linked(docs: DataFrame, p: Params, row: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The rows as :func:`indexed` gives them, the classes with a set (sh, doc_id, n, cells), and (sh, root) of linked classes."""
     prepare(docs.sparkSession)
-    base = staged(indexed(docs, p, row), "jaccard-index")
-    keys = base.select("sh", F.explode("keys").alias("k")).select("sh", "k.band", "k.spare", F.explode("k.sigs").alias("sig"))
+    index = staged(indexed(docs, p, row), "jaccard-index")
+    base = staged(index.drop("keys"), "jaccard-sets")
+    keys = index.select("sh", F.explode("keys").alias("k")).select("sh", "k.band", "k.spare", F.explode("k.sigs").alias("sig"))
     buckets = keys.groupBy("sig").agg(F.count("*").alias("c"), F.min("sh").alias("lo"), F.max("sh").alias("hi")).where("lo < hi")
+    buckets = staged(buckets, "jaccard-buckets")
     live = staged(keys.join(buckets, "sig").distinct(), "jaccard-live")
+    discard(index, buckets)
     costly = live.where(F.col("c") > p.hot).groupBy("sh", "band").agg(F.count("*").alias("k"))
     kept = live.join(costly, ["sh", "band"], "left").where((F.col("c") <= p.hot) | (F.col("k") > F.col("spare"))).select("sh", "sig", "lo", "hi")
     kept = staged(kept, "jaccard-kept")
+    discard(live)
 
     sizes = base.where("n > 0").groupBy("sh").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.first("cells").alias("cells"))
     sizes = staged(sizes, "jaccard-classes")
@@ -257,7 +262,9 @@ def linked(docs: DataFrame, p: Params, row: Column | None = None) -> tuple[DataF
     more = staged(near_sizes(more, sizes, p), "jaccard-more")
     late = staged(verified(more, texts, p), "jaccard-late")
     chain = roots.select(F.col("sh").alias("a"), F.col("root").alias("b"))
-    return base, sizes, staged(components(chain.union(late)), "jaccard-roots2")
+    last = staged(components(chain.union(late)), "jaccard-roots2")
+    discard(kept, star, texts, links, roots, rest, more, late)
+    return base, sizes, last
 
 
 def classes(docs: DataFrame, p: Params = Params()) -> DataFrame:
