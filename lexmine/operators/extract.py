@@ -3,6 +3,7 @@ post-filter of extracted words."""
 
 from __future__ import annotations
 
+import re
 from typing import Callable, Iterator
 
 import pandas as pd
@@ -46,6 +47,18 @@ EXTRACT_SCHEMA = (
 EXTRACT_SCHEMA_COLS = [c.split()[0] for c in EXTRACT_SCHEMA.split(", ")]
 
 
+def _text(value) -> str:
+    """A field of an extracted word; anything but text rejects the article's answer."""
+    if not isinstance(value, str):
+        raise TypeError(f"{type(value).__name__} in place of text")
+    return value
+
+
+def _kept(word: str) -> bool:
+    """The post-filter of :func:`filter_extracted`."""
+    return len(word.encode("utf-8", "surrogatepass")) > T.FILTER_MIN_BYTES and word.lower() not in T.STOP_WORDS
+
+
 def extract_with(
     articles: DataFrame,
     fn: Callable[[str], list[dict]],
@@ -59,8 +72,8 @@ def extract_with(
     Runs with ``mapInPandas`` so any client is opened once per task
     (``setup()``; ``fn`` then gets it as a second argument), and never raises: a failing article yields one row with
     ``status='llm_error'`` and no word, so the article is still kept.  The
-    result is filtered like the remote extractor's output and carries the
-    article URL.  ``rate_per_sec`` caps calls per task (a remote quota).
+    words are filtered like the remote extractor's output and carry the
+    article URL; an article of which no word is left has one row without a word.  ``rate_per_sec`` caps calls per task (a remote quota).
     Persist the result before use; extractors may be costly and
     non-deterministic.
     """
@@ -85,24 +98,24 @@ def extract_with(
                 try:
                     words = fn(text or "") if ctx is None else fn(text or "", ctx)
                     # all or nothing per article: a malformed entry rejects the response
-                    rows = [(url, i, w["word"], w["definition"], w["context_sentence"], "ok", None)
-                            for i, w in enumerate(words)]
+                    checked = [tuple(_text(w[k]) for k in ("word", "definition", "context_sentence")) for w in words]
+                    rows = [(url, i, *w, "ok", None) for i, w in enumerate(checked) if _kept(w[0])]
+                    # an article without a kept word keeps one row
                     out.extend(rows or [(url, None, None, None, None, "ok", None)])
                 except Exception as e:  # noqa: BLE001 - failure becomes a status row
                     out.append((url, None, None, None, None, "llm_error", f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(out, columns=EXTRACT_SCHEMA_COLS)
 
-    res = articles.select(F.col(url_col).alias(url_col), F.col(text_col).alias(text_col)).mapInPandas(
-        run, EXTRACT_SCHEMA
-    )
-    keep = F.col("word").isNull() | T.keep_extracted_word(F.col("word"))
-    return res.where(keep)
+    return articles.select(F.col(url_col).alias(url_col), F.col(text_col).alias(text_col)).mapInPandas(run, EXTRACT_SCHEMA)
+
+
+#: Unicode White_Space (``str.split`` also splits on \x1c to \x1f).
+WHITE_SPACE = re.compile("[\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
 def sample_extractor(text: str) -> list[dict]:
     """Example user extractor (plain Python): the offline rule, word by word."""
-    from lexmine.functions.html import _WS as ws
-    picked = [t for t in ws.split(text or "") if len(t.encode()) > T.SAMPLE_MIN_BYTES and t.isalpha()]
+    picked = [t for t in WHITE_SPACE.split(text or "") if len(t.encode()) > T.SAMPLE_MIN_BYTES and t.isalpha()]
     return [
         {"word": w, "definition": T.MOCK_DEFINITION.format(w=w), "context_sentence": T.MOCK_CONTEXT.format(w=w)}
         for w in (t.lower() for t in picked[: T.SAMPLE_MAX_WORDS])

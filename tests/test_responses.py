@@ -79,3 +79,17 @@ def test_custom_extractor_keeps_failing_articles(spark):
     df = spark.createDataFrame([("a", "fine"), ("b", "boom")], "url string, content string")
     rows = {(r.source_url, r.word, r.status) for r in extract.extract_with(df, flaky).collect()}
     assert rows == {("a", "laconic", "ok"), ("b", None, "llm_error")}
+
+
+def test_custom_extractor_keeps_a_row_of_every_article(spark):
+    answers = {
+        "number": [{"word": 7, "definition": "d", "context_sentence": "c"}],
+        "null": [{"word": None, "definition": "d", "context_sentence": "c"}],
+        "filtered": [{"word": "the", "definition": "d", "context_sentence": "c"}, {"word": "cat", "definition": "d", "context_sentence": "c"}],
+        "mixed": [{"word": "the", "definition": "d", "context_sentence": "c"}, {"word": "laconic", "definition": "d", "context_sentence": "c"}],
+        "none": [], "no key": [{"word": "laconic"}], "no list": None,
+    }
+    df = spark.createDataFrame([(k, k) for k in answers], "url string, content string")
+    rows = {(r.source_url, r.pos, r.word, r.status) for r in extract.extract_with(df, answers.get).collect()}
+    bad = {(k, None, None, "llm_error") for k in ("number", "null", "no key", "no list")}
+    assert rows == bad | {("filtered", None, None, "ok"), ("none", None, None, "ok"), ("mixed", 1, "laconic", "ok")}
