@@ -9,9 +9,13 @@ Sets of hashed word shingles are joined at ``100 * |a & b| >= percent * |a | b|`
   sum of ``t_i + 1`` exceeds H, linked sets agree within ``t_i`` on some segment.  ``t_i`` is 0 (the segment
   subset is the key) or 1 (the subset and its one-deletion neighbourhood are keys); :func:`allocate`
   chooses by cost: keys written plus the expected false matches of narrow segments.
-* A band holds ``spare`` more segments than needed.  Keys that more than ``hot`` rows hold are costly; a set
-  with at most ``spare`` of them leaves them out.  Two linked sets agree on more than ``spare`` segments, so
-  if both leave out keys they still share one; if both hold more, both keep theirs.  Nothing is lost.
+* In a band of plain segments a set writes the first ``reach + 1 + spare`` of them, where ``reach`` bounds its
+  difference from any partner in that band (:func:`reach`): both sets of a linked pair write at least as many as
+  their own difference calls for, so they agree on more than ``spare`` segments that both wrote.
+* Keys that more than ``hot`` classes hold are costly and left out.  Two linked sets that share no other key hold
+  more than ``spare`` costly ones each.  Such sets, and they alone, are keyed once more by segments of twice the
+  width with one-deletion neighbourhoods (:func:`neighbourhoods`), which a shared passage seldom fills.  Nothing
+  is lost: a linked pair meets on a cheap key or both its sets are keyed again.
 * Candidates are first taken as stars (each set against the smallest and the largest of its bucket); after
   verification, only pairs of one bucket that lie in different components are verified as well.  Histograms
   of 256 cells, whose steps bound the difference from below, drop pairs that cannot link without their texts.
@@ -43,7 +47,7 @@ LAST = (1 << 63) - 1
 
 @dataclass(frozen=True)
 class Params:
-    """``words`` a shingle, ``percent`` similarity, ``hot`` rows from which a key is costly."""
+    """``words`` a shingle, ``percent`` similarity, ``hot`` classes beyond which a key is costly."""
 
     words: int = 4
     percent: int = 85
@@ -123,22 +127,54 @@ def shingles(text: str | None, k: int) -> np.ndarray:
     return np.unique(acc)
 
 
-def signatures(tokens: np.ndarray, b: Band) -> np.ndarray:
-    """Keys of a set in a band: a commutative sum hash per segment subset, and less one token where allowed."""
+def reach(n: int, b: Band, p: Params) -> int:
+    """Largest difference of a set of ``n`` shingles from a linked set, the larger of the two in band ``b``."""
+    return (n + min(n * 100 // p.percent, b.high)) * (100 - p.percent) // (100 + p.percent)
+
+
+def segments(tokens: np.ndarray, seed: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(segment of each token, hash of each token, commutative sum hash of each of ``m`` segments)."""
+    seg = (((mix(tokens ^ np.uint64(seed)) >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)).astype(np.int64)
+    part = mix(tokens + np.uint64(0xA0761D6478BD642F))
+    total = np.zeros(m, np.uint64)
+    np.add.at(total, seg, part)
+    return seg, part, total
+
+
+def signatures(tokens: np.ndarray, b: Band, p: Params) -> np.ndarray:
+    """Keys of a set in a band: a hash per segment subset, and less one token where allowed."""
     m = b.ones + b.zeros
     if not m:
         return np.zeros(0, np.int64)
-    seg = ((mix(tokens ^ np.uint64(b.number * 2 + 1)) >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
-    part = mix(tokens + np.uint64(0xA0761D6478BD642F))
-    total = np.zeros(m, np.uint64)
-    np.add.at(total, seg.astype(np.int64), part)
+    seg, part, total = segments(tokens, b.number * 2 + 1, m)
     tag = mix(np.arange(m, dtype=np.uint64) + np.uint64(b.number << 32))
-    out = [mix(total + tag)]
+    if not b.ones:
+        take = reach(len(tokens), b, p) + 1 + b.spare
+        return np.unique(mix(total[:take] + tag[:take])).view(np.int64)
     near = seg < b.ones
-    if near.any():
-        s = seg[near].astype(np.int64)
-        out.append(mix(total[s] - part[near] + tag[s]))
-    return np.unique(np.concatenate(out)).view(np.int64)
+    s = seg[near]
+    return np.unique(np.concatenate([mix(total + tag), mix(total[s] - part[near] + tag[s])])).view(np.int64)
+
+
+def neighbourhoods(tokens: np.ndarray, b: Band, p: Params) -> np.ndarray:
+    """Keys of a set by segments that all allow one difference: each subset, and each less one token.
+
+    Linked sets are within one token on more than ``spare`` of the segments that both write.  Where both are, they
+    share a key that holds a token unless both have under two tokens there; a set with at most ``spare`` such thin
+    segments leaves the keys without a token out.
+    """
+    h = 2 * b.high * (100 - p.percent) // (100 + p.percent)
+    spare = 1 + h // 16
+    m = h // 2 + 1 + spare
+    seg, part, total = segments(tokens, (1 << 40) + b.number, m)
+    take = reach(len(tokens), b, p) // 2 + 1 + spare
+    tag = mix(np.arange(m, dtype=np.uint64) + np.uint64((1 << 52) + (b.number << 32)))
+    size = np.bincount(seg, minlength=m)[:take]
+    thin = (size < 2).sum() <= spare
+    whole = np.arange(take)[size > 0] if thin else np.arange(take)
+    less = (seg < take) & ((np.bincount(seg, minlength=m)[seg] > 1) | (not thin))
+    s = seg[less]
+    return np.unique(np.concatenate([mix(total[whole] + tag[whole]), mix(total[s] - part[less] + tag[s])])).view(np.int64)
 
 
 def histogram(tokens: np.ndarray) -> bytes:
@@ -163,7 +199,7 @@ def indexed(docs: DataFrame, p: Params, row: Column | None = None) -> DataFrame:
                 sh.append(xxhash.xxh3_64_intdigest(t.tobytes()) - (1 << 63) if len(t) else 0)
                 cells.append(histogram(t))
                 own = band_of(len(t), p) if len(t) else 0
-                keys.append([(x.number, x.spare, signatures(t, x)) for x in (band(own, p), band(own + 1, p))
+                keys.append([(x.number, x.spare, signatures(t, x, p)) for x in (band(own, p), band(own + 1, p))
                              if x.ones + x.zeros and 100 * len(t) >= p.percent * x.low] if len(t) else [])
             yield pd.DataFrame({
                 **{c: batch[c] for c in batch.columns if c == "row"}, "doc_id": batch["doc_id"], "n": n, "sh": np.asarray(sh, np.int64), "cells": cells,
@@ -210,6 +246,19 @@ def packed_texts(docs: DataFrame, wanted: DataFrame, p: Params) -> DataFrame:
     return src.select("sh", "text").mapInPandas(run, "sh long, z binary")
 
 
+def keyed_again(rows: DataFrame, p: Params) -> DataFrame:
+    """(sh, sig): keys by :func:`neighbourhoods` of ``rows`` (sh, band, z)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for sh, number, z in zip(batch["sh"], batch["band"], batch["z"]):
+                tokens = shingles(zstandard.decompress(bytes(z)).decode("utf-8", "surrogatepass"), p.words)
+                sig = neighbourhoods(tokens, band(int(number), p), p)
+                yield pd.DataFrame({"sh": np.full(len(sig), sh, np.int64), "sig": sig})
+
+    return rows.select("sh", "band", "z").mapInPandas(run, "sh long, sig long").distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(sh, root): smallest class reachable by links (a, b); large-star / small-star rounds on written tables."""
     edges = staged(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "cc")
@@ -237,19 +286,24 @@ def linked(docs: DataFrame, p: Params, row: Column | None = None) -> tuple[DataF
     keys = index.select("sh", F.explode("keys").alias("k")).select("sh", "k.band", "k.spare", F.explode("k.sigs").alias("sig"))
     buckets = keys.groupBy("sig").agg(F.count("*").alias("c"), F.min("sh").alias("lo"), F.max("sh").alias("hi")).where("lo < hi")
     buckets = staged(buckets, "jaccard-buckets")
-    live = staged(keys.join(buckets, "sig").distinct(), "jaccard-live")
+    live = staged(keys.join(buckets, "sig").select("sh", "band", "spare", "sig", "lo", "hi").distinct(), "jaccard-live")
     discard(index, buckets)
-    costly = live.where(F.col("c") > p.hot).groupBy("sh", "band").agg(F.count("*").alias("k"))
-    kept = live.join(costly, ["sh", "band"], "left").where((F.col("c") <= p.hot) | (F.col("k") > F.col("spare"))).select("sh", "sig", "lo", "hi")
-    kept = staged(kept, "jaccard-kept")
+    held = live.groupBy("sig").agg((F.count("*") > p.hot).alias("costly"))
+    marked = staged(live.join(held, "sig"), "jaccard-marked")
     discard(live)
+    cheap = marked.where("not costly").select("sh", "sig", "lo", "hi")
+    again = marked.where("costly").groupBy("sh", "band", "spare").agg(F.count("*").alias("k")).where("k > spare").select("sh", "band")
 
     sizes = base.where("n > 0").groupBy("sh").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.first("cells").alias("cells"))
     sizes = staged(sizes, "jaccard-classes")
+    members = cheap.select("sh").union(again.select("sh")).distinct().join(sizes.select("sh", "doc_id"), "sh")
+    texts = staged(packed_texts(docs, members.select("doc_id", "sh"), p), "jaccard-texts")
+    second = staged(keyed_again(again.join(texts, "sh"), p), "jaccard-second")
+    shared = second.groupBy("sig").agg(F.min("sh").alias("lo"), F.max("sh").alias("hi")).where("lo < hi")
+    kept = staged(cheap.union(second.join(shared, "sig").select("sh", "sig", "lo", "hi")), "jaccard-kept")
+    discard(marked, second)
     star = kept.select(F.col("sh").alias("b"), F.explode(F.array("lo", "hi")).alias("a")).where("a != b")
     star = staged(near_sizes(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sizes, p), "jaccard-star")
-    members = kept.join(sizes.select("sh", "doc_id"), "sh").select("doc_id", "sh").distinct()
-    texts = staged(packed_texts(docs, members, p), "jaccard-texts")
     links = staged(verified(star, texts, p), "jaccard-links")
     roots = staged(components(links), "jaccard-roots")
 
