@@ -33,7 +33,7 @@ def test_collect_is_idempotent(spark, tmp_root):
 
     out = os.path.join(tmp_root, "notes_job")
     jobs.export_notes(spark, store, out, "2024-06-03")
-    assert len(glob.glob(os.path.join(out, "file=*"))) == vocab.select("word").distinct().count()
+    assert len(glob.glob(os.path.join(out, "*.md"))) == vocab.select("word").distinct().count()
     box = {r.mode: r for r in jobs.notify(spark, store, ["2024-06-01"]).collect()}
     assert box["today"].words_sent == 3 and not box["today"].skipped
 

@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from lexmine.operators import render
@@ -111,9 +112,31 @@ def test_note_files(spark, tmp_root):
              dt.datetime(2024, 1, 1))]
     out = os.path.join(tmp_root, "notes")
     N.write_notes(render.notes(spark.createDataFrame(rows, SCHEMA), "2024-02-01"), out)
-    files = sorted(glob.glob(os.path.join(out, "file=*", "part-*")))
-    assert len(files) == 2
-    text = open(files[0], encoding="utf-8").read()
+    files = sorted(glob.glob(os.path.join(out, "*")))
+    assert [os.path.basename(f) for f in files] == ["_SUCCESS", "laconic.md", "pervasive.md"]
+    text = open(files[1], encoding="utf-8").read()
     assert text.startswith("---\ntag: #toefl #voca\n") and "# laconic\n" in text and text.endswith("english?)\n")
     paths = [r.path for r in N.export_paths(spark.createDataFrame(rows + rows[:1], SCHEMA), out).collect()]
     assert sorted(paths) == [out + "/laconic.md", out + "/laconic.md", out + "/pervasive.md"]
+    assert all(os.path.isfile(p) for p in paths)
+    # another export replaces its own notes, leaves the others, and states how many it wrote
+    again = spark.createDataFrame([("laconic.md", "new"), ("blank.md", None), (None, "x"), ("", "x")], "file string, content string")
+    N.write_notes(again, out)
+    read = {f: open(os.path.join(out, f), encoding="utf-8").read() for f in os.listdir(out)}
+    assert read["laconic.md"] == "new" and read["blank.md"] == "" and "# pervasive\n" in read["pervasive.md"]
+    assert read["_SUCCESS"] == "2\n" and len(read) == 4
+
+
+def test_note_task_that_fails_leaves_whole_notes(spark, tmp_root):
+    import os
+
+    from lexmine.sinks import notes as N
+
+    out = os.path.join(tmp_root, "notes_fail")
+    rows = spark.createDataFrame([("a.md", "one"), ("b/c.md", "two")], "file string, content string").coalesce(1)
+    with pytest.raises(Exception, match="folder"):
+        N.write_notes(rows, out)
+    assert os.listdir(out) == ["a.md"]  # no mark of success, no half-written name
+    N.write_notes(rows.where("file = 'a.md'"), out)
+    assert sorted(os.listdir(out)) == ["_SUCCESS", "a.md"]
+    N.write_notes(rows.limit(0), os.path.join(tmp_root, "notes_none"))
