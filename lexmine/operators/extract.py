@@ -7,7 +7,7 @@ import re
 from typing import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmine.functions import text as T
@@ -59,6 +59,45 @@ def _kept(word: str) -> bool:
     return len(word.encode("utf-8", "surrogatepass")) > T.FILTER_MIN_BYTES and word.lower() not in T.STOP_WORDS
 
 
+def _answer(call: Callable[[], list[dict]]) -> list[tuple]:
+    """``(pos, word, definition, context_sentence, status, error)`` of one article; never raises.
+
+    All or nothing: a malformed entry rejects the answer.  An article without a kept word has one row without a word.
+    """
+    try:
+        checked = [tuple(_text(w[k]) for k in ("word", "definition", "context_sentence")) for w in call()]
+        return [(i, *w, "ok", None) for i, w in enumerate(checked) if _kept(w[0])] or [(None, None, None, None, "ok", None)]
+    except Exception as e:  # noqa: BLE001 - failure becomes a status row
+        return [(None, None, None, None, "llm_error", f"{type(e).__name__}: {e}")]
+
+
+def register_extractor(
+    spark: SparkSession, name: str, fn: Callable[..., list[dict]], setup: Callable[[], object] | None = None
+) -> None:
+    """Make ``fn`` the SQL table function ``name(text)``, for lateral joins with any table of texts::
+
+        SELECT a.url, w.* FROM articles a, LATERAL name(a.content) w
+
+    It returns ``(pos, word, definition, context_sentence, status, error)`` by the rules of :func:`extract_with`,
+    in Arrow batches: at least one row per article (so the lateral join keeps every article), post-filtered words,
+    failures as ``llm_error``.  A null text is an empty one.  ``setup()`` opens a client once per task; ``fn`` gets
+    it as second argument.
+    """
+    from lexmine.session import ship_package
+
+    ship_package(spark)
+
+    class Extract:
+        def __init__(self):
+            self.client = (setup(),) if setup else ()
+
+        def eval(self, text: str):
+            yield from _answer(lambda: fn(text or "", *self.client))
+
+    columns = EXTRACT_SCHEMA.split(", ", 1)[1]
+    spark.udtf.register(name, F.udtf(Extract, returnType=columns, useArrow=True))
+
+
 def extract_with(
     articles: DataFrame,
     fn: Callable[[str], list[dict]],
@@ -95,15 +134,8 @@ def extract_with(
                     if wait > 0:
                         time.sleep(wait)
                     last = time.monotonic()
-                try:
-                    words = fn(text or "") if ctx is None else fn(text or "", ctx)
-                    # all or nothing per article: a malformed entry rejects the response
-                    checked = [tuple(_text(w[k]) for k in ("word", "definition", "context_sentence")) for w in words]
-                    rows = [(url, i, *w, "ok", None) for i, w in enumerate(checked) if _kept(w[0])]
-                    # an article without a kept word keeps one row
-                    out.extend(rows or [(url, None, None, None, None, "ok", None)])
-                except Exception as e:  # noqa: BLE001 - failure becomes a status row
-                    out.append((url, None, None, None, None, "llm_error", f"{type(e).__name__}: {e}"))
+                args = (text or "",) if ctx is None else (text or "", ctx)
+                out.extend((url, *row) for row in _answer(lambda: fn(*args)))
             yield pd.DataFrame(out, columns=EXTRACT_SCHEMA_COLS)
 
     return articles.select(F.col(url_col).alias(url_col), F.col(text_col).alias(text_col)).mapInPandas(run, EXTRACT_SCHEMA)

@@ -47,4 +47,5 @@ def responses_sql() -> dict[str, str]:
 SELECT source_url, pos, word, definition, context_sentence, 'ok' AS status FROM vocab_v
 UNION ALL
 SELECT source_url, NULL, NULL, NULL, NULL, 'ok' FROM sample_v WHERE len(ws) = 0"""
+    q["extract_sql"] = q["extract_custom"]
     return q

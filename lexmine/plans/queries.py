@@ -313,6 +313,17 @@ def q_extract_custom(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register("extract_sql")
+def q_extract_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The custom extractor as a table function in SQL."""
+    extract.register_extractor(spark, "lexmine_extract", extract.sample_extractor)
+    return spark.sql(
+        "SELECT a.url AS source_url, w.pos, w.word, w.definition, w.context_sentence, w.status "
+        "FROM {articles} a, LATERAL lexmine_extract(a.content) w",
+        articles=_documents_articles(spark, sf_dir).select("url", "content"),
+    )
+
+
 # --- streaming ----------------------------------------------------------------
 
 STREAM_FILES = 4

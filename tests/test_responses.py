@@ -93,3 +93,21 @@ def test_custom_extractor_keeps_a_row_of_every_article(spark):
     rows = {(r.source_url, r.pos, r.word, r.status) for r in extract.extract_with(df, answers.get).collect()}
     bad = {(k, None, None, "llm_error") for k in ("number", "null", "no key", "no list")}
     assert rows == bad | {("filtered", None, None, "ok"), ("none", None, None, "ok"), ("mixed", 1, "laconic", "ok")}
+
+
+def test_table_function_in_sql_keeps_every_article(spark):
+    df = spark.createDataFrame([("u1", "good"), ("u2", "bad"), ("u3", "stop"), ("u4", None), ("u5", "good")], "url string, word string")
+    df.createOrReplaceTempView("articles_udtf")  # a column that clashes with one of the function
+    entry = lambda w: {"word": w, "definition": "d", "context_sentence": "c"}
+    answers = {"good": [entry("lucid"), entry("the"), entry("Terse")], "bad": [entry("fine"), {**entry("x"), "word": 7}],
+               "stop": [entry("the"), entry("was")], "": []}
+    extract.register_extractor(spark, "words_of", lambda text, client: client[text], setup=lambda: answers)
+    got = spark.sql("SELECT a.url, w.pos, w.word, w.status, w.error FROM articles_udtf a, LATERAL words_of(a.word) w").collect()
+    want = {("u1", 0, "lucid", "ok"), ("u1", 2, "Terse", "ok"), ("u2", None, None, "llm_error"), ("u3", None, None, "ok"),
+            ("u4", None, None, "ok"), ("u5", 0, "lucid", "ok"), ("u5", 2, "Terse", "ok")}
+    assert len(got) == len(want) and {tuple(r)[:4] for r in got} == want
+    assert [r.error for r in got if r.status == "llm_error"] == ["TypeError: int in place of text"]
+    # the same rows as the DataFrame form
+    frame = extract.extract_with(df, lambda text: answers[text], "url", "word").collect()
+    assert {(r.source_url, r.pos, r.word, r.status) for r in frame} == want
+    assert spark.sql("SELECT w.* FROM (SELECT * FROM articles_udtf WHERE false) a, LATERAL words_of(a.word) w").collect() == []
