@@ -16,9 +16,14 @@ Sets of hashed word shingles are joined at ``100 * |a & b| >= percent * |a | b|`
   more than ``spare`` costly ones each.  Such sets, and they alone, are keyed once more by segments of twice the
   width with one-deletion neighbourhoods (:func:`neighbourhoods`), which a shared passage seldom fills.  Nothing
   is lost: a linked pair meets on a cheap key or both its sets are keyed again.
+* Of those wider keys the ones that more than ``hot`` classes hold are left out too; sets with such a key are cut
+  up by their own shingles, rarest first (:func:`rarest`): two linked sets share one of the first
+  ``n - ceil(n percent / 100) + 1`` of each, and at the first one shared the rest of both must still hold the
+  overlap they need.  A passage that many texts share comes last in all of them.
 * Candidates are first taken as stars (each set against the smallest and the largest of its bucket); after
-  verification, only pairs of one bucket that lie in different components are verified as well.  Histograms
-  of 256 cells, whose steps bound the difference from below, drop pairs that cannot link without their texts.
+  verification, only pairs of one bucket that lie in different components are verified as well.  Parities of 512
+  cells bound the difference of such a pair from below as the bucket is joined (:func:`_may_link`); histograms
+  of 256 cells, whose steps bound it too, drop pairs that cannot link without their texts.
 
 Verification is exact on whole sets (64-bit shingle hashes).  Equal sets are one class and are compared once.
 
@@ -38,7 +43,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lexmine.llm.common import discard, documents, prepare, staged
 
@@ -183,8 +188,14 @@ def histogram(tokens: np.ndarray) -> bytes:
     return np.minimum(cells, 255).astype(np.uint8).tobytes()
 
 
+def parities(tokens: np.ndarray) -> np.ndarray:
+    """512 bits in eight longs: whether a hash cell holds an odd number of shingles; unlike bits never exceed ``|a ^ b|``."""
+    cells = np.bincount((mix(tokens + np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(55)).astype(np.int64), minlength=512)
+    return np.packbits((cells & 1).astype(np.uint8)).view(np.int64)
+
+
 def indexed(docs: DataFrame, p: Params, row: Column | None = None) -> DataFrame:
-    """(doc_id, n, sh, cells, keys): set size, class of equal sets, histogram, and the keys of both bands.
+    """(doc_id, n, sh, cells, bits, keys): set size, class of equal sets, histogram, parities, and the keys of both bands.
 
     ``row`` (long) is carried along under that name.
     """
@@ -192,21 +203,22 @@ def indexed(docs: DataFrame, p: Params, row: Column | None = None) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            n, sh, cells, keys = [], [], [], []
+            n, sh, cells, bits, keys = [], [], [], [], []
             for text in batch["text"]:
                 t = shingles(text, p.words)
                 n.append(len(t))
                 sh.append(xxhash.xxh3_64_intdigest(t.tobytes()) - (1 << 63) if len(t) else 0)
                 cells.append(histogram(t))
+                bits.append(parities(t).tolist())
                 own = band_of(len(t), p) if len(t) else 0
                 keys.append([(x.number, x.spare, signatures(t, x, p)) for x in (band(own, p), band(own + 1, p))
                              if x.ones + x.zeros and 100 * len(t) >= p.percent * x.low] if len(t) else [])
             yield pd.DataFrame({
-                **{c: batch[c] for c in batch.columns if c == "row"}, "doc_id": batch["doc_id"], "n": n, "sh": np.asarray(sh, np.int64), "cells": cells,
+                **{c: batch[c] for c in batch.columns if c == "row"}, "doc_id": batch["doc_id"], "n": n, "sh": np.asarray(sh, np.int64), "cells": cells, "bits": bits,
                 "keys": [[{"band": a, "spare": e, "sigs": s.tolist()} for a, e, s in k] for k in keys]})
 
     return docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), "text", *more).mapInPandas(
-        run, ("row long, " if more else "") + "doc_id long, n long, sh long, cells binary, keys array<struct<band:int,spare:int,sigs:array<long>>>")
+        run, ("row long, " if more else "") + "doc_id long, n long, sh long, cells binary, bits array<long>, keys array<struct<band:int,spare:int,sigs:array<long>>>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
@@ -259,6 +271,28 @@ def keyed_again(rows: DataFrame, p: Params) -> DataFrame:
     return rows.select("sh", "band", "z").mapInPandas(run, "sh long, sig long").distinct()
 
 
+def rarest(rows: DataFrame, p: Params) -> DataFrame:
+    """(sh, sig, pos): the shingles of ``rows`` (sh, z) among whose first, rarest in ``rows`` first, linked sets share one.
+
+    ``pos`` counts a set's shingles before it.  Shingles that one set alone holds come first of all and are not returned.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for sh, z in zip(batch["sh"], batch["z"]):
+                tokens = shingles(zstandard.decompress(bytes(z)).decode("utf-8", "surrogatepass"), p.words)
+                yield pd.DataFrame({"sh": np.full(len(tokens), sh, np.int64), "n": len(tokens), "sig": tokens.view(np.int64)})
+
+    tokens = staged(rows.select("sh", "z").dropDuplicates(["sh"]).mapInPandas(run, "sh long, n long, sig long"), "jaccard-tokens")
+    common = tokens.groupBy("sig").agg(F.count("*").alias("c")).where("c > 1")
+    own = Window.partitionBy("sh")
+    at = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("c", "sig")) - 1
+    out = tokens.join(common, "sig").select("sh", "n", "sig", at.alias("pos"))
+    out = staged(out.where(100 * F.col("pos") <= F.col("n") * (100 - p.percent)).select("sh", "sig", "pos"), "jaccard-rarest")
+    discard(tokens)
+    return out
+
+
 def components(links: DataFrame) -> DataFrame:
     """(sh, root): smallest class reachable by links (a, b); large-star / small-star rounds on written tables."""
     edges = staged(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "cc")
@@ -278,8 +312,38 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
+def _chain(roots: DataFrame) -> DataFrame:
+    return roots.select(F.col("sh").alias("a"), F.col("root").alias("b"))
+
+
+_FACTS = ("sh", "root", "pos", "n", "bits")
+
+
+def opened(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """``rows`` (sig, sh, ...) of the buckets that hold unlike components, with their ``root``."""
+    at = rows.join(roots, "sh", "left").withColumn("root", F.coalesce("root", "sh"))
+    open_ = at.groupBy("sig").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2").select("sig")
+    return at.join(open_, "sig")
+
+
+def unlike(rows: DataFrame, p: Params) -> DataFrame:
+    """Pairs (a, b) of one bucket but unlike components that :func:`_may_link`."""
+    x, y = (rows.select("sig", F.struct(*_FACTS).alias(s)) for s in "ab")
+    both = x.join(y, "sig").where("a.sh < b.sh").where(_may_link(F.col("a"), F.col("b"), p))
+    return both.select(F.col("a.sh").alias("a"), F.col("b.sh").alias("b")).distinct()
+
+
+def neighbours(rows: DataFrame, p: Params) -> DataFrame:
+    """Some of the pairs of :func:`unlike`: each row against six rows before it in its bucket by size, so as many as rows."""
+    order = Window.partitionBy("sig").orderBy("n", F.xxhash64("sh", "sig"))
+    own = F.struct(*_FACTS)
+    rows = rows.select(own.alias("a"), F.array(*(F.lag(own, d).over(order) for d in (1, 2, 4, 8, 16, 32))).alias("near"))
+    rows = rows.select("a", F.explode(F.filter("near", lambda b: b.isNotNull() & _may_link(F.col("a"), b, p))).alias("b"))
+    return rows.select(F.least("a.sh", "b.sh").alias("a"), F.greatest("a.sh", "b.sh").alias("b")).distinct()
+
+
 def linked(docs: DataFrame, p: Params, row: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The rows as :func:`indexed` gives them, the classes with a set (sh, doc_id, n, cells), and (sh, root) of linked classes."""
+    """The rows as :func:`indexed` gives them, the classes with a set (sh, doc_id, n, cells, bits), and (sh, root) of linked classes."""
     prepare(docs.sparkSession)
     index = staged(indexed(docs, p, row), "jaccard-index")
     base = staged(index.drop("keys"), "jaccard-sets")
@@ -294,30 +358,37 @@ def linked(docs: DataFrame, p: Params, row: Column | None = None) -> tuple[DataF
     cheap = marked.where("not costly").select("sh", "sig", "lo", "hi")
     again = marked.where("costly").groupBy("sh", "band", "spare").agg(F.count("*").alias("k")).where("k > spare").select("sh", "band")
 
-    sizes = base.where("n > 0").groupBy("sh").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.first("cells").alias("cells"))
+    sizes = base.where("n > 0").groupBy("sh").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.first("cells").alias("cells"), F.first("bits").alias("bits"))
     sizes = staged(sizes, "jaccard-classes")
     members = cheap.select("sh").union(again.select("sh")).distinct().join(sizes.select("sh", "doc_id"), "sh")
     texts = staged(packed_texts(docs, members.select("doc_id", "sh"), p), "jaccard-texts")
     second = staged(keyed_again(again.join(texts, "sh"), p), "jaccard-second")
-    shared = second.groupBy("sig").agg(F.min("sh").alias("lo"), F.max("sh").alias("hi")).where("lo < hi")
-    kept = staged(cheap.union(second.join(shared, "sig").select("sh", "sig", "lo", "hi")), "jaccard-kept")
-    discard(marked, second)
+    bounds = [F.min("sh").alias("lo"), F.max("sh").alias("hi")]
+    shared = second.groupBy("sig").agg(*bounds, (F.count("*") > p.hot).alias("costly")).where("lo < hi")
+    wide = staged(second.join(shared, "sig"), "jaccard-wide")
+    discard(second)
+    third = rarest(wide.where("costly").select("sh").distinct().join(texts, "sh"), p)
+    held = third.groupBy("sig").agg(*bounds).where("lo < hi")
+    cheap = cheap.union(wide.where("not costly").select("sh", "sig", "lo", "hi")).withColumn("pos", F.lit(0).cast("long"))
+    kept = staged(cheap.union(third.join(held, "sig").select("sh", "sig", "lo", "hi", "pos")), "jaccard-kept")
+    discard(marked, wide, third)
     star = kept.select(F.col("sh").alias("b"), F.explode(F.array("lo", "hi")).alias("a")).where("a != b")
     star = staged(near_sizes(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sizes, p), "jaccard-star")
     links = staged(verified(star, texts, p), "jaccard-links")
     roots = staged(components(links), "jaccard-roots")
 
-    at = kept.join(roots, "sh", "left").select("sig", "sh", F.coalesce("root", "sh").alias("root"))
-    open_ = at.groupBy("sig").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2").select("sig")
-    rest = staged(at.join(open_, "sig").join(sizes.select("sh", "n"), "sh"), "jaccard-open")
-    x, y = (rest.select("sig", F.col("sh").alias(s), F.col("root").alias(f"r_{s}"), F.col("n").alias(f"n_{s}")) for s in "ab")
-    # unlike components only, by rows whose sizes can link
-    more = x.join(y, "sig").where("a < b and r_a != r_b").where(_sizes_fit(p)).select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
+    rest = opened(kept.select("sig", "sh", "pos"), roots).join(sizes.select("sh", "n", "bits"), "sh")
+    rest = staged(rest, "jaccard-open")
+    near = staged(near_sizes(neighbours(rest, p).join(star, ["a", "b"], "left_anti"), sizes, p), "jaccard-near")
+    more_links = staged(verified(near, texts, p), "jaccard-links2")
+    merged = staged(components(_chain(roots).union(more_links)), "jaccard-roots2")
+
+    left = staged(opened(rest.drop("root"), merged), "jaccard-open2")
+    more = unlike(left, p).join(star.union(near), ["a", "b"], "left_anti")
     more = staged(near_sizes(more, sizes, p), "jaccard-more")
     late = staged(verified(more, texts, p), "jaccard-late")
-    chain = roots.select(F.col("sh").alias("a"), F.col("root").alias("b"))
-    last = staged(components(chain.union(late)), "jaccard-roots2")
-    discard(kept, star, texts, links, roots, rest, more, late)
+    last = staged(components(_chain(merged).union(late)), "jaccard-roots3")
+    discard(kept, star, texts, links, roots, rest, near, more_links, merged, left, more, late)
     return base, sizes, last
 
 
@@ -338,6 +409,19 @@ def _sizes_fit(p: Params):
     return 100 * F.least("n_a", "n_b") >= p.percent * F.greatest("n_a", "n_b")
 
 
+def _may_link(a: Column, b: Column, p: Params) -> Column:
+    """Whether two rows (root, pos, n, bits) of a bucket lie in unlike components and can link.
+
+    Their sizes fit, what is left of both from the shared key on can hold the overlap a link takes, and few enough
+    parities differ.  A linked pair passes at the first shingle it shares and, where ``pos`` is 0, at every key.
+    """
+    both = a["n"] + b["n"]
+    left = F.least(a["n"] - a["pos"], b["n"] - b["pos"])
+    odd = sum(F.bit_count(a["bits"][i].bitwiseXOR(b["bits"][i])) for i in range(8))
+    fit = 100 * F.least(a["n"], b["n"]) >= p.percent * F.greatest(a["n"], b["n"])
+    return (a["root"] != b["root"]) & fit & (left * (100 + p.percent) >= both * p.percent) & (odd * (100 + p.percent) <= both * (100 - p.percent))
+
+
 def near_sizes(pairs: DataFrame, sizes: DataFrame, p: Params) -> DataFrame:
     """Pairs that the exact bounds allow: set sizes, and the histogram steps against ``H``.
 

@@ -4,6 +4,8 @@ import random
 
 import numpy as np
 import pytest
+import zstandard
+from pyspark.sql import functions as F
 
 from lexmine.llm import jaccard
 from lexmine.llm.jaccard import Params, band, band_of
@@ -72,3 +74,50 @@ def test_shared_passages_and_copies_match_brute_force(spark, hot):
                 x, y = sorted((find(i), find(j)))
                 root[y] = x
     assert got == {i: find(i) for i in range(len(texts))}
+
+
+def crowd(rnd: random.Random, n: int) -> list[str]:
+    """Texts that share a passage of half their words and do not link, and a near copy of every fourth."""
+    word = lambda: f"w{rnd.randrange(1_000_000)}"
+    passage = [word() for _ in range(60)]
+    texts = [passage + [word() for _ in range(60)] for _ in range(n)]
+    texts += [t[:-1] + [word()] for t in texts[::4]]
+    return [" ".join(t) for t in texts]
+
+
+def links(texts: list[str], p: Params) -> set[tuple[int, int]]:
+    sets = [jaccard.shingles(t, p.words) for t in texts]
+    common = lambda a, b: len(np.intersect1d(a, b))
+    return {(i, j) for j, b in enumerate(sets) for i, a in enumerate(sets[:j])
+            if 100 * common(a, b) >= p.percent * (len(a) + len(b) - common(a, b))}
+
+
+def test_rarest_shingles_of_linked_sets_meet_and_a_passage_is_no_key(spark):
+    p, texts = Params(words=3, percent=80), crowd(random.Random(3), 80)
+    jaccard.prepare(spark)
+    rows = [(i, bytearray(zstandard.compress(t.encode()))) for i, t in enumerate(texts)]
+    rows += rows[:5]  # a class may come twice
+    met = {}
+    for r in jaccard.rarest(spark.createDataFrame(rows, "sh long, z binary"), p).collect():
+        met.setdefault(r.sig, []).append(r.sh)
+    pairs = {(a, b) for held in met.values() for a in held for b in held if a < b}
+    assert pairs == links(texts, p) and len(pairs) == 20
+
+
+def test_bucket_of_unlike_components_makes_only_pairs_that_can_link(spark):
+    p, texts = Params(words=3, percent=80), crowd(random.Random(4), 80)
+    rows = [(1, i, i, 0, len(t), jaccard.parities(t).tolist()) for i, t in enumerate(jaccard.shingles(x, 3) for x in texts)]
+    rows = spark.createDataFrame(rows, "sig long, sh long, root long, pos long, n long, bits array<long>")
+    made, linked = {tuple(r) for r in jaccard.unlike(rows, p).collect()}, links(texts, p)
+    assert linked <= made and len(made) < 5 * len(texts)  # 4,950 pairs
+    assert {tuple(r) for r in jaccard.neighbours(rows, p).collect()} <= made
+    joined = rows.withColumn("root", F.lit(0).cast("long"))
+    assert jaccard.unlike(joined, p).isEmpty()
+
+
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(5)
+    for n in (1, 30, 600, 5000):
+        a, b = linked_pair(rng, n, Params())
+        odd = int(np.bitwise_count((jaccard.parities(a) ^ jaccard.parities(b)).view(np.uint64)).sum())
+        assert odd <= len(np.setxor1d(a, b))
